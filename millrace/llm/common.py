@@ -2,6 +2,8 @@
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -43,3 +45,17 @@ def row_key(*cols):
 def held_out(id_col="doc_id"):
     """Rows whose labels no model may learn from."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+
+
+def ship(spark):
+    """Give the Python workers this package, once per context; executors need no copy of their own."""
+    context = spark.sparkContext
+    if getattr(context, "_millrace_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="millrace-")) / "millrace.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._millrace_shipped = True

@@ -41,7 +41,31 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM m GROUP BY doc_id
 """
 
+
+
+def op4_substring_dedup(spark, sf_dir):
+    from .substrings import remove_seen_windows
+
+    out = remove_seen_windows(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH s AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS n, w, unnest(range(1, len(w) - 11)) AS pos FROM s WHERE len(w) >= 13),
+h AS (SELECT doc_id, pos, array_to_string(w[pos:pos + 12], ' ') AS key FROM p),
+m AS (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY key) < doc_id AS gone FROM h),
+t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM s),
+c AS (SELECT t.doc_id, t.pos, word,
+             coalesce(max(CASE WHEN gone THEN t.pos END) OVER (PARTITION BY t.doc_id ORDER BY t.pos ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), 0) > 0 AS gone
+      FROM t LEFT JOIN m ON t.doc_id = m.doc_id AND t.pos = m.pos)
+SELECT s.doc_id, len(w) AS n_words, coalesce(g.n_removed, 0) AS n_removed, sha256(coalesce(g.kept, '')) AS kept_sha256
+FROM s LEFT JOIN (SELECT doc_id, count(*) FILTER (gone) AS n_removed,
+                         string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id) g ON s.doc_id = g.doc_id
+"""
+
 QUERIES = {
+    "op4_substring_dedup": (op4_substring_dedup, OP4_SQL),
     "op6_exact_dedup": (op6_exact_dedup, OP6_SQL),
     "op8_line_dedup": (op8_line_dedup, OP8_SQL),
 }
