@@ -64,7 +64,19 @@ FROM s LEFT JOIN (SELECT doc_id, count(*) FILTER (gone) AS n_removed,
                          string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id) g ON s.doc_id = g.doc_id
 """
 
+
+def op9_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    from .bpe import encode_texts
+
+    out = encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
+    "op9_bpe": (op9_bpe, None),
     "op4_substring_dedup": (op4_substring_dedup, OP4_SQL),
     "op6_exact_dedup": (op6_exact_dedup, OP6_SQL),
     "op8_line_dedup": (op8_line_dedup, OP8_SQL),

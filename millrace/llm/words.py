@@ -76,3 +76,13 @@ def join_words(words, offsets, keep=None):
         ends = np.concatenate(([0], np.cumsum(keep)))
         words, offsets = words.filter(pa.array(keep)), ends[offsets]
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words), " ")
+
+
+def slices(batch, column, max_bytes=2 << 20):
+    """Cut a record batch so that each part holds few bytes of text, or one row."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
+    part = np.cumsum(sizes) // max_bytes
+    edges = np.flatnonzero(np.diff(part)) + 1
+    for start, stop in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
+        if stop > start:
+            yield batch.slice(start, stop - start)
