@@ -75,7 +75,16 @@ def op9_bpe(spark, sf_dir):
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+
+def op10_suffix_array_dedup(spark, sf_dir):
+    from .suffixes import remove_repeated_bytes
+
+    out = remove_repeated_bytes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
+    "op10_suffix_array_dedup": (op10_suffix_array_dedup, None),
     "op9_bpe": (op9_bpe, None),
     "op4_substring_dedup": (op4_substring_dedup, OP4_SQL),
     "op6_exact_dedup": (op6_exact_dedup, OP6_SQL),
