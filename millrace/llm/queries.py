@@ -83,7 +83,26 @@ def op10_suffix_array_dedup(spark, sf_dir):
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+
+def op1_toxicity(spark, sf_dir):
+    from .labelled import with_split
+    from .toxicity import fit, score_texts
+
+    docs = table(spark, sf_dir, "documents")
+    return with_split(score_texts(docs, fit(docs, table(spark, sf_dir, "labels"))), 0.5)
+
+
+def op2_quality(spark, sf_dir):
+    from .labelled import with_split
+    from .quality import fit, score_texts
+
+    docs = table(spark, sf_dir, "documents")
+    return with_split(score_texts(docs, fit(docs, table(spark, sf_dir, "labels"))), 0.3)
+
+
 QUERIES = {
+    "op1_toxicity": (op1_toxicity, None),
+    "op2_quality": (op2_quality, None),
     "op10_suffix_array_dedup": (op10_suffix_array_dedup, None),
     "op9_bpe": (op9_bpe, None),
     "op4_substring_dedup": (op4_substring_dedup, OP4_SQL),
