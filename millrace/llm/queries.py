@@ -100,7 +100,22 @@ def op2_quality(spark, sf_dir):
     return with_split(score_texts(docs, fit(docs, table(spark, sf_dir, "labels"))), 0.3)
 
 
+
+def op3_minhash_near_dedup(spark, sf_dir):
+    from .nearcopies import near_groups
+
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
+def op5_decontamination(spark, sf_dir):
+    from .contamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op3_minhash_near_dedup": (op3_minhash_near_dedup, None),
+    "op5_decontamination": (op5_decontamination, None),
     "op1_toxicity": (op1_toxicity, None),
     "op2_quality": (op2_quality, None),
     "op10_suffix_array_dedup": (op10_suffix_array_dedup, None),

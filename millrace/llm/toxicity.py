@@ -254,3 +254,19 @@ def score_texts(docs, model, id_col="doc_id", text_col="text"):
     ship(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     return base.mapInArrow(_score(model), "doc_id long, score double")
+
+
+def _drop(model, column, threshold):
+    def run(batches):
+        for batch in batches:
+            for part in W.slices(batch, column):
+                keep = [model.score(t) < threshold for t in part.column(column).to_pylist()]
+                yield part.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def drop_toxic(docs, model, text_col="text", threshold=0.5):
+    """The documents that score below the threshold, with all their columns and without a shuffle."""
+    ship(docs.sparkSession)
+    return docs.mapInArrow(_drop(model, text_col, threshold), docs.schema)
