@@ -113,7 +113,15 @@ def op5_decontamination(spark, sf_dir):
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+
+def op7_pii_surrogates(spark, sf_dir):
+    from .surrogates import replace_entities
+
+    return replace_entities(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op7_pii_surrogates": (op7_pii_surrogates, None),
     "op3_minhash_near_dedup": (op3_minhash_near_dedup, None),
     "op5_decontamination": (op5_decontamination, None),
     "op1_toxicity": (op1_toxicity, None),
