@@ -38,8 +38,8 @@ def spearman(df, x, y):
     """Rank correlation with ties at mean rank; NULL where a side is constant."""
     pairs = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
     ranked = average_ranks(average_ranks(pairs, "x").withColumnRenamed("rank", "rx"), "y").withColumnRenamed("rank", "ry")
-    rho = F.corr("rx", "ry")
-    return ranked.agg(F.count(F.lit(1)).alias("n"), F.when(~F.isnan(rho), rho).alias("rho"))
+    rho = F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))
+    return ranked.agg(F.count(F.lit(1)).alias("n"), rho.alias("rho"))
 
 
 def log_factorials(spark, most):
@@ -54,25 +54,23 @@ def fisher_exact(tables, key, a="a", b="b", c="c", d="d", tolerance=1e-9):
     All tables with the same margins are enumerated, one row each; those no likelier than
     the given one are summed in log space.
     """
-    t = tables.select(*[F.col(k) for k in key], *[F.col(x).cast("long").alias(y) for x, y in zip((a, b, c, d), "abcd", strict=True)])
-    t = t.withColumn("r", F.col("a") + F.col("b")).withColumn("s", F.col("c") + F.col("d")).withColumn("k", F.col("a") + F.col("c")).withColumn("n", F.col("r") + F.col("s"))
-    most = t.agg(F.max("n")).first()[0] or 1
+    t = tables.select(*key, *[F.col(x).cast("long").alias(f"_{y}") for x, y in zip((a, b, c, d), "abcd", strict=True)])
+    t = t.withColumns({"_r": F.col("_a") + F.col("_b"), "_s": F.col("_c") + F.col("_d"), "_k": F.col("_a") + F.col("_c")})
+    most = t.agg(F.max(F.col("_r") + F.col("_s"))).first()[0] or 1
     lf = log_factorials(tables.sparkSession, most)
-    cells = t.withColumn("x", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.col("k") - F.col("s")), F.least(F.col("r"), F.col("k")))))
-    cells = cells.withColumns({"r_x": F.col("r") - F.col("x"), "k_x": F.col("k") - F.col("x"), "rest": F.col("s") - F.col("k") + F.col("x")})
-    for name in ("x", "r_x", "k_x", "rest"):
-        cells = cells.join(lf.select(F.col("n").alias(name), F.col("lf").alias(f"lf_{name}")), name)
-    # Factorials of the margins are common to all tables and cancel but for normalising.
-    cells = cells.withColumn("lw", -(F.col("lf_x") + F.col("lf_r_x") + F.col("lf_k_x") + F.col("lf_rest")))
+    cells = t.withColumn("_x", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.col("_k") - F.col("_s")), F.least(F.col("_r"), F.col("_k")))))
+    # Factorials of the margins are common to all tables; those of the four cells weigh them.
+    parts = {"_f1": F.col("_x"), "_f2": F.col("_r") - F.col("_x"), "_f3": F.col("_k") - F.col("_x"), "_f4": F.col("_s") - F.col("_k") + F.col("_x")}
+    cells = cells.withColumns(parts)
+    for name in parts:
+        cells = cells.join(lf.select(F.col("n").alias(name), F.col("lf").alias(f"_l{name}")), name)
+    cells = cells.withColumn("_lw", -sum((F.col(f"_l{name}") for name in parts), F.lit(0.0)))
     over = Window.partitionBy(*key)
-    cells = cells.withColumn("top", F.max("lw").over(over)).withColumn("own", F.max(F.when(F.col("x") == F.col("a"), F.col("lw"))).over(over))
-    weight = F.exp(F.col("lw") - F.col("top"))
-    # Sum relative to the observed table so that tiny p-values keep their digits.
-    inside = F.col("lw") <= F.col("own") + tolerance
-    out = cells.groupBy(*key).agg(
-        F.sum(weight).alias("total"), F.sum(F.when(inside, F.exp(F.col("lw") - F.col("own"))).otherwise(0.0)).alias("near"), F.max("own").alias("own"), F.max("top").alias("top")
-    )
-    log10p = (F.ln("near") + F.col("own") - F.col("top") - F.ln("total")) / F.ln(F.lit(10.0))
+    cells = cells.withColumn("_top", F.max("_lw").over(over)).withColumn("_own", F.max(F.when(F.col("_x") == F.col("_a"), F.col("_lw"))).over(over))
+    # Summed relative to the given table so that tiny p-values keep their digits.
+    near = F.when(F.col("_lw") <= F.col("_own") + tolerance, F.exp(F.col("_lw") - F.col("_own"))).otherwise(0.0)
+    out = cells.groupBy(*key).agg(F.sum(F.exp(F.col("_lw") - F.col("_top"))).alias("_total"), F.sum(near).alias("_near"), F.max("_own").alias("_own"), F.max("_top").alias("_top"))
+    log10p = (F.ln("_near") + F.col("_own") - F.col("_top") - F.ln("_total")) / F.ln(F.lit(10.0))
     return out.select(*key, F.least(F.lit(1.0), F.pow(F.lit(10.0), log10p)).alias("p_value"), F.least(F.lit(0.0), log10p).alias("log10_p"))
 
 

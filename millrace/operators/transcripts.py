@@ -64,7 +64,7 @@ def outside_writes(call_rows, root):
     moved_to = F.regexp_extract("input", r"\bmv\s+(?:-\S+\s+)*(\S+)\s+([^\s\"]+)", 2)
     moved_from = F.regexp_extract("input", r"\bmv\s+(?:-\S+\s+)*(\S+)\s+([^\s\"]+)", 1)
     inside = F.col("input").rlike(r"\bcd\s+['\"]?" + r.replace(".", r"\.") + r"/?['\"]?\s*(&&|;|\n)")
-    redirect = F.col("input").rlike(r">\s*(?!&|/dev/null)['\"]?[\w.]") & ~F.col("input").rlike(r">\s*['\"]?" + r.replace(".", r"\."))
+    redirect = F.col("input").rlike(r">\s*(?!&|/dev/null)['\"]?[\w./]") & ~F.col("input").rlike(r">\s*['\"]?" + r.replace(".", r"\."))
     kind = (
         F.when(file_out, "file-tool")
         .when((F.col("name") == "Bash") & (moved_to != "") & moved_from.startswith(f"{r}/") & ~moved_to.startswith(r), "moved out")

@@ -242,8 +242,7 @@ def lr_threshold_sweep(spark, sf_dir):
     return rounded(S.threshold_sweep(scored, "s", "quality", [i / 20 for i in range(1, 20)]), "precision", "recall", "f1")
 
 
-@query("""SELECT round(avg(r), 9) AS share_top FROM (SELECT 1 AS r) WHERE 1 = 0 UNION ALL
-SELECT round((SELECT sum(size) FROM (SELECT count(*) AS size FROM orders GROUP BY o_custkey ORDER BY size DESC LIMIT (SELECT ceil(count(DISTINCT o_custkey) / 10.0)::BIGINT FROM orders)))::DOUBLE / (SELECT count(*) FROM orders), 9)""")
+@query("""SELECT round((SELECT sum(size) FROM (SELECT count(*) AS size FROM orders GROUP BY o_custkey ORDER BY size DESC LIMIT (SELECT ceil(count(DISTINCT o_custkey) / 10.0)::BIGINT FROM orders)))::DOUBLE / (SELECT count(*) FROM orders), 9) AS share_top""")
 def top_tenth_share(spark, sf_dir):
     from pyspark.sql import Window
 
