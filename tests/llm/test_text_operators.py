@@ -1,0 +1,345 @@
+"""Small fixtures against brute force, and the defined results of edge cases."""
+
+import collections
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.llm import bpe, components, contamination, exact, lines, nearcopies, quality, substrings, suffixes, surrogates, toxicity
+from millrace.llm.labelled import with_split
+
+SPACE = re.compile(r"[\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string"
+
+
+def prose(r, n):
+    return " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    """Exact and near copies, shared passages, a repeated row, null, empty, blank and long texts."""
+    r = random.Random(5)
+    passage, line = prose(r, 90), "Licensed to all."
+    rows = [(i, prose(r, r.randint(1, 160))) for i in range(40)]
+    rows += [(100 + i, prose(r, 30) + " " + passage + " " + prose(r, 20)) for i in range(8)]
+    base = prose(r, 300).split()
+    for i in range(6):
+        words = list(base)
+        if i:
+            words[50 * i] = f"edit{i}"
+        rows.append((200 + i, " ".join(words)))
+    rows += [(300 + i, f"{prose(r, 12)}\n  {line.upper() if i % 2 else line}\t\n{prose(r, 9)}") for i in range(12)]
+    rows += [(400, rows[3][1]), (401, " " + rows[3][1].replace(" ", "\n") + "\n"), (402, None), (403, ""), (404, " \n\t"), (405, prose(r, 20000)), (406, "ab " * 900), (407, "é" * 500), rows[5]]
+    return rows
+
+
+def frame(spark, rows):
+    """With extra columns whose names clash with those of the operators."""
+    return spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(1) for c in ("n_words", "kept_text", "score", "digest", "chunk", "anchor", "kind")}).repartition(3)
+
+
+def words_of(text):
+    return [w for w in SPACE.split(text or "") if w]
+
+
+def test_line_dedup_brute_force(spark, corpus):
+    keys = lambda t: [x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)}) for x in (t or "").split("\n")]
+    seen = collections.defaultdict(set)
+    for i, t in corpus:
+        for k in keys(t):
+            seen[k].add(i)
+    want = sorted((i, "\n".join(x for x, k in zip((t or "").split("\n"), keys(t)) if not k or len(seen[k]) < 10)) for i, t in corpus)
+    got = sorted((r.doc_id, r.kept_text) for r in lines.drop_repeated_lines(frame(spark, corpus)).collect())
+    assert got == want
+
+
+def test_exact_dedup_brute_force(spark, corpus):
+    groups = collections.defaultdict(list)
+    for i, t in corpus:
+        groups[SPACE.sub("", t or "")].append((-len(t or ""), i))
+    want = sorted((i, min(groups[SPACE.sub("", t or "")])[1], len(groups[SPACE.sub("", t or "")])) for i, t in corpus)
+    got = exact.exact_groups(frame(spark, corpus)).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in got) == want
+    kept = exact.drop_exact_copies(frame(spark, corpus))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({k for _, k, _ in want})
+
+
+def test_exact_dedup_state_goes_on(spark, tmp_path):
+    root, source = f"file://{tmp_path}/state", f"file://{tmp_path}/digests"
+    exact.digests(spark.createDataFrame([(1, "a b"), (2, "c")], SCHEMA)).write.parquet(source)
+    exact.keyed_state(spark, source, root)
+    exact.digests(spark.createDataFrame([(3, "a  b")], SCHEMA)).write.mode("append").parquet(source)
+    got = {r.keep_id: r.group_size for r in exact.keyed_state(spark, source, root).collect()}
+    assert got == {3: 2, 2: 1}
+
+
+@pytest.mark.parametrize("chunk_bytes", [1 << 23, 4000])
+def test_substring_dedup_brute_force(spark, corpus, chunk_bytes):
+    first = {}
+    for i, t in corpus:
+        w = words_of(t)
+        for k in range(len(w) - 12):
+            key = tuple(w[k : k + 13])
+            first[key] = min(first.get(key, i), i)
+    want = []
+    for i, t in corpus:
+        w, gone = words_of(t), set()
+        for k in range(len(w) - 12):
+            if first[tuple(w[k : k + 13])] < i:
+                gone |= set(range(k, k + 13))
+        want.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    got = substrings.remove_seen_windows(frame(spark, corpus), chunk_bytes=chunk_bytes).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == sorted(want)
+
+
+def test_substring_index_remembers_batches(spark, tmp_path):
+    r = random.Random(8)
+    text, index = prose(r, 60), f"file://{tmp_path}/index"
+    for n in range(3):
+        got = substrings.remove_seen_windows(spark.createDataFrame([(n, text + " " + prose(r, 5))], SCHEMA), index=index).first()
+        assert got.n_removed == (60 if n else 0)
+
+
+def test_runs_compact_and_verify():
+    import numpy as np
+
+    runs, r = substrings.Runs(), random.Random(1)
+    seen = {}
+    for _ in range(20):
+        values = np.array(sorted(r.sample(range(1000), 50)), np.uint64)
+        check = (values % 7).astype(np.uint16)
+        assert runs.seen(values, check).tolist() == [int(v) in seen for v in values]
+        assert not runs.seen(values, check + 1).any()
+        runs.add(values, check)
+        seen |= dict.fromkeys(map(int, values))
+        assert substrings.decode_run(substrings.encode_run(values, check))[0].tolist() == values.tolist()
+    assert len(runs.levels) < 8 and runs.compact()[0].tolist() == sorted(seen)
+
+
+def test_suffix_array_by_grouping():
+    r = random.Random(2)
+    for _ in range(300):
+        text = [r.randint(2, 4) for _ in range(r.randint(1, 50))] + [0]
+        assert suffixes.suffix_array(text) == sorted(range(len(text)), key=lambda i: text[i:])
+
+
+@pytest.mark.parametrize("block", [20_000, 1])
+def test_suffix_dedup_brute_force(spark, corpus, block, monkeypatch):
+    monkeypatch.setattr(suffixes, "BLOCK_SEGMENTS", block)
+    datas = [(i, (t or "").encode()) for i, t in corpus]
+    count = collections.Counter(d[k : k + 400] for _, d in datas for k in range(len(d) - 399))
+    want = []
+    for i, d in datas:
+        cover = bytearray(len(d))
+        for k in range(len(d) - 399):
+            if count[d[k : k + 400]] > 1:
+                cover[k : k + 400] = b"\1" * 400
+        spans = sum(1 for k, c in enumerate(cover) if c and (k == 0 or not cover[k - 1]))
+        want.append((i, len(d), sum(cover), spans, bytes(b for b, c in zip(d, cover) if not c)))
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.remove_repeated_bytes(frame(spark, corpus)).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def shingles(t):
+    w = (t or "").lower().split()
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+
+def test_near_dedup_brute_force(spark, corpus):
+    ids = sorted({i for i, _ in corpus})
+    text, parent = dict(corpus), {i: i for i, _ in corpus}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    s = {i: shingles(text[i]) for i in ids}
+    for a in ids:
+        for b in ids:
+            same = words_of((text[a] or "").lower()) == words_of((text[b] or "").lower())
+            if a < b and (same or (s[a] and len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b]))):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    got = {r.doc_id: r.class_id for r in nearcopies.near_groups(frame(spark, corpus)).collect()}
+    assert got == {i: root(i) for i in ids}
+    assert len({got[i] for i in range(200, 206)}) == 1
+
+
+def test_components_of_chains_and_stars(spark):
+    links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)]
+    got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert all(got[i] == 0 for i in range(41)) and all(got[i] == 100 for i in range(100, 130))
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def smith_waterman(a, b):
+    rows, best = [[0] * (len(b) + 1)], 0
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b, 1):
+            row.append(max(0, rows[-1][j - 1] + (1 if x == y else -1), rows[-1][j] - 1, row[-1] - 1))
+            best = max(best, row[-1])
+        rows.append(row)
+    return best
+
+
+def test_alignment_brute_force():
+    import numpy as np
+
+    r = random.Random(4)
+    for _ in range(150):
+        a, b = [r.randint(0, 3) for _ in range(r.randint(1, 12))], [r.randint(0, 3) for _ in range(r.randint(0, 15))]
+        assert contamination.smith_waterman(np.array(a), np.array(b)) == smith_waterman(a, b)
+
+
+def test_decontamination(spark):
+    r = random.Random(6)
+    items = [(i, prose(r, 20 + i)) for i in range(12)] + [(50, None), (51, "one two"), (52, "")]
+    docs, want = [(0, prose(r, 200)), (1, None), (2, "")], {}
+    for i, t in items[:12]:
+        words = t.split()
+        words[len(words) // 2] = "changed"
+        docs += [(100 + i, f"{prose(r, 50)} {t.upper()}, {prose(r, 50)}"), (200 + i, f"{prose(r, 30)} {' '.join(words)} {prose(r, 9)}"), (300 + i, f"{prose(r, 40)} {' '.join(t.split()[:5])} {prose(r, 40)}")]
+        want |= {100 + i: [i], 200 + i: [i]}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r["items"] for r in contamination.contaminated(frame(spark, docs), bench).collect()}
+    assert got == {d: want.get(d, []) for d, _ in docs}
+    kept = contamination.drop_contaminated(frame(spark, docs), bench)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, _ in docs if d not in want)
+
+
+def test_bpe_equals_the_library(spark, corpus):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    r = random.Random(9)
+    odd = "aabeéÉßİΣς'sStTRvDd0½²٣ \t\n  \x1c漢ｶ👍́‍--!!<|>ﬁǅ"
+    rows = [*corpus, *[(1000 + i, "".join(r.choice(odd) for _ in range(30)) + ("<|endoftext|>x" if i % 9 == 0 else "")) for i in range(300)]]
+    got = sorted((r.doc_id, list(r.ids), r.decoded) for r in bpe.encode_texts(frame(spark, rows), path).collect())
+    want = []
+    for i, t in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        want.append((i, ids, library.decode(ids, skip_special_tokens=False)))
+    assert got == sorted(want)
+
+
+LABELLED = ["zonker", "klutzo", "blorfing", "blorfed", "blorfs", "blorfest"]
+
+
+def test_toxicity_learns_and_frames(spark):
+    r = random.Random(11)
+    docs, labels = [], []
+    for i in range(400):
+        bad = i % 4 == 0
+        text = prose(r, 20) + (f" {r.choice(LABELLED)} {prose(r, 4)} {r.choice(LABELLED)} " if bad else " ") + prose(r, 9)
+        docs.append((i, text))
+        labels.append((i, int(bad)))
+    d = spark.createDataFrame([*docs, (900, None), (901, "")], SCHEMA)
+    model = toxicity.fit(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {x.doc_id: x for x in with_split(toxicity.score_texts(d, model), 0.5).collect()}
+    held = [i for i, _ in docs if got[i].held_out]
+    assert 40 < len(held) < 120
+    assert sum(got[i].predicted == labels[i][1] for i in held) / len(held) > 0.95
+    assert got[900].score == got[901].score < 0.5 and all(0 <= x.score <= 1 for x in got.values())
+    assert model.lexicon.weight("zonker") > 0 and model.lexicon.weight("harmless") == 0
+    read = lambda t: dict(zip(toxicity.FRAMES, toxicity.read_clause(t.split(), model.lexicon)))
+    assert read("zonker")["plain"] > 0 and read("you zonker")["targeted"] > 0
+    assert read("not a zonker")["negated"] > 0 and read("they said zonker")["reported"] > 0
+    assert read("i will kill you")["threat"] > 0 and read("i will not kill you")["threat"] == 0
+    left = toxicity.drop_toxic(d, model)
+    assert left.columns == d.columns and {900, 901} <= {x.doc_id for x in left.collect()}
+
+
+def test_quality_machine(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(12)
+    texts = [prose(r, 60) if i % 2 else " ".join(w + "%%%" for w in prose(r, 60).split()) for i in range(240)]
+    docs = spark.createDataFrame([*enumerate(texts), (900, None), (901, "")], SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(240)], "doc_id long, quality int")
+    machine = quality.fit(docs, labels)
+    got = {x.doc_id: x for x in with_split(quality.score_texts(docs, machine), 0.3).collect()}
+    held = [i for i in range(240) if got[i].held_out]
+    assert sum(got[i].predicted == i % 2 for i in held) / len(held) > 0.95
+    assert len(got) == 242 and all(0 <= x.score <= 1 for x in got.values())
+    # Linear time equals the sum over pairs.
+    at, bucket, value, stats = quality.inputs(pa.array(texts[:3]))
+    x = np.zeros((3, quality.BUCKETS + quality.N_STATS))
+    x[at, bucket] = value
+    x[:, quality.BUCKETS :] = np.clip((stats - machine.mean) / machine.scale, -4, 4)
+    for i, margin in enumerate(machine.margins(at, bucket, value, stats)):
+        some = np.flatnonzero(x[i])
+        pairs = sum(x[i, a] * x[i, b] * (machine.factors[a] @ machine.factors[b]) for k, a in enumerate(some) for b in some[k + 1 :])
+        assert margin == pytest.approx(machine.bias + x[i] @ machine.linear + pairs)
+
+
+PII = [
+    (1, "Mail Anna.B9@mail7.example.com, ANNA.B9@MAIL7.EXAMPLE.COM or +1 (974) 555-3436 and +1.974.555.3436? ip 10.2.133.7."),
+    (2, "Frau Müller met Mr. John Smith and Mr. JOHN SMITH. card 4111111111111111 and 4111 1111 1111 1111 x"),
+    (3, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" KEY "04DBEBAB91AB85687D33EEAAF9AC699E1188F962"!! Mrs Иванова 123-45-6789'),
+    (4, None), (5, ""), (6, "nothing 12 here, CC BY-NC 4.0."), (7, "+1 (974) 555-3436"), (7, "+1 (974) 555-3436"),
+]
+
+
+def test_surrogates(spark):
+    got = sorted((r.doc_id, r.text, r.n_entities) for r in surrogates.replace_entities(frame(spark, PII)).collect())
+    text = dict((i, t) for i, t, _ in got)
+    for value in ("Anna", "ANNA", "974", "10.2.133.7", "Müller", "Smith", "4111", "04dbeb", "04DBEB", "Иванова", "123-45"):
+        assert not any(value in t for t in text.values())
+    lower, upper, p1, p2, ip = re.match(r"Mail (\S+), (\S+) or (\+\d \(\d{3}\) \d{3}-\d{4}) and (\+\d\.\d{3}\.\d{3}\.\d{4})\? ip (\S+)\.$", text[1]).groups()
+    assert lower.upper() == upper and re.sub(r"\D", "", p1) == re.sub(r"\D", "", p2) and text[7] == p1
+    assert all(int(x) < 256 for x in ip.split("."))
+    one, two = re.search(r"card (\d{16}) and ((?:\d{4} ?){4})", text[2]).groups()
+    assert one == two.replace(" ", "")
+    digits = [int(c) for c in one][::-1]
+    assert sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(digits)) % 10 == 0
+    assert re.search(r"Mr\. (\w+ \w+) and Mr\. (\w+ \w+)", text[2]).group(1).upper() == re.search(r"and Mr\. (\w+ \w+)", text[2]).group(1)
+    assert re.search("Mrs [А-Яа-я]+", text[3]) and text[6] == PII[5][1] and text[4] == text[5] == ""
+    assert [n for i, _, n in got if i == 7] == [1, 1]
+    again = {r.doc_id: r.text for r in surrogates.replace_entities(spark.createDataFrame(PII, SCHEMA), key="other").collect()}
+    assert again[1] != text[1]
+
+
+def test_surrogates_stay_distinct_where_few_values_are_free(spark):
+    values = spark.createDataFrame([("ip", f"{i}.0.0.{j}") for i in range(10) for j in range(10)], "kind string, value string")
+    got = surrogates.mapping(values, "k").collect()
+    assert len(got) == 100 and len({r.surrogate for r in got}) == 100
+    assert not {r.surrogate for r in got} & {r.value for r in got}
+
+
+@pytest.mark.parametrize(
+    "run",
+    [
+        lines.drop_repeated_lines, exact.exact_groups, exact.drop_exact_copies, substrings.remove_seen_windows, suffixes.remove_repeated_bytes, nearcopies.near_groups, nearcopies.drop_near_copies, surrogates.replace_entities,
+        lambda d: contamination.contaminated(d, d.sparkSession.createDataFrame([], "item_id long, text string")),
+        lambda d: toxicity.score_texts(d, toxicity.fit(d, d.sparkSession.createDataFrame([], "doc_id long, toxic int"))),
+        lambda d: quality.score_texts(d, quality.fit(d, d.sparkSession.createDataFrame([], "doc_id long, quality int"))),
+    ],
+)
+def test_empty_table(spark, run):
+    assert run(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_null_ids_do_not_crash(spark):
+    rows = [(None, "some words here"), (None, None), (1, "some words here")]
+    for run in (lines.drop_repeated_lines, exact.exact_groups, substrings.remove_seen_windows, suffixes.remove_repeated_bytes, surrogates.replace_entities):
+        assert run(spark.createDataFrame(rows, SCHEMA)).count() == 3
+    assert nearcopies.near_groups(spark.createDataFrame(rows, SCHEMA)).count() == 1
+
+
+def test_digests_of_the_pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, sf_dir)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert 0 < out.count() < docs.count() and out.select("doc_id").distinct().count() == out.count()
+    empty = hashlib.sha256(b"").hexdigest()
+    assert out.where(F.col("decoded_sha256") == empty).where("n_tokens > 0").count() == 0
