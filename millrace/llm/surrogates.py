@@ -204,7 +204,8 @@ def replace_entities(docs, key="millrace", id_col="doc_id", text_col="text"):
     none = base.where(~F.col("text").rlike(ANY)).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
     described = F.transform(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("mention"), kind_of(m).alias("kind")))
     valued = F.transform("found", lambda e: F.struct(e["mention"].alias("mention"), e["kind"].alias("kind"), canonical(e["kind"], e["mention"]).alias("value")))
-    mentions = some.withColumn("found", described).withColumn("found", valued)
+    # Few texts hold entities; what was found in them is kept, so that the patterns run over the corpus twice in all.
+    mentions = stored(some.withColumn("found", described).withColumn("found", valued), "mentions")
     met = stored(mentions.select("k1", "k2", F.explode(F.array_distinct(F.transform("found", lambda e: F.struct(e["kind"].alias("kind"), e["value"].alias("value"))))).alias("e")).select("k1", "k2", "e.*"), "entities")
     chosen = stored(mapping(stored(met.select("kind", "value").distinct(), "values"), key), "surrogates")
     per_text = met.join(chosen, ["kind", "value"]).groupBy("k1", "k2").agg(F.collect_set(F.struct(F.concat_ws("|", "kind", "value"), "surrogate")).alias("pairs"))
