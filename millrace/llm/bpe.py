@@ -51,7 +51,12 @@ class Automaton:
             self.add_gadget(vocabulary[u], vocabulary[v], vocabulary[u + v], rank)
         self.arcs = {}
         self.end = len(merges)
-        self.reach = max(map(len, vocabulary))
+        # Longest label that begins with given three symbols: no longer arc need be tried.
+        self.reach = {}
+        for label in vocabulary:
+            bare = label.removesuffix(suffix) if suffix and len(label) > len(suffix) else label
+            for known in {label, bare}:
+                self.reach[known[:3]] = max(self.reach.get(known[:3], 0), len(known))
         self.bytes = byte_symbols()
 
     def add_gadget(self, u, v, new, rank):
@@ -93,11 +98,12 @@ class Automaton:
     def encode(self, word):
         """Ids of the one path that spells a pre-split word: longest arcs first, back from dead ends."""
         symbols = "".join(map(self.bytes.__getitem__, word.encode("utf-8")))
-        n, get, step, live, reach = len(symbols), self.ids.get, self.step, self.live, self.reach
+        n, get, step, live, reach = len(symbols), self.ids.get, self.step, self.live, self.reach.get
         whole = get(symbols + self.suffix)
         if whole is not None and live[whole]:
             return [whole]
-        path, ends, end, state, begin = [], [], n, START, 0
+        path, ends, state, begin = [], [], START, 0
+        end = min(n, reach(symbols[:3], 2))
         while True:
             while end > begin:
                 token = get(symbols[begin:end] if end < n else symbols[begin:] + self.suffix)
@@ -115,7 +121,7 @@ class Automaton:
             ends.append(end)
             if end == n:
                 return path
-            state, begin, end = token, end, min(n, end + reach)
+            state, begin, end = token, end, min(n, end + reach(symbols[end : end + 3], 2))
 
 
 class Tokenizer:
