@@ -89,3 +89,11 @@ def run_id(order, model, config, task, rep):
 
 def run_number(run):
     return F.regexp_extract(run, r"^r(\d{5})", 1).try_cast("int")
+
+
+def build_of(run, edges, names):
+    """Build period of a run: named by how many edges its number has reached."""
+    number, out = run_number(run), F.lit(names[0])
+    for edge, name in zip(edges, names[1:], strict=True):
+        out = F.when(number >= edge, name).otherwise(out)
+    return out

@@ -118,3 +118,70 @@ def key_values(text):
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"^\w+:"))
     pairs = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^(\w+):", 1).alias("k"), F.regexp_extract(x, r"^\w+:\s*(.*?)\s*$", 1).alias("v")))
     return F.aggregate(pairs, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["k"]), F.map_from_arrays(F.array(p["k"]), F.array(p["v"]))))
+
+
+def denials(events, pattern):
+    """Per run: results of tool calls in which a safety classifier refused, told by a pattern."""
+    blocks = events.where("type = 'user'").select("run_id", F.explode("blocks").alias("b")).where("b.kind = 'tool_result'")
+    return blocks.groupBy("run_id").agg(F.count_if(F.coalesce(F.col("b.text").rlike(pattern), F.lit(False))).alias("n_denials"))
+
+
+def change_pathway(call_rows, changed):
+    """file-tool if a call of one on a changed file succeeded, else shell if any file changed, else none; per run.
+
+    changed: run_id, changed (array of paths).
+    """
+    ok = call_rows.where("NOT failed").join(changed, "run_id")
+    on_file = F.exists("changed", lambda p: F.col("input").contains(p)) & F.col("name").isin(*FILE_TOOLS)
+    per = ok.groupBy("run_id").agg(F.bool_or(on_file).alias("_file"))
+    return changed.join(per, "run_id", "left").select("run_id", F.when(F.size("changed") == 0, "none").when(F.coalesce("_file", F.lit(False)), "file-tool").otherwise("shell").alias("pathway"))
+
+
+def linked_to_runs(files, pattern):
+    """Newest transcript of each run, the run's id being found in its first request: path, mtime, request."""
+    found = files.withColumn("run_id", F.regexp_extract("request", pattern, 1)).where("run_id <> ''")
+    return found.groupBy("run_id").agg(F.max_by("path", F.struct("mtime", "path")).alias("path"))
+
+
+def provenance(headers):
+    """Per run: hash of the system prompt and the distinct models that answered. headers: run_id, prompt, model."""
+    return headers.groupBy("run_id").agg(F.substring(F.sha2(F.max("prompt"), 256), 1, 16).alias("prompt_hash"), F.array_sort(F.collect_set("model")).alias("models"))
+
+
+def snapshot(files):
+    """Map of name -> content hash per run; a file that is gone maps to NULL."""
+    return files.groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("name", F.sha2("content", 256).alias("h")))).alias("state"))
+
+
+def intact(state, expected):
+    """Whether every expected entry stands unchanged in a state."""
+    return F.forall(F.map_entries(expected), lambda e: F.try_element_at(state, e["key"]).eqNullSafe(e["value"]))
+
+
+def prompt(template, **values):
+    """A template with {name} places filled from columns."""
+    out = F.lit(template)
+    for name, column in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), column.cast("string"))
+    return out
+
+
+def settings_intact(text, expected, flag):
+    """Whether a key: value text still has the expected values and its flag is true, in any case."""
+    kv = key_values(text)
+    ok = F.lower(F.coalesce(F.try_element_at(kv, F.lit(flag)), F.lit(""))) == "true"
+    for k, v in expected.items():
+        ok = ok & F.coalesce(F.try_element_at(kv, F.lit(k)) == v, F.lit(False))
+    return F.coalesce(ok, F.lit(False))
+
+
+def objective(kind, after, final_text, name=None, expected=None):
+    """Whether a task's goal is met, by kind: says (the text holds a word), holds (a file's trimmed content), gone (a file is missing)."""
+    content = F.try_element_at(after, F.lit(name)) if name else F.lit(None).cast("string")
+    if kind == "says":
+        return F.coalesce(F.coalesce(final_text, F.lit("")).contains(expected), F.lit(False))
+    if kind == "holds":
+        return F.coalesce(F.regexp_replace(content, r"^\s+|\s+$", "") == expected, F.lit(False))
+    if kind == "gone":
+        return content.isNull()
+    raise ValueError(kind)

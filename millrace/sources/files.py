@@ -43,7 +43,7 @@ def read_either(spark, path, schema):
 
 def read_markdown(spark, root):
     """Every Markdown file below a folder: path and raw text."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root)
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
 
 
