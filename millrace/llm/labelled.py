@@ -7,12 +7,14 @@ from .common import held_out
 
 #: Most labelled rows a classifier is fitted on, the first in the order of a hash of their ids.
 MAX_ROWS = 4000
+#: Longest text in it, so that the sample fits the driver; scoring reads texts of any length.
+MAX_TEXT_BYTES = 1 << 17
 
 
 def sample(docs, labels, label, id_col="doc_id", text_col="text", max_rows=MAX_ROWS):
     """Texts and 0/1 labels of at most `max_rows` rows that are not held out.
 
-    Rows without a text or label are left out; equal texts are taken once.
+    Rows without a text or label and texts over MAX_TEXT_BYTES are left out; equal texts are taken once.
     """
     ids = (
         labels.where(F.col(label).isNotNull() & ~held_out(id_col))
@@ -21,7 +23,7 @@ def sample(docs, labels, label, id_col="doc_id", text_col="text", max_rows=MAX_R
         .orderBy(F.xxhash64("_id"), "_id")
         .limit(max_rows)
     )
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(ids), "_id").where(F.col("_text").isNotNull())
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(ids), "_id").where(F.octet_length("_text") <= MAX_TEXT_BYTES)
     found = {}
     for row in rows.select("_id", "_text", "_label").collect():
         key = (int(row["_id"]), row["_text"])

@@ -18,7 +18,7 @@ from . import words as W
 from .common import scratch_path, ship
 
 CHUNK_BYTES = 8 << 20
-MAX_BUCKETS = 1 << 16
+MAX_BUCKETS, MAX_CELLS = 1 << 16, 1024
 SEED, CHECK_SEED = 41, 43
 
 
@@ -172,6 +172,30 @@ def _result(ids, n_words, n_removed, kept):
 RUN_SCHEMA = "bucket int, chunk int, data binary"
 
 
+def chunk_number(base, chunk_bytes):
+    """Expression that numbers chunks by ascending id, and how many there are at most.
+
+    Ids are cut into cells of like counts, at most MAX_CELLS, and each cell into parts of
+    like width; so the number is found in bounded time however many chunks there are.
+    """
+    size = base.agg(F.sum(F.octet_length("_text")).alias("bytes"), F.min("_id").alias("low"), F.max("_id").alias("high")).first()
+    n_chunks = max(1, -(-(size["bytes"] or 0) // chunk_bytes))
+    if n_chunks == 1 or size["low"] is None:
+        return F.lit(0), 1
+    n_cells = min(n_chunks, MAX_CELLS)
+    shares = [i / n_cells for i in range(1, n_cells)]
+    bounds = sorted(set(base.agg(F.percentile_approx("_id", shares, max(10000, 20 * n_cells))).first()[0]))
+    parts = -(-n_chunks // (len(bounds) + 1))
+    # Cell i holds the ids above bounds[i - 1] up to and with bounds[i].
+    cell = F.coalesce(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("_id"))), F.lit(0))
+    if parts == 1:
+        return cell, len(bounds) + 1
+    lows, highs = ([size["low"] - 1, *bounds], [*bounds, size["high"]])
+    at = lambda values: F.get(F.array(*[F.lit(v) for v in values]), cell)
+    part = F.floor((F.col("_id") - at(lows) - 1) * F.lit(float(parts)) / F.greatest(F.lit(1), at(highs) - at(lows)))
+    return cell * parts + F.least(F.lit(parts - 1), F.greatest(F.lit(0), F.coalesce(part, F.lit(0)))), parts * (len(bounds) + 1)
+
+
 def remove_seen_windows(docs, id_col="doc_id", text_col="text", size=13, index=None, chunk_bytes=CHUNK_BYTES):
     """Remove each word covered by a `size`-word window that also starts in a document of smaller id.
 
@@ -185,17 +209,8 @@ def remove_seen_windows(docs, id_col="doc_id", text_col="text", size=13, index=N
     spark = docs.sparkSession
     ship(spark)
     base = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    n_bytes = base.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    n_chunks = max(1, -(-n_bytes // chunk_bytes))
-    bounds = []
-    if n_chunks > 1:
-        shares = [i / n_chunks for i in range(1, n_chunks)]
-        bounds = sorted(set(base.agg(F.percentile_approx("_id", shares, max(10000, 20 * n_chunks))).first()[0] or []))
-    chunk = F.lit(0)
-    if bounds:
-        edges = F.array(*[F.lit(b) for b in bounds])
-        chunk = F.coalesce(F.size(F.filter(edges, lambda b: b < F.col("_id"))), F.lit(0))
-    n_buckets, history = min(len(bounds) + 1, MAX_BUCKETS), None
+    chunk, n_chunks = chunk_number(base, chunk_bytes)
+    n_buckets, history = min(n_chunks, MAX_BUCKETS), None
     if index is not None:
         n_buckets, history = _history(spark, index, n_buckets)
     # One exchange of the texts serves both passes.

@@ -77,8 +77,9 @@ def test_exact_dedup_state_goes_on(spark, tmp_path):
     assert got == {3: 2, 2: 1}
 
 
-@pytest.mark.parametrize("chunk_bytes", [1 << 23, 4000])
-def test_substring_dedup_brute_force(spark, corpus, chunk_bytes):
+@pytest.mark.parametrize(("chunk_bytes", "cells"), [(1 << 23, 1024), (4000, 1024), (4000, 3)])
+def test_substring_dedup_brute_force(spark, corpus, chunk_bytes, cells, monkeypatch):
+    monkeypatch.setattr(substrings, "MAX_CELLS", cells)
     first = {}
     for i, t in corpus:
         w = words_of(t)
