@@ -52,9 +52,12 @@ def bootstrap_means(values, by=("estimate",), value="rate", replicates=REPLICATE
     by = list(by)
     numbered = _numbered(values.where(F.col(value).isNotNull()), by, value)
     sizes = numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    # A given number of partitions: the rows to spread are few, but what each unfolds into is not.
+    spark = values.sparkSession
+    parts = max(1, min(replicates, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     draws = (
         sizes.select(*by, "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-        .repartition("rep")
+        .repartition(parts, "rep")
         .select(*by, "n", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("place"))
         .select(*by, "rep", draw(seed, F.col("rep"), F.col("place"), F.col("n")).cast("int").alias("k"))
     )
