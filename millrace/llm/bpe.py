@@ -10,6 +10,7 @@ kept in the transition table (all of them together would be the square of the
 vocabulary).
 """
 
+import gc
 import json
 import re
 import unicodedata
@@ -28,7 +29,7 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WHITE_RUN = re.compile(f"[{WHITE}]+")
 #: Separators to str.split that are not white space there.
 ODD = re.compile("[\x1c-\x1f]")
-MAX_CACHED = 500_000
+MAX_CACHED = 200_000
 
 
 def byte_symbols():
@@ -202,8 +203,8 @@ class Tokenizer:
         """Arc labels joined by a space, as the file names no decoder; special tokens stay."""
         return " ".join(map(self.label, ids))
 
-    def trim(self):
-        if len(self.counts) > MAX_CACHED:
+    def trim(self, most=MAX_CACHED):
+        if len(self.counts) > most:
             self.encoded, self.rows_of, self.counts, self.flat, self.strings = {}, {}, [], [], []
 
 
@@ -238,6 +239,9 @@ def _encode(vocabulary):
                         "decoded": pa.array(decoded, pa.string()),
                     }
                 )
+                del rows, decoded, flat
+        made.trim(0)  # an idle worker holds no words
+        gc.collect()
 
     return run
 
