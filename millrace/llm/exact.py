@@ -84,7 +84,7 @@ def exact_groups(docs, id_col="doc_id", text_col="text", state_dir=None):
     members = seen.join(state.drop("locator"), "digest")
     hits = members.where("group_size > 1").select("doc_id", "digest", "keep_id")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(text_col).alias("bytes"))
-    held = texts.join(hits, "doc_id")
+    held = stored(texts.join(hits, "doc_id"), "exact-hits")  # read twice; texts are shuffled once
     keepers = held.where(F.col("doc_id") == F.col("keep_id")).select("digest", F.col("bytes").alias("kept_bytes"))
     others = held.where(F.col("doc_id") != F.col("keep_id"))
     unequal = others.join(keepers, "digest").where(F.col("bytes") != F.col("kept_bytes")).select("doc_id", "digest").distinct()
