@@ -1,8 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Every n-gram of the test items is counted over all documents. An item's seeds are the
-rarer half of its n-grams. Documents are joined to items by seeds that lie on near
-diagonals, and the passage around them is aligned with the item word by word.
+An alignment of m matches and e edits falls into e + 1 runs of matches at most, so one of
+score m - e holds that score less one matching pairs of neighbouring words. So many pairs
+are asked for before a passage is aligned with the item word by word, and nothing that
+reaches the score is missed. Pairs are counted over all documents: of those that occur,
+an item's seeds leave out the commonest, but so few that every alignment holds SEEDS others.
 """
 
 import numpy as np
@@ -12,11 +14,14 @@ from pyspark.sql import functions as F
 from . import words as W
 from .common import ship
 
-SEED_WORDS, SEED_MIX = 3, 59
+SEED_WORDS, SEED_MIX = 2, 59
 #: Test items held by a worker at a time; more are taken in turns.
 SLICE_BYTES = 32 << 20
 STRIP = ".,;:!?\"'()[]{}<>*#%&$|-"
-MIN_SEEDS, SLACK = 8, 8
+#: Pairs of words an alignment must share with an item outside the pairs left out.
+SEEDS = 3
+#: Items of fewer words are not looked for.
+MIN_WORDS = 3
 
 
 def tokens(texts):
@@ -45,33 +50,36 @@ def smith_waterman(item, passage):
 
 
 class Items:
-    """Test items with their n-grams, sorted for look-up."""
+    """Test items with their pairs of words, and what an alignment with each of them takes."""
 
     def __init__(self, ids, texts):
         self.ids = ids
         h, offsets = tokens(pa.array(texts, pa.string()))
         self.words = [h[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
-        gram, item, at = [], [], []
-        for i, w in enumerate(self.words):
-            g = W.windows(w, SEED_WORDS, SEED_MIX) if len(w) >= SEED_WORDS else np.empty(0, np.uint64)
-            gram.append(g)
-            item.append(np.full(len(g), i))
-            at.append(np.arange(len(g)))
-        self.gram = np.concatenate(gram) if gram else np.empty(0, np.uint64)
-        self.item = np.concatenate(item).astype(np.int64) if item else np.empty(0, np.int64)
-        self.at = np.concatenate(at).astype(np.int64) if at else np.empty(0, np.int64)
-        self.grams = np.unique(self.gram)
+        self.pairs = [W.windows(w, SEED_WORDS, SEED_MIX) if len(w) >= MIN_WORDS else np.empty(0, np.uint64) for w in self.words]
+        self.grams = np.unique(np.concatenate(self.pairs)) if self.pairs else np.empty(0, np.uint64)
+        least = [int(np.ceil(need(len(w)) - 1e-9)) for w in self.words]
+        #: Matching pairs in every alignment that is a copy, and the words of a document it extends over at most.
+        self.least = np.array([x - 1 for x in least], np.int64)
+        self.reach = np.array([2 * len(w) - x for w, x in zip(self.words, least, strict=True)], np.int64)
+        #: Seeds in every such alignment.
+        self.seeded = np.minimum(self.least, SEEDS)
 
     def seeds(self, counts):
-        """Gram, item and place of each item's rarer n-grams; counts are those of self.grams."""
-        times = counts[np.searchsorted(self.grams, self.gram)]
-        keep = np.zeros(len(self.gram), bool)
-        for i in range(len(self.words)):
-            own = np.flatnonzero(self.item == i) if len(self.words) < 2 else np.arange(*np.searchsorted(self.item, [i, i + 1]))
-            rare = own[np.argsort(times[own], kind="stable")][: max(MIN_SEEDS, (len(own) + 1) // 2)]
-            keep[rare] = True
-        order = np.argsort(self.gram[keep], kind="stable")
-        return self.gram[keep][order], self.item[keep][order], self.at[keep][order]
+        """Gram and item of every seed, sorted by gram; counts are those of self.grams."""
+        gram, item = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for i, pairs in enumerate(self.pairs):
+            times = counts[np.searchsorted(self.grams, pairs)]
+            some = np.flatnonzero(times)
+            if len(some) < self.least[i]:
+                continue  # the documents hold too few of its pairs for any copy
+            rare = some[np.argsort(times[some], kind="stable")][: len(some) - (self.least[i] - self.seeded[i])]
+            own = np.unique(pairs[rare])
+            gram.append(own)
+            item.append(np.full(len(own), i))
+        gram, item = np.concatenate(gram), np.concatenate(item)
+        order = np.argsort(gram, kind="stable")
+        return gram[order], item[order]
 
 
 def _grams(texts):
@@ -95,9 +103,19 @@ def _count(grams):
     return run
 
 
+def spans(places, times, reach):
+    """Where `times` of the ascending places lie within `reach` words: the first and last place of each, overlaps joined."""
+    some = np.flatnonzero(places[times - 1 :] - places[: max(0, len(places) - times + 1)] <= reach)
+    if not len(some):
+        return []
+    first, last = places[some], places[some + times - 1]
+    cut = np.flatnonzero(first[1:] > last[:-1] + 2 * reach) + 1
+    return list(zip(first[[0, *cut]], last[[*(cut - 1), -1]], strict=True))
+
+
 def match(h, offsets, g, ok, items, seeds):
     """For each document of a slice: item numbers and scores of the copies found in it."""
-    gram, item, at = seeds
+    gram, item = seeds
     found = [[] for _ in offsets[:-1]]
     if not len(g) or not len(gram):
         return found
@@ -107,29 +125,27 @@ def match(h, offsets, g, ok, items, seeds):
         return found
     count = np.searchsorted(gram, g[hit], side="right") - low[hit]
     place = np.repeat(hit, count)
-    which = np.repeat(low[hit], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    it = item[np.repeat(low[hit], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
     doc = np.searchsorted(offsets, place, side="right") - 1
-    order = np.lexsort((place, item[which], doc))
-    place, which, doc = place[order], which[order], doc[order]
-    it = item[which]
-    group = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (it[1:] != it[:-1]))))
-    for a, b in zip(group, [*group[1:], len(doc)], strict=True):
-        d, i = doc[a], it[a]
-        words = items.words[i]
-        n = len(words)
-        starts = place[a:b] - at[which[a:b]]
-        few = n - SEED_WORDS + 1 < MIN_SEEDS
-        # Passages: hits whose diagonals differ by little more than an item's length belong together.
-        by = np.argsort(starts, kind="stable")
-        cut = np.flatnonzero(np.diff(starts[by]) > SLACK) + 1
-        best = 0.0
-        for rows in np.split(by, cut):
-            if not few and len(np.unique(which[a:b][rows])) < 2:
-                continue
-            begin = max(offsets[d], starts[rows].min() - SLACK)
-            end = min(offsets[d + 1], starts[rows].max() + n + SLACK)
-            score = smith_waterman(words, h[begin:end])
-            best = max(best, score)
+    order = np.lexsort((place, it, doc))
+    place, it, doc = place[order], it[order], doc[order]
+    # Enough seeds of one item within the reach of an alignment.
+    last = np.arange(len(place)) + items.seeded[it] - 1
+    to = np.minimum(last, len(place) - 1)
+    near = np.flatnonzero((last < len(place)) & (doc[to] == doc) & (it[to] == it) & (place[to] - place <= items.reach[it]))
+    if not len(near):
+        return found
+    group = np.flatnonzero(np.concatenate(([True], (doc[near[1:]] != doc[near[:-1]]) | (it[near[1:]] != it[near[:-1]]))))
+    for a, b in zip(group, [*group[1:], len(near)], strict=True):
+        rows = near[a:b]
+        d, i = doc[rows[0]], it[rows[0]]
+        words, reach, least = items.words[i], items.reach[i], items.least[i]
+        n, best = len(words), 0.0
+        begin, end = max(offsets[d], place[rows[0]] - reach), min(offsets[d + 1], place[to[rows[-1]]] + reach + SEED_WORDS)
+        shared = begin + np.flatnonzero(np.isin(g[begin : end - SEED_WORDS + 1], items.pairs[i]))
+        for first, final in spans(shared, least, reach):
+            start, stop = max(offsets[d], first - reach), min(offsets[d + 1], final + reach + SEED_WORDS)
+            best = max(best, smith_waterman(words, h[start:stop]))
             if best >= n:
                 break
         if best >= need(n):

@@ -214,6 +214,26 @@ def test_decontamination(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, _ in docs if d not in want)
 
 
+@pytest.mark.parametrize("absent", [True, False])
+def test_decontamination_equals_alignment_of_all(spark, absent):
+    """Edited copies, halves and chance neighbours: what aligns is found, whether or not the item's other words occur."""
+    r = random.Random(16)
+    vocabulary = prose(r, 400).split()
+    items = [(i, " ".join(r.choice(vocabulary[:60] if i % 4 == 0 else vocabulary) for _ in range(n))) for i, n in enumerate([3, 5, 8, 9, 12, 16, 20, 25, 31, 38, 45, 59])]
+    texts = []
+    for i, t in items:
+        words = t.split()
+        for every in (3, 4, 5):
+            copy = [f"changed{k}" if k % every == every - 1 else w for k, w in enumerate(words)]
+            texts += [copy, [w for k, w in enumerate(words) if k % every != every - 1], [x for k, w in enumerate(words) for x in ([w, "added"] if k % every == 0 else [w])]]
+        texts += [words[: len(words) // 2 + 1], words[len(words) // 3 :], [w if r.random() < 0.75 else r.choice(vocabulary) for w in words]]
+    docs = [(k, " ".join([*(r.choice(vocabulary) for _ in range(30)), *t, *(r.choice(vocabulary) for _ in range(30))])) for k, t in enumerate(texts)]
+    docs += [] if absent else [(1000 + i, t) for i, t in items]
+    want = {d: [i for i, t in items if smith_waterman(t.split(), text.split()) >= contamination.need(len(t.split()))] for d, text in docs}
+    got = {x.doc_id: x["items"] for x in contamination.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want and sum(map(len, want.values())) > 60
+
+
 def test_bpe_equals_the_library(spark, corpus):
     import public_tokenizers
     from tokenizers import Tokenizer
