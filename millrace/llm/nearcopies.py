@@ -3,9 +3,11 @@
 A text's k-mers are its runs of five words, labelled by occurrence so that repeats
 differ. Each of several sketches takes the few k-mers of least hash under its own seed
 and keeps them in text order, so two sketches agree only if the k-mers and their order
-do. Texts are grouped first into classes of equal words; classes that share a sketch
-meet at up to three leaders of its bucket, and each such pair is aligned: k-mers common
-to both are chained in order, within a band around the diagonal.
+do. Texts are grouped first into classes of equal words, and every two classes that share
+a sketch are compared. Pairs of small buckets are listed and aligned one by one: k-mers
+common to both are chained in order, within a band around the diagonal. Larger buckets are
+dealt to blocks of bounded size, one for every two parts of a bucket; a block counts the
+common k-mers of all its pairs at once and hands on numbers of links and a forest of them.
 """
 
 from bisect import bisect_left
@@ -21,6 +23,8 @@ from .components import connected_components
 K, KMER_SEED = 5, 71
 SKETCHES, TAKEN = 20, 3
 SIMILARITY = 0.8
+#: Members of a bucket whose pairs are listed, and of a part of a larger bucket (on average).
+LISTED, PART = 16, 256
 SEEDS = W.constants(SKETCHES, 73)
 ORDER = W.constants(TAKEN, 79)
 
@@ -102,7 +106,7 @@ def _sketch(batches):
                 out.append(sketches(kmers).view(np.int64))
             yield pa.RecordBatch.from_pydict(
                 {
-                    "doc_id": part.column("_id"),
+                    "node": part.column("node"),
                     "h1": pa.array(np.array(one, np.uint64).view(np.int64)),
                     "h2": pa.array(np.array(two, np.uint64).view(np.int64)),
                     "sketches": pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]), pa.int32()), pa.array(np.concatenate(out) if out else [], pa.int64())),
@@ -118,43 +122,136 @@ def _verify(batches):
             yield pa.RecordBatch.from_pydict({"a": part.column("a"), "b": part.column("b"), "similarity": pa.array(found, pa.float64())})
 
 
+def common_counts(kmers):
+    """How many labelled k-mers each two of the texts have in common."""
+    total = np.zeros((len(kmers), len(kmers)), np.float32)
+    flat = np.concatenate(kmers)
+    row = np.repeat(np.arange(len(kmers)), [len(k) for k in kmers])
+    by = np.argsort(flat, kind="stable")
+    flat, row = flat[by], row[by]
+    new = np.concatenate(([True], flat[1:] != flat[:-1])) if len(flat) else np.empty(0, bool)
+    number = np.cumsum(new) - 1
+    shared = np.bincount(number)[number] > 1 if len(flat) else new
+    row, number = row[shared], (np.cumsum(new[shared]) - 1)
+    for start in range(0, int(number[-1]) + 1 if len(number) else 0, 4096):
+        a, b = np.searchsorted(number, [start, start + 4096])
+        tile = np.zeros((len(kmers), 4096), np.float32)
+        tile[row[a:b], number[a:b] - start] = 1
+        total += tile @ tile.T
+    return total
+
+
+def _pairs_of_block(band, one, two, bands):
+    """Members of which pairs this block has to compare: those it is first to hold and no small bucket lists."""
+    n = len(bands)
+    sketch, large = np.zeros((n, SKETCHES), np.int64), np.zeros((n, SKETCHES), bool)
+    met = np.zeros((n, SKETCHES), bool)
+    for i, row in enumerate(bands):
+        for x in row:
+            sketch[i, x["band"]], large[i, x["band"]], met[i, x["band"]] = x["sketch"], x["n"] > LISTED, True
+    mine = one[:, None] < two[None, :]
+    for k in range(SKETCHES):
+        if k < band or not large[:, k].all():
+            same = (sketch[:, k][:, None] == sketch[:, k][None, :]) & met[:, k][:, None] & met[:, k][None, :]
+            mine &= ~(same if k < band else same & ~large[:, k][:, None])
+    return mine
+
+
+def _block(table):
+    """Links within one block: for each member its number of links, and the least member it hangs together with."""
+    table = table.combine_chunks()
+    nodes = table.column("node").to_pylist()
+    first = {}
+    for i, node in enumerate(nodes):
+        first.setdefault((node["id"], node["key"]), i)  # rows that repeat an id and a text are one
+    keys = sorted(first)
+    table = table.take(pa.array([first[k] for k in keys], pa.int64()))
+    band, low, high = (table.column(c)[0].as_py() for c in ("band", "low", "high"))
+    part = np.asarray(table.column("part"))
+    order = np.arange(len(keys))
+    mine = _pairs_of_block(band, order, order, table.column("bands").to_pylist())
+    if low != high:
+        mine &= part[:, None] != part[None, :]
+    rows = np.flatnonzero(mine.any(0) | mine.any(1))
+    out = {"a": [], "b": [], "links": []}
+    if len(rows):
+        kmers = [k for k, _ in kmers_of(table.column("_text").take(pa.array(rows)))]
+        size = np.array([len(k) for k in kmers], np.float64)
+        common = common_counts(kmers).astype(np.float64)
+        linked = mine[np.ix_(rows, rows)] & (common > 0) & (common / np.maximum(size[:, None] + size[None, :] - common, 1) >= SIMILARITY)
+        linked |= linked.T
+        root = np.arange(len(rows))
+        while True:
+            after = np.minimum(root, np.where(linked, root[None, :], len(rows)).min(1))
+            after = after[after]
+            if (after == root).all():
+                break
+            root = after
+        for i in np.flatnonzero(linked.any(1)):
+            out["a"].append(dict(zip(("id", "key"), keys[rows[i]], strict=True)))
+            out["b"].append(dict(zip(("id", "key"), keys[rows[root[i]]], strict=True)))
+            out["links"].append(int(linked[i].sum()))
+    return pa.table({"a": pa.array(out["a"], NODE), "b": pa.array(out["b"], NODE), "links": pa.array(out["links"], pa.int64())})
+
+
+NODE = pa.struct([("id", pa.int64()), ("key", pa.int64())])
+NODE_TYPE = "struct<id:bigint,key:bigint>"
+
+
+def node_of(id_col="doc_id", text_col="text"):
+    """What tells a row's text from others of the same id."""
+    return F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("key"))
+
+
 def near_groups(docs, id_col="doc_id", text_col="text"):
     """doc_id, class_id (least id of its group), n_links, kept: one row per input row.
 
     Texts whose words are equal but for case and white space are one class; classes are
     linked at a similarity of 0.8 or more. n_links counts a class's links to classes of
     other words. Texts of under five words are grouped only with texts of the same words;
-    null and empty texts are one class. Rows that repeat an id get the same answer; rows
-    without an id are left out.
+    null and empty texts are one class. Rows that repeat an id and a text get the same
+    answer; rows without an id are left out.
     """
+    return _answers(docs, id_col, text_col).drop("node")
+
+
+def _answers(docs, id_col, text_col):
     spark = docs.sparkSession
     ship(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).where("_id IS NOT NULL")
-    every = stored(base.mapInArrow(_sketch, "doc_id long, h1 long, h2 long, sketches array<long>"), "sketches")
-    classes = stored(every.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "sketches")).alias("m")).select("h1", "h2", "m.*"), "word-classes")
-    spread = classes.select("doc_id", F.posexplode("sketches").alias("band", "sketch"))
-    draw = F.xxhash64("band", "doc_id")
-    buckets = stored(
-        spread.groupBy("band", "sketch")
-        .agg(F.array_distinct(F.array(F.min("doc_id"), F.max("doc_id"), F.min_by("doc_id", draw))).alias("leaders"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .select("band", "sketch", "leaders"),
-        "sketch-buckets",
+    base = docs.select(node_of(id_col, text_col).alias("node"), F.col(text_col).cast("string").alias("_text")).where("node.id IS NOT NULL")
+    every = stored(base.mapInArrow(_sketch, f"node {NODE_TYPE}, h1 long, h2 long, sketches array<long>"), "sketches")
+    classes = stored(every.groupBy("h1", "h2").agg(F.min(F.struct("node", "sketches")).alias("m")).select("h1", "h2", "m.*"), "word-classes")
+    spread = classes.select("node", F.posexplode("sketches").alias("band", "sketch"))
+    buckets = stored(spread.groupBy("band", "sketch").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sketch-buckets")
+    met = stored(spread.join(buckets, ["band", "sketch"]), "met")
+    members = met.where(F.col("n") <= LISTED).groupBy("band", "sketch").agg(F.array_sort(F.collect_list("node")).alias("m"))
+    each = members.select("m", F.posexplode("m").alias("at", "a")).select("a", F.explode(F.expr("slice(m, at + 2, size(m))")).alias("b"))
+    pairs = stored(each.distinct(), "pairs")
+    left = pairs.join(base.select(F.col("node").alias("a"), F.col("_text").alias("text_a")), "a")
+    both = left.join(base.select(F.col("node").alias("b"), F.col("_text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    single = stored(both.mapInArrow(_verify, f"a {NODE_TYPE}, b {NODE_TYPE}, similarity double").where(F.col("similarity") >= SIMILARITY).select("a", "b").distinct(), "near-links")
+
+    # Large buckets: each member goes to one block for every part of its bucket.
+    listed = met.groupBy("node").agg(F.collect_list(F.struct("band", "sketch", "n")).alias("bands")).where(F.exists("bands", lambda x: x["n"] > LISTED))
+    large = base.join(listed, "node").select("node", "_text", "bands", F.explode(F.filter("bands", lambda x: x["n"] > LISTED)).alias("x"))
+    parts = F.ceil(F.col("x.n") / PART)
+    dealt = large.select("node", "_text", "bands", "x.band", "x.sketch", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), parts.cast("int").alias("parts"))
+    blocks = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "node", "_text", "bands", "band", "sketch", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")
     )
-    met = spread.join(buckets, ["band", "sketch"]).select("doc_id", F.explode("leaders").alias("leader")).where("doc_id <> leader")
-    pairs = stored(met.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct(), "pairs")
-    texts = base.select(F.col("_id"), F.col("_text"))
-    left = pairs.join(texts.select(F.col("_id").alias("a"), F.col("_text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("_id").alias("b"), F.col("_text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    links = stored(both.mapInArrow(_verify, "a long, b long, similarity double").where(F.col("similarity") >= SIMILARITY).select("a", "b").distinct(), "near-links")
-    roots = connected_components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    block = stored(blocks.groupBy("band", "sketch", "low", "high").applyInArrow(_block, f"a {NODE_TYPE}, b {NODE_TYPE}, links long"), "block-links")
+
+    roots = connected_components(single.unionByName(block.where("a <> b").select("a", "b").distinct()))
+    ends = single.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("links")).unionByName(block.select(F.col("a").alias("node"), "links"))
+    degree = ends.groupBy("node").agg(F.sum("links").alias("n_links"))
     known = stored(
-        classes.select("h1", "h2", F.col("doc_id").alias("node")).join(roots, "node", "left").join(degree, "node", "left")
-        .select("h1", "h2", F.coalesce("root", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")),
+        classes.select("h1", "h2", "node").join(roots, "node", "left").join(degree, "node", "left")
+        .select("h1", "h2", F.coalesce("root", "node").alias("root"), (F.coalesce("root", "node") == F.col("node")).alias("leads"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")),
         "near-classes",
     )
-    return every.select("doc_id", "h1", "h2").join(known, ["h1", "h2"]).select("doc_id", "class_id", "n_links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return every.select("node", "h1", "h2").join(known, ["h1", "h2"]).select(
+        F.col("node.id").alias("doc_id"), F.col("root.id").alias("class_id"), "n_links", (F.col("leads") & (F.col("node.id") == F.col("root.id"))).alias("kept"), "node"
+    )
 
 
 def drop_near_copies(docs, id_col="doc_id", text_col="text"):

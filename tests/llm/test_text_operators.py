@@ -171,6 +171,34 @@ def test_near_dedup_brute_force(spark, corpus):
     assert len({got[i] for i in range(200, 206)}) == 1
 
 
+@pytest.mark.parametrize("part", [256, 25])
+def test_near_dedup_of_a_large_family(spark, part, monkeypatch):
+    """Variants of one template, partly below 0.8 to each other: every pair that shares a sketch counts."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(nearcopies, "PART", part)
+    r = random.Random(12)
+    template, docs = prose(r, 200).split(), []
+    for i in range(90):
+        words = list(template)
+        for k in r.sample(range(200), 3):
+            words[k] = f"edit{i}x{k}"
+        docs.append((i, " ".join(words)))
+    docs += [(100 + i, prose(r, 40) + (" x" * (i % 3))) for i in range(6)]
+    kmers = [k for k, _ in nearcopies.kmers_of(pa.array([t for _, t in docs]))]
+    seen = [nearcopies.sketches(k) for k in kmers]
+    links = [(a, b) for a in range(len(docs)) for b in range(a) if (seen[a] == seen[b]).any() and nearcopies.similarity(kmers[a], kmers[b]) >= 0.8]
+    degree = collections.Counter(x for pair in links for x in pair)
+    parent = list(range(len(docs)))
+    for _ in docs:
+        for a, b in links:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    got = {x.doc_id: (x.class_id, x.n_links) for x in nearcopies.near_groups(frame(spark, docs)).collect()}
+    assert got == {d: (docs[parent[k]][0], degree[k]) for k, (d, _) in enumerate(docs)}
+    assert len(links) > 50 and np.max([len(s) for s in seen]) == 20
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
