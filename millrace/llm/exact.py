@@ -82,13 +82,14 @@ def exact_groups(docs, id_col="doc_id", text_col="text", state_dir=None):
     seen = spark.read.parquet(path)
     state = stored(keyed_state(spark, path, state_dir), "exact-groups")
     members = seen.join(state.drop("locator"), "digest")
-    hits = members.where("group_size > 1").select("doc_id", "digest", "keep_id")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(text_col).alias("bytes"))
-    held = stored(texts.join(hits, "doc_id"), "exact-hits")  # read twice; texts are shuffled once
-    keepers = held.where(F.col("doc_id") == F.col("keep_id")).select("digest", F.col("bytes").alias("kept_bytes"))
-    others = held.where(F.col("doc_id") != F.col("keep_id"))
-    unequal = others.join(keepers, "digest").where(F.col("bytes") != F.col("kept_bytes")).select("doc_id", "digest").distinct()
-    checked = members.join(unequal.withColumn("_unequal", F.lit(True)), ["doc_id", "digest"], "left")
+    hits = members.where("group_size > 1").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "keep_id").distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(normalised(text_col), 256).alias("digest"), normalised(text_col).alias("bytes"))
+    of_row = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
+    held = stored(texts.join(hits, of_row).drop("_id", "_digest"), "exact-hits")  # read twice; texts are shuffled once
+    keepers = held.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("digest", F.col("bytes").alias("kept_bytes")).dropDuplicates(["digest"])
+    others = held.where(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    unequal = others.join(keepers, "digest").where(F.col("bytes") != F.col("kept_bytes")).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    checked = members.join(unequal.withColumn("_unequal", F.lit(True)), of_row, "left")
     return checked.select(
         "doc_id",
         F.when(F.col("_unequal"), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
@@ -99,6 +100,8 @@ def exact_groups(docs, id_col="doc_id", text_col="text", state_dir=None):
 
 
 def drop_exact_copies(docs, id_col="doc_id", text_col="text"):
-    """The documents that stay, with their own columns; rows that repeat a kept id come back once."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_keep"])).drop("_keep").dropDuplicates([id_col])
+    """The documents that stay, with their own columns: one row for each id and text, so texts under a repeated or null id all stay."""
+    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_keep_digest")).distinct()
+    rows = docs.withColumn("_digest", F.sha2(normalised(text_col), 256))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_keep")) & (F.col("_digest") == F.col("_keep_digest"))
+    return rows.join(kept, same).dropDuplicates([id_col, "_digest"]).drop("_keep", "_keep_digest", "_digest")

@@ -255,6 +255,6 @@ def _answers(docs, id_col, text_col):
 
 
 def drop_near_copies(docs, id_col="doc_id", text_col="text"):
-    """One document of each group, that of least id; rows without an id stay as they are."""
-    gone = near_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """One document of each group, that of least id; rows without an id stay as they are, and those that share one are judged by text."""
+    gone = _answers(docs, id_col, text_col).where(~F.col("kept")).select(F.col("node").alias("_gone")).distinct()
+    return docs.withColumn("_node", node_of(id_col, text_col)).join(gone, F.col("_node") == F.col("_gone"), "left_anti").drop("_node")

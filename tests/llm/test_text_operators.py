@@ -384,6 +384,18 @@ def test_null_ids_do_not_crash(spark):
     assert nearcopies.near_groups(spark.createDataFrame(rows, SCHEMA)).count() == 1
 
 
+def test_texts_under_repeated_and_null_ids_stay(spark):
+    r = random.Random(14)
+    one, two, three, four, five = (prose(r, 30) for _ in range(5))
+    rows = [(None, one), (None, two), (None, one), (3, three), (7, three), (7, four), (7, five), (7, five)]
+    want = sorted([one, two, three, four, five])
+    exactly = exact.drop_exact_copies(frame(spark, rows))
+    assert sorted(x.text for x in exactly.collect()) == want
+    assert {(x.doc_id, x.text) for x in exactly.collect()} == {(None, one), (None, two), (3, three), (7, four), (7, five)}
+    near = nearcopies.drop_near_copies(frame(spark, [*rows[3:], (9, four + " and more words")]))
+    assert {(x.doc_id, x.text) for x in near.collect()} == {(3, three), (7, four), (7, five)}
+
+
 def test_digests_of_the_pipeline(spark, sf_dir):
     import corpus_pipeline
 
