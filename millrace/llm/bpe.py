@@ -2,15 +2,21 @@
 
 The automaton reads token arcs: a path from the start spells a word exactly when it is
 the word's tokenization. It is compiled merge by merge. The gadget of a merge (u, v)
-adds the arc uv beside every path u, v, and splits the state behind u so that v no
-longer leaves it. The state behind a token depends on that token alone, so a gadget is
-three table entries: the two parts of the new token and its rank. Whether an arc leaves
-a state follows from the gadgets in order; arcs are expanded when first travelled and
-kept in the transition table (all of them together would be the square of the
+splits the state behind u: the new state shares all arcs of the old one but v, which it
+loses; beside every arc u it adds the arc uv, to the state behind v. A state is thus a
+parent, the arc it lost and when; an arc younger than its state leads on where the arc of
+its left part does. Arcs are expanded from this when first travelled and kept in a
+transition table of fixed size (all of them together would be the square of the
 vocabulary).
+
+Words are read in one pass. Exactly one token ends a prefix's tokenization, and it leaves
+the state behind the prefix before it. The tokens that can end where a reader stands are
+given by a table of transitions over bytes (a matching automaton of all labels); the one
+arc that leaves its state gives the state behind this place. All new words of a batch are
+read in step, place by place.
 """
 
-import gc
+import itertools
 import json
 import re
 import unicodedata
@@ -23,13 +29,15 @@ from pyspark.sql import functions as F
 from . import words as W
 from .common import ship
 
-START = -1
 #: White space of the Unicode standard, as the pre-split pattern understands it.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WHITE_RUN = re.compile(f"[{WHITE}]+")
 #: Separators to str.split that are not white space there.
 ODD = re.compile("[\x1c-\x1f]")
-MAX_CACHED = 200_000
+#: Slots of the transition table, and the longest word (in bytes) that is read in step with others.
+SLOTS, IN_STEP = 1 << 20, 48
+#: Bytes of encoded runs that a worker keeps in a generation; it holds two.
+KEPT_BYTES = 12 << 20
 
 
 def byte_symbols():
@@ -41,88 +49,211 @@ def byte_symbols():
 
 class Automaton:
     def __init__(self, vocabulary, merges, suffix):
-        self.suffix, self.ids = suffix, vocabulary
-        self.labels = {i: t for t, i in vocabulary.items()}
-        size = max(vocabulary.values()) + 1
-        self.left, self.right = [START] * size, [START] * size
-        self.rank = [-1] * size
-        self.gadgets = {}
-        self.live = [True] * size
+        self.size = max(vocabulary.values()) + 1
+        self.labels = [None] * self.size
+        for label, token in vocabulary.items():
+            self.labels[token] = label
+        self.left, self.right, self.rank = [-1] * self.size, [-1] * self.size, [-1] * self.size
+        self.live, self.behind = [label is not None for label in self.labels], [0] * self.size
+        #: State 0 is the start, where any arc leaves. Each state: owner, parent, lost arc, time.
+        self.owner, self.parent, self.lost, self.born = [-1], [-1], [-1], [-1]
+        self.merged = {}
         for rank, (u, v) in enumerate(merges):
             self.add_gadget(vocabulary[u], vocabulary[v], vocabulary[u + v], rank)
-        self.arcs = {}
-        self.end = len(merges)
-        # Longest label that begins with given three symbols: no longer arc need be tried.
-        self.reach = {}
-        for label in vocabulary:
-            bare = label.removesuffix(suffix) if suffix and len(label) > len(suffix) else label
-            for known in {label, bare}:
-                self.reach[known[:3]] = max(self.reach.get(known[:3], 0), len(known))
-        self.bytes = byte_symbols()
+        keys = np.array([u * self.size + v for u, v in self.merged], np.int64)
+        by = np.argsort(keys)
+        self.keys, self.ranks = keys[by], np.array(list(self.merged.values()), np.int64)[by]
+        for name in ("left", "right", "rank", "live", "behind", "owner", "parent", "lost", "born"):
+            setattr(self, name, np.array(getattr(self, name), bool if name == "live" else np.int32))
+        self.table = np.full(SLOTS, -1, np.int64)
+        self.compile_bytes(suffix)
 
     def add_gadget(self, u, v, new, rank):
         """Where no path u, v is left at its turn, a merge adds nothing and its token is dead."""
-        self.gadgets[u, v] = rank
-        self.live[new] = self.live[u] and self.live[v] and self.leaves(u, v, rank)
         self.left[new], self.right[new], self.rank[new] = u, v, rank
+        self.live[new] = self.live[u] and self.live[v] and self.leaves(self.behind[u], v)
+        if not self.live[new]:
+            return
+        self.behind[new] = self.behind[v]  # before the split, for v may be u
+        self.owner.append(u)
+        self.parent.append(self.behind[u])
+        self.lost.append(v)
+        self.born.append(rank)
+        self.behind[u] = len(self.owner) - 1
+        self.merged[u, v] = rank
+
+    def leaves(self, state, token):
+        """Whether an arc leaves a state: along the states it was split from, back in time."""
+        while state > 0:
+            if self.lost[state] == token:
+                return False
+            if self.rank[token] < self.born[state]:
+                state = self.parent[state]
+            else:
+                token = self.left[token]
+        return True
 
-    def leaves(self, state, token, before):
-        """Whether the arc `token` leaves the state behind `state` before the merge of rank `before`.
+    def expand(self, state, token):
+        """`leaves` for arrays of arcs, each state's chain of splits being passed in one step.
 
-        Going back in time, the younger of the two tokens is taken apart; the arc is gone if
-        a merge across the border came before that. At equal rank the pair further left
-        merges first: the left token before the border, the border before the right token.
+        The states split off behind one token u are passed at once: arc w is lost between
+        them exactly if u, w merged by then. Below them comes the state behind u's right
+        part at the time u came to be.
         """
-        if state == START:
-            return True
-        a, b, left_made, right_made = state, token, before, before
-        while True:
-            at = self.gadgets.get((a, b))
-            if at is not None and at < left_made and at <= right_made:
-                return False
-            if self.rank[a] < 0 and self.rank[b] < 0:
-                return True
-            if self.rank[b] >= self.rank[a]:
-                right_made, b = self.rank[b], self.left[b]
-            else:
-                left_made, a = self.rank[a], self.right[a]
-
-    def step(self, state, token):
-        row = self.arcs.get(state)
-        if row is None:
-            row = self.arcs[state] = {}
-        ok = row.get(token)
-        if ok is None:
-            ok = row[token] = self.leaves(state, token, self.end)
+        ok = self.live[token].copy()
+        open_ = np.flatnonzero(ok & (state > 0))
+        a, b = self.owner[state[open_]].astype(np.int64), token[open_].astype(np.int64)
+        until, by = self.born[state[open_]].astype(np.int64) + 1, np.full(len(open_), len(self.owner) + self.size, np.int64)
+        while len(open_):
+            key = a * self.size + b
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            rank = np.where(self.keys[at] == key, self.ranks[at], -1)
+            lost = (rank >= 0) & (rank < until) & (rank <= by)
+            ok[open_[lost]] = False
+            ra, rb = self.rank[a], self.rank[b]
+            go = ~lost & ((ra >= 0) | (rb >= 0))
+            open_, a, b, until, by, ra, rb = (x[go] for x in (open_, a, b, until, by, ra, rb))
+            strip = rb >= ra
+            by, b = np.where(strip, rb, by), np.where(strip, self.left[b], b)
+            until, a = np.where(strip, until, ra), np.where(strip, a, self.right[a])
         return ok
 
-    def encode(self, word):
-        """Ids of the one path that spells a pre-split word: longest arcs first, back from dead ends."""
-        symbols = "".join(map(self.bytes.__getitem__, word.encode("utf-8")))
-        n, get, step, live, reach = len(symbols), self.ids.get, self.step, self.live, self.reach.get
-        whole = get(symbols + self.suffix)
-        if whole is not None and live[whole]:
-            return [whole]
-        path, ends, state, begin = [], [], START, 0
-        end = min(n, reach(symbols[:3], 2))
-        while True:
-            while end > begin:
-                token = get(symbols[begin:end] if end < n else symbols[begin:] + self.suffix)
-                if token is not None and live[token] and step(state, token):
-                    break
-                end -= 1
-            else:  # no arc leaves here: take back the last one and try shorter
-                path.pop()
-                end = ends.pop()
-                begin = ends[-1] if ends else 0
-                state = path[-1] if path else START
-                end -= 1
-                continue
-            path.append(token)
-            ends.append(end)
-            if end == n:
-                return path
-            state, begin, end = token, end, min(n, end + reach(symbols[end : end + 3], 2))
+    def arcs(self, state, token):
+        """Whether each arc leaves its state, from the transition table; missing entries are expanded."""
+        key = state.astype(np.int64) * self.size + token
+        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64) & (SLOTS - 1)
+        held = self.table[slot]
+        ok = (held & 1).astype(bool)
+        new = np.flatnonzero(held >> 1 != key)
+        if len(new):
+            fresh, which = np.unique(key[new], return_inverse=True)
+            found = self.expand(fresh // self.size, fresh % self.size)[which]
+            ok[new] = found
+            self.table[slot[new]] = key[new] * 2 + found
+        return ok
+
+    def compile_bytes(self, suffix):
+        """Transitions over bytes: at each node, the longest token that ends there, within a word and at its end."""
+        symbols = byte_symbols()
+        byte_of = {c: b for b, c in symbols.items()}
+        inner, final = {}, {}
+        for token, label in enumerate(self.labels):
+            if label is not None and self.live[token]:
+                ends = bool(suffix) and len(label) > len(suffix) and label.endswith(suffix)
+                body = label.removesuffix(suffix) if ends else label
+                if all(c in byte_of for c in body):
+                    (final if ends or not suffix else inner)[bytes(byte_of[c] for c in body)] = token
+        inner = inner if suffix else final
+        bodies = {**inner, **final}
+        used = sorted({b for body in bodies if len(body) > 1 for b in body})
+        #: Class 0: bytes that only stand alone.
+        self.byte_class = np.zeros(256, np.int32)
+        self.byte_class[used] = np.arange(1, len(used) + 1)
+        prefixes = sorted({body[:i] for body in bodies for i in range(1, len(body) + 1) if self.byte_class[body[0]]}, key=len)
+        node = {b"": 0, **{p: i + 1 for i, p in enumerate(prefixes)}}
+        n = len(node)
+        parent = np.array([0, *(node[p[:-1]] for p in prefixes)], np.int32)
+        symbol = np.array([0, *(self.byte_class[p[-1]] for p in prefixes)], np.int32)
+        depth = np.array([0, *map(len, prefixes)], np.int32)
+        edges = np.searchsorted(depth, np.arange(depth.max() + 1))
+        fail = np.zeros(n, np.int32)
+        self.goto = np.zeros((n, len(used) + 1), np.int32)
+        out = {kind: np.full(n, -1, np.int32) for kind in ("inner", "final")}
+        for kind, tokens in (("inner", inner), ("final", final)):
+            for body, token in tokens.items():
+                if body in node:
+                    out[kind][node[body]] = token
+        own = {kind: x.copy() for kind, x in out.items()}
+        levels = [np.arange(a, b) for a, b in zip(edges, [*edges[1:], n], strict=True)]
+        for here, below in zip(levels, [*levels[1:], levels[0][:0]], strict=True):
+            if depth[here[0]] > 1:
+                fail[here] = self.goto[fail[parent[here]], symbol[here]]
+            if depth[here[0]] > 0:
+                self.goto[here] = self.goto[fail[here]]
+            self.goto[parent[below], symbol[below]] = below
+            for x in out.values():
+                x[here] = np.where(x[here] < 0, x[fail[here]], x[here])
+        self.out_inner, self.out_final = out["inner"], out["final"]
+        self.alone_inner, self.alone_final = (np.array([kind.get(bytes([b]), -1) for b in range(256)], np.int32) for kind in (inner, final))
+        self.length, self.link = np.zeros(self.size, np.int32), np.full(self.size, -1, np.int32)
+        for kind, tokens in (("inner", inner), ("final", final)):
+            for body, token in tokens.items():
+                self.length[token] = len(body)
+            ids = own[kind]
+            some = np.flatnonzero(ids >= 0)
+            self.link[ids[some]] = out[kind][fail[some]]
+
+    def read(self, word):
+        """Ids of one long word, by the same transitions."""
+        node, state, last = 0, [0], [-1]
+        for place, byte in enumerate(word, 1):
+            of = self.byte_class[byte]
+            node = self.goto[node, of]
+            ends = place == len(word)
+            token = (self.out_final if ends else self.out_inner)[node] if of else (self.alone_final if ends else self.alone_inner)[byte]
+            while not self.arcs(np.array([state[place - self.length[token]]]), np.array([token]))[0]:
+                token = self.link[token]
+            state.append(self.behind[token])
+            last.append(token)
+        place, out = len(word), []
+        while place:
+            out.append(int(last[place]))
+            place -= self.length[last[place]]
+        return out[::-1]
+
+    def encode(self, words):
+        """Ids of every word (non-empty bytes)."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        out = [None] * len(words)
+        for i in np.flatnonzero(sizes > IN_STEP).tolist():
+            out[i] = self.read(words[i])
+        some = np.flatnonzero(sizes <= IN_STEP)
+        some = some[np.argsort(-sizes[some], kind="stable")]
+        if not len(some):
+            return out
+        sizes, n, wide = sizes[some], len(some), int(sizes[some[0]])
+        flat = np.frombuffer(b"".join([words[i] for i in some.tolist()]), np.uint8)
+        starts = np.cumsum(sizes) - sizes
+        state, last = np.zeros((n, wide + 1), np.int32), np.zeros((n, wide + 1), np.int32)
+        node = np.zeros(n, np.int32)
+        for place in range(wide):
+            live = int(np.searchsorted(-sizes, -place, side="left"))  # words longer than this place
+            byte = flat[starts[:live] + place]
+            of = self.byte_class[byte]
+            node = self.goto[node[:live], of]
+            ends = sizes[:live] == place + 1
+            token = np.where(ends, self.out_final[node], self.out_inner[node])
+            alone = of == 0
+            if alone.any():
+                token[alone] = np.where(ends, self.alone_final[byte], self.alone_inner[byte])[alone]
+            todo = np.arange(live)
+            while len(todo):
+                t = token[todo]
+                ok = self.arcs(state[todo, place + 1 - self.length[t]], t)
+                done, t = todo[ok], t[ok]
+                last[done, place + 1], state[done, place + 1] = t, self.behind[t]
+                todo = todo[~ok]
+                token[todo] = self.link[token[todo]]
+        # The tokens of a word, from its end.
+        steps, at, which = [], sizes.copy(), np.arange(n)
+        while len(which):
+            t = last[which, at[which]]
+            steps.append((which, t))
+            at[which] -= self.length[t]
+            which = which[at[which] > 0]
+        counts = np.zeros(n, np.int64)
+        for which, _ in steps:
+            counts[which] += 1
+        ends = np.cumsum(counts)
+        ids = np.empty(int(ends[-1]), np.int64)
+        for k, (which, t) in enumerate(steps):
+            ids[ends[which] - 1 - k] = t
+        ids, ends = ids.tolist(), ends.tolist()
+        begin = 0
+        for i, end in zip(some.tolist(), ends, strict=True):
+            out[i] = ids[begin:end]
+            begin = end
+        return out
 
 
 class Tokenizer:
@@ -134,52 +265,20 @@ class Tokenizer:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.automaton = Automaton(model["vocab"], merges, model["end_of_word_suffix"] or "")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.labels = {**{i: t for t, i in self.special.items()}, **{i: t for i, t in enumerate(self.automaton.labels) if t is not None}}
         self.find_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}")).findall
-        self.encoded, self.rows_of, self.counts, self.flat, self.strings = {}, {}, [], [], []
-
-    def piece(self, piece):
-        ids = self.encoded.get(piece)
-        if ids is None:
-            ids = self.encoded[piece] = self.automaton.encode(piece)
-        return ids
-
-    def row(self, run):
-        """Row of a run of characters without white space in the tables of what is encoded."""
-        ids = [self.special[run]] if run in self.special else [i for p in self.pieces(self.normal(run)) for i in self.piece(p)]
-        row = self.rows_of[run] = len(self.counts)
-        self.counts.append(len(ids))
-        self.flat.append(ids)
-        self.strings.append(" ".join(map(self.label, ids)))
-        return row
-
-    def label(self, token):
-        return self.automaton.labels.get(token) or next(t for t, i in self.special.items() if i == token)
-
-    def rows(self, text):
-        """Rows of the runs of a text, special tokens being cut out of the raw text first.
-
-        No piece crosses white space, so runs are encoded once however often they occur.
-        """
+        #: Runs and their ids and labels, in two generations, so that those in use stay.
+        self.young, self.old, self.bytes = {}, {}, 0
+
+    def split(self, text):
+        """Runs of characters without white space; special tokens are cut out of the raw text first."""
         if not text:
             return []
-        return self.runs(WHITE_RUN.split(text) if ODD.search(text) else text.split())
-
-    def runs(self, runs):
-        get, row, special = self.rows_of.get, self.row, self.find_special
-        out = []
-        for run in runs:
-            r = get(run)
-            if r is None:
-                if not run:
-                    continue
-                if special is not None and "<" in run and run not in self.special and special.search(run):
-                    out += [self.rows_of[x] if x in self.rows_of else row(x) for x in self.cut(run) if x]
-                    continue
-                r = row(run)
-            out.append(r)
-        return out
+        if self.find_special is not None and self.find_special.search(text):
+            return [x for run in WHITE_RUN.split(text) for x in self.cut(run) if x]
+        return [x for x in WHITE_RUN.split(text) if x] if ODD.search(text) else text.split()
 
     def cut(self, run):
         at = 0
@@ -196,16 +295,38 @@ class Tokenizer:
         # Lower case goes character by character, without a special form at word ends.
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
+    def learn(self, runs):
+        """Encode runs not met before, all at once. No piece crosses white space, so a run's ids are its own."""
+        if self.bytes > KEPT_BYTES:
+            self.old, self.young, self.bytes = self.young, {}, 0
+        young, old, fresh, number = self.young, self.old, {}, {}
+        for run in runs:
+            if run in young or run in fresh:
+                continue
+            got = old.get(run)
+            if got is not None:
+                young[run] = got
+            elif run in self.special:
+                fresh[run] = None
+            elif run.isascii() and run.isalpha():
+                fresh[run] = (number.setdefault(run.lower(), len(number)),)
+            else:
+                fresh[run] = [number.setdefault(p, len(number)) for p in self.pieces(self.normal(run))]
+        encoded = self.automaton.encode([p.encode("utf-8") for p in number])
+        label = self.labels.__getitem__
+        for run, pieces in fresh.items():
+            ids = [self.special[run]] if pieces is None else encoded[pieces[0]] if len(pieces) == 1 else [i for p in pieces for i in encoded[p]]
+            young[run] = (ids, " ".join(map(label, ids)))
+            self.bytes += 240 + len(run) + 12 * len(ids) * 2
+
     def encode(self, text):
-        return [i for row in self.rows(text) for i in self.flat[row]]
+        runs = self.split(text)
+        self.learn(runs)
+        return [i for run in runs for i in self.young[run][0]]
 
     def decode(self, ids):
         """Arc labels joined by a space, as the file names no decoder; special tokens stay."""
-        return " ".join(map(self.label, ids))
-
-    def trim(self, most=MAX_CACHED):
-        if len(self.counts) > most:
-            self.encoded, self.rows_of, self.counts, self.flat, self.strings = {}, {}, [], [], []
+        return " ".join(map(self.labels.__getitem__, ids))
 
 
 _MADE = {}
@@ -225,23 +346,18 @@ def _encode(vocabulary):
         made = tokenizer(vocabulary)
         for batch in batches:
             for part in W.slices(batch, "_text"):
-                made.trim()
-                rows = [made.rows(t) for t in part.column("_text").to_pylist()]
-                strings = made.strings
-                decoded = [" ".join([strings[r] for r in of]) for of in rows]
-                flat = [i for of in rows for r in of for i in made.flat[r]]
-                counts = made.counts
-                ends = np.cumsum([0, *(sum([counts[r] for r in of]) for of in rows)])
+                runs = [made.split(t) for t in part.column("_text").to_pylist()]
+                made.learn(itertools.chain.from_iterable(runs))
+                of = [[made.young[r] for r in rs] for rs in runs]
+                each = [list(itertools.chain.from_iterable([x[0] for x in xs])) for xs in of]
+                decoded = [" ".join([x[1] for x in xs]) for xs in of]
+                ends = np.cumsum([0, *map(len, each)])
+                flat = np.fromiter(itertools.chain.from_iterable(each), np.int32, int(ends[-1]))
+                del runs, of, each
                 yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": part.column("_id"),
-                        "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())),
-                        "decoded": pa.array(decoded, pa.string()),
-                    }
+                    {"doc_id": part.column("_id"), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), "decoded": pa.array(decoded, pa.string())}
                 )
-                del rows, decoded, flat
-        made.trim(0)  # an idle worker holds no words
-        gc.collect()
+                del decoded, flat
 
     return run
 
@@ -250,8 +366,9 @@ def encode_texts(docs, vocabulary_path, id_col="doc_id", text_col="text"):
     """doc_id, ids (array of int) and decoded (text) of every row.
 
     The file is read on the driver and sent to the workers once. Null and empty texts
-    have no ids and decode to the empty text. Rows are independent: repeated rows,
-    ties and extra columns need no care, an empty table gives an empty result.
+    have no ids and decode to the empty text; texts of any length are read whole. Rows
+    are independent: repeated rows, null ids, ties and extra columns, clashing names
+    included, need no care; an empty table gives an empty result.
     """
     ship(docs.sparkSession)
     with open(vocabulary_path, encoding="utf-8") as file:

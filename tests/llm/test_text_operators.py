@@ -279,6 +279,39 @@ def test_bpe_equals_the_library(spark, corpus):
     assert got == sorted(want)
 
 
+def test_bpe_automaton(spark, corpus):
+    """Arcs expanded by leaps are those found split by split, and a long word is read by the same transitions as words in step."""
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as file:
+        made = bpe.tokenizer(file.read())
+    machine, r = made.automaton, np.random.default_rng(3)
+    assert len(machine.owner) == 1 + machine.live[machine.rank >= 0].sum()  # a state per gadget
+    state, token = r.integers(0, len(machine.owner), 3000), r.integers(0, machine.size, 3000)
+    token[:1000] = machine.lost[np.maximum(state[:1000], 1)]
+    token[1000:2000] = [i for i in range(machine.size) if machine.labels[i].startswith("e")][:1000] * 1
+    assert machine.expand(state, token).tolist() == [bool(machine.leaves(s, t)) for s, t in zip(state.tolist(), token.tolist())]
+    assert (machine.arcs(state, token) == machine.arcs(state, token)).all()
+    words = [w.encode() for w in prose(random.Random(5), 300).split()] + [b"a" * n for n in range(1, 60)] + [b"internationalization" * 4, "漢字".encode() * 9]
+    assert machine.encode(words) == [machine.read(w) for w in words]
+    library = Tokenizer.from_file(path)
+    assert machine.read(b"a" * 777) == library.encode("a" * 777, add_special_tokens=False).ids
+
+
+def test_bpe_keeps_runs_in_use(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 4000)
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        made = bpe.Tokenizer(file.read())
+    for k in range(60):
+        made.encode(f"common word{k} other{k} thing{k}")
+    assert len(made.young) + len(made.old) < 80 and "common" in made.young
+
+
 LABELLED = ["zonker", "klutzo", "blorfing", "blorfed", "blorfs", "blorfest"]
 
 
