@@ -1,10 +1,14 @@
 """What the text operators share: scratch storage, white space, row keys."""
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import functions as F
 
 #: The separators of a word: space and the five ASCII control spaces.
@@ -12,25 +16,56 @@ SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: One folder for each driver process; it goes when the process ends.
+RUN = uuid.uuid4().hex
+_ROOTS = set()
+
+
 def scratch_dir(spark):
-    """The folder all executors share (spark.checkpoint.dir), or a local one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Where neither is set, a local session gets one of its own; on a cluster that is an
+    error, as no machine's own folder would do.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+        context.setCheckpointDir(base)
+    root = f"{base.rstrip('/')}/millrace-{RUN}"
+    if root not in _ROOTS:
+        _ROOTS.add(root)
+        atexit.register(remove, spark, root)
+    return root
+
+
+def remove(spark, path):
+    """Delete a folder; never an error, for what is left does no harm."""
+    with contextlib.suppress(Exception):
+        jvm = spark.sparkContext._jvm or SparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
 
 
 def scratch_path(spark, name):
-    return f"{scratch_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df, name):
     """Write a frame to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._millrace_path = path
+    return out
+
+
+def discard(*frames):
+    """Delete stored frames that nothing still to be run reads."""
+    for df in frames:
+        remove(df.sparkSession, df._millrace_path)
 
 
 def text_or_empty(col="text"):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def connected_components(links, a="a", b="b", max_rounds=60):
@@ -12,14 +12,18 @@ def connected_components(links, a="a", b="b", max_rounds=60):
     labels are stored between rounds. A chain of n links needs about log n rounds.
     """
     both = stored(links.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(links.select(F.col(b).alias("x"), F.col(a).alias("y"))), "links")
-    labels = stored(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("root")).withColumnRenamed("x", "node"), "labels")
+    labels = stored(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("root")).select(F.col("x").alias("node"), "root"), "labels")
+    before = labels
     for _ in range(max_rounds):
         near = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy("x").agg(F.min("root").alias("least"))
         better = labels.join(near, labels["node"] == near["x"], "left").select("node", "root", F.least("root", F.coalesce("least", "root")).alias("least"))
         jump = labels.select(F.col("node").alias("least"), F.col("root").alias("further"))
         after = stored(better.join(jump, "least", "left").select("node", F.least("least", F.coalesce("further", "least")).alias("next"), "root"), "labels")
+        discard(before)
+        before = after
         changed = not after.where("next <> root").isEmpty()
         labels = after.select("node", F.col("next").alias("root"))
         if not changed:
+            discard(both)
             return labels
     raise RuntimeError("components did not settle; links form a chain of extreme length")

@@ -3,11 +3,16 @@
 A text's k-mers are its runs of five words, labelled by occurrence so that repeats
 differ. Each of several sketches takes the few k-mers of least hash under its own seed
 and keeps them in text order, so two sketches agree only if the k-mers and their order
-do. Texts are grouped first into classes of equal words, and every two classes that share
-a sketch are compared. Pairs of small buckets are listed and aligned one by one: k-mers
-common to both are chained in order, within a band around the diagonal. Larger buckets are
-dealt to blocks of bounded size, one for every two parts of a bucket; a block counts the
-common k-mers of all its pairs at once and hands on numbers of links and a forest of them.
+do. Texts are grouped first into classes of equal words; classes that share a sketch are
+candidates, and aligned: the k-mers they have in common and in one order, within a band
+around the diagonal, must be 0.8 of all.
+
+A bucket of n classes has n * n pairs, but only its groups are asked for. So each member is
+aligned with the bucket's first, and linked members are one group from then on. Only
+pairs of different groups are left. Buckets of few members list them; the members of
+larger ones find each other by their rarest k-mers, of which two texts alike at 0.8 share
+one among the rarest fifth of each (prefix filtering). Nothing is left out, and a bucket
+of texts that are alike, or of texts that merely share a passage, costs no square.
 """
 
 from bisect import bisect_left
@@ -23,8 +28,8 @@ from .components import connected_components
 K, KMER_SEED = 5, 71
 SKETCHES, TAKEN = 20, 3
 SIMILARITY = 0.8
-#: Members of a bucket whose pairs are listed, and of a part of a larger bucket (on average).
-LISTED, PART = 16, 256
+#: Members of a bucket whose pairs of groups are listed.
+LISTED = 32
 SEEDS = W.constants(SKETCHES, 73)
 ORDER = W.constants(TAKEN, 79)
 
@@ -57,31 +62,36 @@ def sketches(kmers):
 
 
 def similarity(a, b, band=0.25):
-    """Share of labelled k-mers that two sequences have in common and in order.
+    """Share of labelled k-mers that two sequences have in common and in one order.
 
     Common k-mers further off the middle diagonal than the band (a share of the longer
-    text) are left out. Where blocks have moved, so that order fails, the share of common
-    k-mers regardless of order stands in if it alone is high enough.
+    text) are left out, and of the rest the longest chain counts: k-mers that a moved
+    block brings out of order do not. Where too few are common the share of these, in
+    any order, is returned, an upper bound below SIMILARITY.
     """
     if not len(a) or not len(b):
         return 0.0
     _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    total = len(a) + len(b)
     common = len(i)
-    plain = common / (len(a) + len(b) - common)
-    if plain < SIMILARITY:
-        return plain
+    if common < SIMILARITY * (total - common):
+        return common / (total - common)
     by = np.argsort(i)
     i, j = i[by], j[by]
     off = j - i
     j = j[np.abs(off - np.median(off)) <= max(K, band * max(len(a), len(b)))]
-    tails = []
-    for x in j.tolist():
-        at = bisect_left(tails, x)
-        if at == len(tails):
-            tails.append(x)
-        else:
-            tails[at] = x
-    return max(plain, len(tails) / (len(a) + len(b) - len(tails)))
+    if (j[1:] > j[:-1]).all():
+        chain = len(j)
+    else:
+        tails = []
+        for x in j.tolist():
+            at = bisect_left(tails, x)
+            if at == len(tails):
+                tails.append(x)
+            else:
+                tails[at] = x
+        chain = len(tails)
+    return chain / (total - chain)
 
 
 def kmers_of(texts):
@@ -99,16 +109,18 @@ def kmers_of(texts):
 def _sketch(batches):
     for batch in batches:
         for part in W.slices(batch, "_text"):
-            one, two, out = [], [], []
+            one, two, size, out = [], [], [], []
             for kmers, whole in kmers_of(part.column("_text")):
                 one.append(whole[0])
                 two.append(whole[1])
+                size.append(len(kmers))
                 out.append(sketches(kmers).view(np.int64))
             yield pa.RecordBatch.from_pydict(
                 {
                     "node": part.column("node"),
                     "h1": pa.array(np.array(one, np.uint64).view(np.int64)),
                     "h2": pa.array(np.array(two, np.uint64).view(np.int64)),
+                    "size": pa.array(size, pa.int64()),
                     "sketches": pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]), pa.int32()), pa.array(np.concatenate(out) if out else [], pa.int64())),
                 }
             )
@@ -122,79 +134,14 @@ def _verify(batches):
             yield pa.RecordBatch.from_pydict({"a": part.column("a"), "b": part.column("b"), "similarity": pa.array(found, pa.float64())})
 
 
-def common_counts(kmers):
-    """How many labelled k-mers each two of the texts have in common."""
-    total = np.zeros((len(kmers), len(kmers)), np.float32)
-    flat = np.concatenate(kmers)
-    row = np.repeat(np.arange(len(kmers)), [len(k) for k in kmers])
-    by = np.argsort(flat, kind="stable")
-    flat, row = flat[by], row[by]
-    new = np.concatenate(([True], flat[1:] != flat[:-1])) if len(flat) else np.empty(0, bool)
-    number = np.cumsum(new) - 1
-    shared = np.bincount(number)[number] > 1 if len(flat) else new
-    row, number = row[shared], (np.cumsum(new[shared]) - 1)
-    for start in range(0, int(number[-1]) + 1 if len(number) else 0, 4096):
-        a, b = np.searchsorted(number, [start, start + 4096])
-        tile = np.zeros((len(kmers), 4096), np.float32)
-        tile[row[a:b], number[a:b] - start] = 1
-        total += tile @ tile.T
-    return total
-
-
-def _pairs_of_block(band, one, two, bands):
-    """Members of which pairs this block has to compare: those it is first to hold and no small bucket lists."""
-    n = len(bands)
-    sketch, large = np.zeros((n, SKETCHES), np.int64), np.zeros((n, SKETCHES), bool)
-    met = np.zeros((n, SKETCHES), bool)
-    for i, row in enumerate(bands):
-        for x in row:
-            sketch[i, x["band"]], large[i, x["band"]], met[i, x["band"]] = x["sketch"], x["n"] > LISTED, True
-    mine = one[:, None] < two[None, :]
-    for k in range(SKETCHES):
-        if k < band or not large[:, k].all():
-            same = (sketch[:, k][:, None] == sketch[:, k][None, :]) & met[:, k][:, None] & met[:, k][None, :]
-            mine &= ~(same if k < band else same & ~large[:, k][:, None])
-    return mine
-
-
-def _block(table):
-    """Links within one block: for each member its number of links, and the least member it hangs together with."""
-    table = table.combine_chunks()
-    nodes = table.column("node").to_pylist()
-    first = {}
-    for i, node in enumerate(nodes):
-        first.setdefault((node["id"], node["key"]), i)  # rows that repeat an id and a text are one
-    keys = sorted(first)
-    table = table.take(pa.array([first[k] for k in keys], pa.int64()))
-    band, low, high = (table.column(c)[0].as_py() for c in ("band", "low", "high"))
-    part = np.asarray(table.column("part"))
-    order = np.arange(len(keys))
-    mine = _pairs_of_block(band, order, order, table.column("bands").to_pylist())
-    if low != high:
-        mine &= part[:, None] != part[None, :]
-    rows = np.flatnonzero(mine.any(0) | mine.any(1))
-    out = {"a": [], "b": [], "links": []}
-    if len(rows):
-        kmers = [k for k, _ in kmers_of(table.column("_text").take(pa.array(rows)))]
-        size = np.array([len(k) for k in kmers], np.float64)
-        common = common_counts(kmers).astype(np.float64)
-        linked = mine[np.ix_(rows, rows)] & (common > 0) & (common / np.maximum(size[:, None] + size[None, :] - common, 1) >= SIMILARITY)
-        linked |= linked.T
-        root = np.arange(len(rows))
-        while True:
-            after = np.minimum(root, np.where(linked, root[None, :], len(rows)).min(1))
-            after = after[after]
-            if (after == root).all():
-                break
-            root = after
-        for i in np.flatnonzero(linked.any(1)):
-            out["a"].append(dict(zip(("id", "key"), keys[rows[i]], strict=True)))
-            out["b"].append(dict(zip(("id", "key"), keys[rows[root[i]]], strict=True)))
-            out["links"].append(int(linked[i].sum()))
-    return pa.table({"a": pa.array(out["a"], NODE), "b": pa.array(out["b"], NODE), "links": pa.array(out["links"], pa.int64())})
-
-
-NODE = pa.struct([("id", pa.int64()), ("key", pa.int64())])
+def _kmers(batches):
+    for batch in batches:
+        for part in W.slices(batch, "text"):
+            out = [kmers.view(np.int64) for kmers, _ in kmers_of(part.column("text"))]
+            ends = pa.array(np.cumsum([0, *map(len, out)]), pa.int32())
+            yield pa.RecordBatch.from_pydict({"node": part.column("node"), "kmers": pa.ListArray.from_arrays(ends, pa.array(np.concatenate(out), pa.int64()))})
+
+
 NODE_TYPE = "struct<id:bigint,key:bigint>"
 
 
@@ -204,57 +151,106 @@ def node_of(id_col="doc_id", text_col="text"):
 
 
 def near_groups(docs, id_col="doc_id", text_col="text"):
-    """doc_id, class_id (least id of its group), n_links, kept: one row per input row.
+    """doc_id, class_id (least id of its group), kept: one row per input row.
 
     Texts whose words are equal but for case and white space are one class; classes are
-    linked at a similarity of 0.8 or more. n_links counts a class's links to classes of
-    other words. Texts of under five words are grouped only with texts of the same words;
-    null and empty texts are one class. Rows that repeat an id and a text get the same
-    answer; rows without an id are left out.
+    linked at a similarity of 0.8 or more, and a group is what hangs together by links.
+    Texts of under five words are grouped only with texts of the same words; null and
+    empty texts are one class. Rows that repeat an id and a text get the same answer;
+    rows without an id are left out, as a group is named by an id. Very long texts are
+    read whole, extra columns and clashing names do not matter, an empty table gives an
+    empty result. Of equal ids the text's hash decides which stays.
     """
     return _answers(docs, id_col, text_col).drop("node")
 
 
+def alike(pairs, texts):
+    """The pairs of nodes whose texts align."""
+    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    found = both.mapInArrow(_verify, f"a {NODE_TYPE}, b {NODE_TYPE}, similarity double")
+    return stored(found.where(F.col("similarity") >= SIMILARITY).select("a", "b"), "near-links")
+
+
+def grouped(members, links):
+    """Members with the group that they are in by the links so far."""
+    roots = connected_components(links)
+    return members.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root")
+
+
+def divided(members, *key):
+    """Members of the buckets that hold several groups."""
+    several = members.groupBy(*key).agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high")
+    return stored(members.join(several.select(*key), [*key]), "divided")
+
+
+def across(members, *key):
+    """Pairs of one bucket and different groups whose sizes allow the similarity."""
+    other = members.select(*key, *(F.col(c).alias(f"{c}_b") for c in ("node", "size", "group")))
+    fits = F.least("size", "size_b") >= F.greatest("size", "size_b") * (SIMILARITY - 1e-9)
+    pairs = members.join(other, [*key]).where((F.col("group") != F.col("group_b")) & (F.col("node") < F.col("node_b")) & fits)
+    return pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def stars(members, *key):
+    """Each member with the first of its bucket."""
+    first = members.groupBy(*key).agg(F.min("node").alias("a"), F.min_by("group", "node").alias("group_a"), F.min_by("size", "node").alias("size_a"))
+    fits = F.least("size", "size_a") >= F.greatest("size", "size_a") * (SIMILARITY - 1e-9)
+    pairs = members.join(first, [*key]).where((F.col("node") != F.col("a")) & (F.col("group") != F.col("group_a")) & fits)
+    return pairs.select("a", F.col("node").alias("b")).distinct()
+
+
+def by_rare_kmers(members, texts):
+    """A bucket for every k-mer among the rarest fifth of a member's that another member has too."""
+    held = stored(texts.join(members.select("node"), "node", "left_semi").mapInArrow(_kmers, f"node {NODE_TYPE}, kmers array<long>"), "kmers")
+    each = held.select("node", F.explode("kmers").alias("kmer"))
+    times = each.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    ranked = each.join(times, "kmer").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "kmer"))).alias("shared"))
+    # k-mers of one member alone are its rarest: they fill the first places and meet nobody.
+    prefix = F.col("size") - F.ceil(F.col("size") * SIMILARITY - 1e-9) + 1
+    places = F.greatest(F.lit(0), prefix - (F.col("size") - F.size("shared"))).cast("int")
+    rare = ranked.join(members.select("node", "size"), "node").select("node", "size", F.explode(F.slice("shared", F.lit(1), places)).alias("x"))
+    return stored(rare.select("node", "size", F.col("x.kmer").alias("kmer")), "rare-kmers")
+
+
 def _answers(docs, id_col, text_col):
     spark = docs.sparkSession
     ship(spark)
     base = docs.select(node_of(id_col, text_col).alias("node"), F.col(text_col).cast("string").alias("_text")).where("node.id IS NOT NULL")
-    every = stored(base.mapInArrow(_sketch, f"node {NODE_TYPE}, h1 long, h2 long, sketches array<long>"), "sketches")
-    classes = stored(every.groupBy("h1", "h2").agg(F.min(F.struct("node", "sketches")).alias("m")).select("h1", "h2", "m.*"), "word-classes")
-    spread = classes.select("node", F.posexplode("sketches").alias("band", "sketch"))
-    buckets = stored(spread.groupBy("band", "sketch").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sketch-buckets")
-    met = stored(spread.join(buckets, ["band", "sketch"]), "met")
-    members = met.where(F.col("n") <= LISTED).groupBy("band", "sketch").agg(F.array_sort(F.collect_list("node")).alias("m"))
-    each = members.select("m", F.posexplode("m").alias("at", "a")).select("a", F.explode(F.expr("slice(m, at + 2, size(m))")).alias("b"))
-    pairs = stored(each.distinct(), "pairs")
-    left = pairs.join(base.select(F.col("node").alias("a"), F.col("_text").alias("text_a")), "a")
-    both = left.join(base.select(F.col("node").alias("b"), F.col("_text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    single = stored(both.mapInArrow(_verify, f"a {NODE_TYPE}, b {NODE_TYPE}, similarity double").where(F.col("similarity") >= SIMILARITY).select("a", "b").distinct(), "near-links")
-
-    # Large buckets: each member goes to one block for every part of its bucket.
-    listed = met.groupBy("node").agg(F.collect_list(F.struct("band", "sketch", "n")).alias("bands")).where(F.exists("bands", lambda x: x["n"] > LISTED))
-    large = base.join(listed, "node").select("node", "_text", "bands", F.explode(F.filter("bands", lambda x: x["n"] > LISTED)).alias("x"))
-    parts = F.ceil(F.col("x.n") / PART)
-    dealt = large.select("node", "_text", "bands", "x.band", "x.sketch", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), parts.cast("int").alias("parts"))
-    blocks = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "node", "_text", "bands", "band", "sketch", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")
-    )
-    block = stored(blocks.groupBy("band", "sketch", "low", "high").applyInArrow(_block, f"a {NODE_TYPE}, b {NODE_TYPE}, links long"), "block-links")
-
-    roots = connected_components(single.unionByName(block.where("a <> b").select("a", "b").distinct()))
-    ends = single.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("links")).unionByName(block.select(F.col("a").alias("node"), "links"))
-    degree = ends.groupBy("node").agg(F.sum("links").alias("n_links"))
+    every = stored(base.mapInArrow(_sketch, f"node {NODE_TYPE}, h1 long, h2 long, size long, sketches array<long>"), "sketches")
+    classes = stored(every.groupBy("h1", "h2").agg(F.min(F.struct("node", "sketches", "size")).alias("m")).select("h1", "h2", "m.*"), "word-classes")
+    spread = classes.select("node", "size", F.posexplode("sketches").alias("band", "sketch"))
+    buckets = spread.groupBy("band", "sketch").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = stored(spread.join(buckets, ["band", "sketch"]).withColumn("group", F.col("node")), "met")
+    # From here on only the texts of classes that met others are moved.
+    met_nodes = met.select("node").distinct()
+    texts = stored(base.join(met_nodes, "node", "left_semi").groupBy("node").agg(F.first("_text").alias("text")), "met-texts")
+
+    tried = stored(stars(met, "band", "sketch"), "pairs")
+    links = alike(tried, texts)
+    rest = divided(grouped(met.drop("group"), links), "band", "sketch")
+    few = across(rest.where(F.col("n") <= LISTED), "band", "sketch").join(tried, ["a", "b"], "left_anti")
+    links = links.unionByName(alike(few, texts))
+    many = stored(rest.where(F.col("n") > LISTED).select("node", "size").distinct(), "many")
+    if not many.isEmpty():
+        rare = by_rare_kmers(many, texts)
+        for pairs_of in (stars, across):
+            links = links.unionByName(alike(pairs_of(divided(grouped(rare, links), "kmer"), "kmer"), texts))
+    roots = connected_components(links)
     known = stored(
-        classes.select("h1", "h2", "node").join(roots, "node", "left").join(degree, "node", "left")
-        .select("h1", "h2", F.coalesce("root", "node").alias("root"), (F.coalesce("root", "node") == F.col("node")).alias("leads"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")),
+        classes.select("h1", "h2", "node").join(roots, "node", "left")
+        .select("h1", "h2", F.coalesce("root", "node").alias("root"), (F.coalesce("root", "node") == F.col("node")).alias("leads")),
         "near-classes",
     )
     return every.select("node", "h1", "h2").join(known, ["h1", "h2"]).select(
-        F.col("node.id").alias("doc_id"), F.col("root.id").alias("class_id"), "n_links", (F.col("leads") & (F.col("node.id") == F.col("root.id"))).alias("kept"), "node"
+        F.col("node.id").alias("doc_id"), F.col("root.id").alias("class_id"), (F.col("leads") & (F.col("node") == F.col("root"))).alias("kept"), "node"
     )
 
 
 def drop_near_copies(docs, id_col="doc_id", text_col="text"):
-    """One document of each group, that of least id; rows without an id stay as they are, and those that share one are judged by text."""
+    """One document of each group, that of least id; rows without an id stay as they are, and those that share one are judged by text.
+
+    Repeated rows of the one that stays all stay. Null and empty texts are one group; an empty table gives an empty one.
+    """
     gone = _answers(docs, id_col, text_col).where(~F.col("kept")).select(F.col("node").alias("_gone")).distinct()
     return docs.withColumn("_node", node_of(id_col, text_col)).join(gone, F.col("_node") == F.col("_gone"), "left_anti").drop("_node")

@@ -145,58 +145,74 @@ def test_suffix_dedup_brute_force(spark, corpus, block, monkeypatch):
     assert sorted(got) == sorted(want)
 
 
-def shingles(t):
-    w = (t or "").lower().split()
-    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+def kmers(text):
+    import pyarrow as pa
 
+    return next(nearcopies.kmers_of(pa.array([text], pa.string())))[0]
 
-def test_near_dedup_brute_force(spark, corpus):
-    ids = sorted({i for i, _ in corpus})
-    text, parent = dict(corpus), {i: i for i, _ in corpus}
+
+def groups_by_brute_force(docs):
+    """Least id of what hangs together by alignments of all pairs and by equal words."""
+    seen = [kmers(t) for _, t in docs]
+    same = [" ".join(words_of((t or "").lower())) for _, t in docs]
+    parent = list(range(len(docs)))
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    s = {i: shingles(text[i]) for i in ids}
-    for a in ids:
-        for b in ids:
-            same = words_of((text[a] or "").lower()) == words_of((text[b] or "").lower())
-            if a < b and (same or (s[a] and len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b]))):
-                x, y = sorted((root(a), root(b)))
+    order = sorted(range(len(docs)), key=lambda k: docs[k][0])
+    for i, a in enumerate(order):
+        for b in order[:i]:
+            if same[a] == same[b] or nearcopies.similarity(seen[a], seen[b]) >= 0.8:
+                x, y = sorted((root(a), root(b)), key=lambda k: (docs[k][0], k))
                 parent[y] = x
+    return {d: docs[root(k)][0] for k, (d, _) in enumerate(docs)}
+
+
+def test_near_dedup_brute_force(spark, corpus):
     got = {r.doc_id: r.class_id for r in nearcopies.near_groups(frame(spark, corpus)).collect()}
-    assert got == {i: root(i) for i in ids}
+    assert got == groups_by_brute_force(corpus)
     assert len({got[i] for i in range(200, 206)}) == 1
 
 
-@pytest.mark.parametrize("part", [256, 25])
-def test_near_dedup_of_a_large_family(spark, part, monkeypatch):
-    """Variants of one template, partly below 0.8 to each other: every pair that shares a sketch counts."""
-    import numpy as np
-    import pyarrow as pa
-
-    monkeypatch.setattr(nearcopies, "PART", part)
+@pytest.mark.parametrize("listed", [32, 2])
+def test_near_dedup_of_a_large_family(spark, listed, monkeypatch):
+    """Variants of one template, partly below 0.8 to each other, and texts that share a passage: no link is lost, whatever way finds it."""
+    monkeypatch.setattr(nearcopies, "LISTED", listed)
     r = random.Random(12)
-    template, docs = prose(r, 200).split(), []
-    for i in range(90):
+    template, passage, docs = prose(r, 200).split(), prose(r, 120), []
+    for i in range(120):
         words = list(template)
-        for k in r.sample(range(200), 3):
+        for k in r.sample(range(200), r.randint(2, 4)):
             words[k] = f"edit{i}x{k}"
         docs.append((i, " ".join(words)))
-    docs += [(100 + i, prose(r, 40) + (" x" * (i % 3))) for i in range(6)]
-    kmers = [k for k, _ in nearcopies.kmers_of(pa.array([t for _, t in docs]))]
-    seen = [nearcopies.sketches(k) for k in kmers]
-    links = [(a, b) for a in range(len(docs)) for b in range(a) if (seen[a] == seen[b]).any() and nearcopies.similarity(kmers[a], kmers[b]) >= 0.8]
-    degree = collections.Counter(x for pair in links for x in pair)
-    parent = list(range(len(docs)))
-    for _ in docs:
-        for a, b in links:
-            parent[a] = parent[b] = min(parent[a], parent[b])
-    got = {x.doc_id: (x.class_id, x.n_links) for x in nearcopies.near_groups(frame(spark, docs)).collect()}
-    assert got == {d: (docs[parent[k]][0], degree[k]) for k, (d, _) in enumerate(docs)}
-    assert len(links) > 50 and np.max([len(s) for s in seen]) == 20
+    docs += [(200 + i, prose(r, 40) + (" x" * (i % 3))) for i in range(6)]
+    docs += [(300 + i, f"{prose(r, 60)} {passage}") for i in range(50)]
+    docs += [(400 + i, docs[126 + i][1] + " " + prose(r, 3)) for i in range(0, 50, 2)]
+    want = groups_by_brute_force(docs)
+    got = {x.doc_id: x.class_id for x in nearcopies.near_groups(frame(spark, docs)).collect()}
+    assert got == want and 10 < len({want[i] for i in range(120)}) < 120
+
+
+def test_order_decides():
+    """The same k-mers in another order are no copy."""
+    r = random.Random(15)
+    blocks = [prose(r, 30) for _ in range(8)]
+    one, moved = " ".join(blocks), " ".join(blocks[4:] + blocks[:4])
+    a, b = kmers(one), kmers(moved)
+    assert len(set(a.tolist()) & set(b.tolist())) / len(set(a.tolist()) | set(b.tolist())) >= 0.8
+    assert nearcopies.similarity(a, b) < 0.8 < nearcopies.similarity(a, kmers(one + " and more"))
+
+
+def test_near_dedup_recall(spark, sf_dir):
+    """Of the alignments of every id divisible by 50 with all rows, next to all lie within a group."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text").collect()]
+    seen = {i: kmers(t) for i, t in docs}
+    got = {r.doc_id: r.class_id for r in nearcopies.near_groups(spark.createDataFrame(docs, SCHEMA)).collect()}
+    links = [(a, b) for a in seen if a % 50 == 0 for b in seen if a != b and nearcopies.similarity(seen[a], seen[b]) >= 0.8]
+    assert sum(got[a] == got[b] for a, b in links) >= 0.9 * len(links)
 
 
 def test_components_of_chains_and_stars(spark):
