@@ -7,12 +7,15 @@ reaches the score is missed. Pairs are counted over all documents: of those that
 an item's seeds leave out the commonest, but so few that every alignment holds SEEDS others.
 """
 
+import functools
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import ship
+from .common import row_key, ship
 
 SEED_WORDS, SEED_MIX = 2, 59
 #: Test items held by a worker at a time; more are taken in turns.
@@ -161,7 +164,9 @@ def _match(items, seeds):
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": part.column("_id"),
-                        "items": pa.array([sorted(items.ids[i] for i, _ in f) for f in found], pa.list_(pa.int64())),
+                        "k1": part.column("k1"),
+                        "k2": part.column("k2"),
+                        "items": pa.array([sorted({items.ids[i] for i, _ in f}) for f in found], pa.list_(pa.int64())),
                         "score": pa.array([max((s for _, s in f), default=0.0) for f in found], pa.float64()),
                     }
                 )
@@ -186,21 +191,27 @@ def slices_of(docs, benchmark, text_col, item_id, item_text):
 def contaminated(docs, benchmark, id_col="doc_id", text_col="text", item_id="item_id", item_text="text"):
     """doc_id, items (sorted ids of the test items it copies), score (best alignment over item words), contaminated.
 
-    One row per input row. Null and empty texts copy nothing; items without a word are
-    never found, items of one or two words neither, as they make no n-gram. The score is
+    One row per input row, those that repeat an id or lack one included. Null and empty
+    texts copy nothing; items of under MIN_WORDS words are never found. The score is
     that of 0 to 1 where a copy is found, else 0. Items are sent to the workers in slices
-    of bounded size.
+    of bounded size, with the same result however many. Texts of any length are read whole;
+    items that repeat an id are named once; extra columns and clashing names do not
+    matter; an empty table, of either kind, finds nothing.
     """
     spark = docs.sparkSession
     ship(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    parts = [base.mapInArrow(_match(items, seeds), "doc_id long, items array<long>, score double") for items, seeds in slices_of(docs, benchmark, text_col, item_id, item_text)]
+    base = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), *row_key(F.col(id_col).cast("long"), F.col(text_col).cast("string")))
+    schema = "doc_id long, k1 long, k2 long, items array<long>, score double"
+    parts = [base.mapInArrow(_match(items, seeds), schema) for items, seeds in slices_of(docs, benchmark, text_col, item_id, item_text)]
     out = parts[0]
     if len(parts) > 1:
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        out = out.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("score").alias("score"))
-    return out.withColumn("contaminated", F.size("items") > 0)
+        # Each slice's finds by row, joined to the rows: few documents copy anything, and rows that repeat an id stay apart.
+        hits = functools.reduce(DataFrame.unionByName, parts).where(F.size("items") > 0).groupBy("k1", "k2")
+        hits = hits.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("score").alias("score"))
+        empty, zero = F.array().cast("array<bigint>"), F.lit(0.0)
+        rows = base.select(F.col("_id").alias("doc_id"), "k1", "k2").join(hits, ["k1", "k2"], "left")
+        out = rows.select("doc_id", F.coalesce("items", empty).alias("items"), F.coalesce("score", zero).alias("score"))
+    return out.select("doc_id", "items", "score", (F.size("items") > 0).alias("contaminated"))
 
 
 def _drop(column, items, seeds):
@@ -214,7 +225,11 @@ def _drop(column, items, seeds):
 
 
 def drop_contaminated(docs, benchmark, text_col="text", item_id="item_id", item_text="text"):
-    """The documents that copy no test item, with all their columns and without a shuffle."""
+    """The documents that copy no test item, with all their columns and without a shuffle.
+
+    Rows are judged by their own text alone, so repeated and null ids need no care; null
+    and empty texts stay; empty tables give empty results.
+    """
     ship(docs.sparkSession)
     out = docs
     for items, seeds in slices_of(docs, benchmark, text_col, item_id, item_text):
