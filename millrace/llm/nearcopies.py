@@ -10,9 +10,9 @@ around the diagonal, must be 0.8 of all.
 A bucket of n classes has n * n pairs, but only its groups are asked for. So each member is
 aligned with the bucket's first, and linked members are one group from then on. Only
 pairs of different groups are left. Buckets of few members list them; the members of
-larger ones find each other by their rarest k-mers, of which two texts alike at 0.8 share
-one among the rarest fifth of each (prefix filtering). Nothing is left out, and a bucket
-of texts that are alike, or of texts that merely share a passage, costs no square.
+larger ones find each other by their rarest k-mers: two texts alike at 0.8 share at least
+k of the rarest fifth and k more of each (prefix filtering). Nothing is left out, and a
+bucket of texts that are alike, or of texts that merely share a passage, costs no square.
 """
 
 from bisect import bisect_left
@@ -28,6 +28,8 @@ from .components import connected_components
 K, KMER_SEED = 5, 71
 SKETCHES, TAKEN = 20, 3
 SIMILARITY = 0.8
+#: Common k-mers asked of the rarest fifth (and as many more) of two texts.
+PREFIX = 8
 #: Members of a bucket whose pairs of groups are listed.
 LISTED = 32
 SEEDS = W.constants(SKETCHES, 73)
@@ -179,38 +181,56 @@ def grouped(members, links):
 
 
 def divided(members, *key):
-    """Members of the buckets that hold several groups."""
-    several = members.groupBy(*key).agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high")
-    return stored(members.join(several.select(*key), [*key]), "divided")
+    """Members of the buckets that hold several groups, each bucket's largest being named."""
+    several = members.groupBy(*key, "group").agg(F.count(F.lit(1)).alias("times")).groupBy(*key)
+    several = several.agg(F.max_by("group", F.struct("times", "group")).alias("top"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    return stored(members.join(several.drop("groups"), [*key]), "divided")
+
+
+def may_link():
+    """Whether a pair's sizes, and how many k-mers each shares with any other, allow the similarity.
+
+    What a text shares with nobody is in the union of both and not in the intersection.
+    """
+    alone = F.col("size") - F.col("shared") + F.col("size_b") - F.col("shared_b")
+    return (F.col("group") != F.col("group_b")) & (F.least("shared", "shared_b") >= (F.greatest("shared", "shared_b") + alone) * (SIMILARITY - 1e-9))
+
+
+def pair(members, others, *key):
+    other = others.select(*key, *(F.col(c).alias(f"{c}_b") for c in ("node", "size", "shared", "group", "need")))
+    return members.join(other, [*key]).where(may_link()).groupBy(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b"))
 
 
 def across(members, *key):
-    """Pairs of one bucket and different groups whose sizes allow the similarity."""
-    other = members.select(*key, *(F.col(c).alias(f"{c}_b") for c in ("node", "size", "group")))
-    fits = F.least("size", "size_b") >= F.greatest("size", "size_b") * (SIMILARITY - 1e-9)
-    pairs = members.join(other, [*key]).where((F.col("group") != F.col("group_b")) & (F.col("node") < F.col("node_b")) & fits)
-    return pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+    """Pairs of one bucket and different groups; members of its largest group are no first of a pair."""
+    minor = F.col("group") != F.col("top")
+    met = pair(members.where(minor), members, *key)
+    # A pair of two minor members is met from both sides in each bucket.
+    both = met.agg(F.count_distinct(*key).alias("times"), F.min(F.least("need", "need_b")).alias("need"))
+    return both.where("times >= need").select("a", "b")
 
 
-def stars(members, *key):
-    """Each member with the first of its bucket."""
-    first = members.groupBy(*key).agg(F.min("node").alias("a"), F.min_by("group", "node").alias("group_a"), F.min_by("size", "node").alias("size_a"))
-    fits = F.least("size", "size_a") >= F.greatest("size", "size_a") * (SIMILARITY - 1e-9)
-    pairs = members.join(first, [*key]).where((F.col("node") != F.col("a")) & (F.col("group") != F.col("group_a")) & fits)
-    return pairs.select("a", F.col("node").alias("b")).distinct()
+def stars(members, *key, turn=0):
+    """Each member with one of its bucket: its first, or in later turns one drawn by hash, so that every bucket asks another."""
+    drawn = F.xxhash64(F.lit(turn), *key, "node") if turn else F.lit(0).cast("long")
+    least = F.min(F.struct(drawn.alias("drawn"), "node", "size", "shared", "group", "need")).alias("x")
+    return pair(members, members.groupBy(*key).agg(least).select(*key, "x.*"), *key).agg(F.first("need")).select("a", "b")
 
 
 def by_rare_kmers(members, texts):
-    """A bucket for every k-mer among the rarest fifth of a member's that another member has too."""
+    """A bucket for every k-mer among the rarest fifth of a member's that another member has too, and how many it shares in all."""
     held = stored(texts.join(members.select("node"), "node", "left_semi").mapInArrow(_kmers, f"node {NODE_TYPE}, kmers array<long>"), "kmers")
     each = held.select("node", F.explode("kmers").alias("kmer"))
     times = each.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     ranked = each.join(times, "kmer").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "kmer"))).alias("shared"))
     # k-mers of one member alone are its rarest: they fill the first places and meet nobody.
-    prefix = F.col("size") - F.ceil(F.col("size") * SIMILARITY - 1e-9) + 1
+    common = F.ceil(F.col("size") * SIMILARITY - 1e-9)
+    prefix = F.col("size") - common + F.col("need")
     places = F.greatest(F.lit(0), prefix - (F.col("size") - F.size("shared"))).cast("int")
-    rare = ranked.join(members.select("node", "size"), "node").select("node", "size", F.explode(F.slice("shared", F.lit(1), places)).alias("x"))
-    return stored(rare.select("node", "size", F.col("x.kmer").alias("kmer")), "rare-kmers")
+    # Who shares too little links with nobody.
+    sized = ranked.join(members.select("node", "size"), "node").withColumn("need", F.least(F.lit(PREFIX), common).cast("int")).where(F.size("shared") >= F.col("size") * (SIMILARITY - 1e-9))
+    rare = sized.select("node", "size", "need", F.size("shared").cast("long").alias("shared"), F.explode(F.slice("shared", F.lit(1), places)).alias("x"))
+    return stored(rare.select("node", "size", "shared", "need", F.col("x.kmer").alias("kmer")), "rare-kmers")
 
 
 def _answers(docs, id_col, text_col):
@@ -221,7 +241,7 @@ def _answers(docs, id_col, text_col):
     classes = stored(every.groupBy("h1", "h2").agg(F.min(F.struct("node", "sketches", "size")).alias("m")).select("h1", "h2", "m.*"), "word-classes")
     spread = classes.select("node", "size", F.posexplode("sketches").alias("band", "sketch"))
     buckets = spread.groupBy("band", "sketch").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = stored(spread.join(buckets, ["band", "sketch"]).withColumn("group", F.col("node")), "met")
+    met = stored(spread.join(buckets, ["band", "sketch"]).withColumns({"group": F.col("node"), "shared": F.col("size"), "need": F.lit(1)}), "met")
     # From here on only the texts of classes that met others are moved.
     met_nodes = met.select("node").distinct()
     texts = stored(base.join(met_nodes, "node", "left_semi").groupBy("node").agg(F.first("_text").alias("text")), "met-texts")
@@ -231,11 +251,13 @@ def _answers(docs, id_col, text_col):
     rest = divided(grouped(met.drop("group"), links), "band", "sketch")
     few = across(rest.where(F.col("n") <= LISTED), "band", "sketch").join(tried, ["a", "b"], "left_anti")
     links = links.unionByName(alike(few, texts))
-    many = stored(rest.where(F.col("n") > LISTED).select("node", "size").distinct(), "many")
-    if not many.isEmpty():
-        rare = by_rare_kmers(many, texts)
-        for pairs_of in (stars, across):
-            links = links.unionByName(alike(pairs_of(divided(grouped(rare, links), "kmer"), "kmer"), texts))
+    large = rest.where(F.col("n") > LISTED).drop("top")
+    if not large.isEmpty():
+        rare = by_rare_kmers(large.select("node", "size").distinct(), texts)
+        for turn in (1, 2):
+            left = divided(grouped(rare, links), "kmer").drop("top")
+            links = links.unionByName(alike(stars(left, "kmer", turn=turn), texts))
+        links = links.unionByName(alike(across(divided(grouped(rare, links), "kmer"), "kmer"), texts))
     roots = connected_components(links)
     known = stored(
         classes.select("h1", "h2", "node").join(roots, "node", "left")

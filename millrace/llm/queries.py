@@ -115,9 +115,12 @@ def op5_decontamination(spark, sf_dir):
 
 
 def op7_pii_surrogates(spark, sf_dir):
+    """The key is a secret of the session's owner (millrace.surrogates.key), or a fresh one that nobody keeps."""
+    import secrets
+
     from .surrogates import replace_entities
 
-    return replace_entities(table(spark, sf_dir, "documents"))
+    return replace_entities(table(spark, sf_dir, "documents"), spark.conf.get("millrace.surrogates.key", None) or secrets.token_hex(32))
 
 
 QUERIES = {

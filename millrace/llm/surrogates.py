@@ -25,7 +25,9 @@ PATTERNS = {
     "secret": EDGE + r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})" + END,
     "iban": EDGE + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + END,
     "ssn": EDGE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + END,
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}" + END,
+    # North American groups; a country code and groups; German, French and Spanish groups after a leading 0.
+    "phone": r"(?<![\p{L}\p{N}+])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}"
+    r"|\+[0-9]{1,3}(?:[ .-][0-9]{2,8}){2,5}|0[0-9]{1,4}[ /-][0-9]{6,8}|0[0-9](?:[ .][0-9]{2}){4})" + END,
     "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\p{L}\p{N}]|\.[0-9])",
     "card": EDGE + r"(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})" + END,
     "name": EDGE + TITLE + r"\.? " + NAME + f"(?: {NAME})?",
@@ -55,13 +57,16 @@ def gender_of(mention):
     )
 
 
-def canonical(kind, mention):
-    """What mentions of one entity share. A name's gender is part of it."""
-    return (
-        F.when(kind.isin(*PLAIN), F.lower(F.regexp_replace(mention, r"[^\p{L}\p{N}]", "")))
-        .when(kind == "name", F.concat(gender_of(mention), F.lit(":"), F.lower(bare_name(mention))))
-        .otherwise(F.lower(mention))
-    )
+def parts_of(kind, mention):
+    """What mentions of one entity share: one value, or for a name each of its words, so that a person keeps a surname under any title."""
+    value = F.when(kind.isin(*PLAIN), F.lower(F.regexp_replace(mention, r"[^\p{L}\p{N}]", ""))).otherwise(F.lower(mention))
+    words = F.split(F.lower(bare_name(mention)), " ")
+    gender = F.when(F.size(words) > 1, gender_of(mention)).otherwise("n")
+    part = lambda k, v, g: F.struct(k.alias("kind"), v.alias("value"), g.alias("gender"))
+    surname = part(F.lit("surname"), F.element_at(words, -1), F.lit("n"))
+    given = part(F.lit("given"), F.element_at(words, 1), gender)
+    named = F.when(F.size(words) > 1, F.array(given, surname)).otherwise(F.array(surname))
+    return F.when(kind == "name", named).otherwise(F.array(part(kind, value, F.lit("n"))))
 
 
 def _stream(key, kind, value, turn):
@@ -115,19 +120,18 @@ def _card(stream, text):
     return F.concat(body, last.cast("string"))
 
 
-def _name(stream, value):
-    """As many name words, of the same script, with an ending of the same gender."""
-    gender, words = F.substring(value, 1, 1), F.split(F.substring(value, F.lit(3), F.length(value)), " ")
+def _name(stream, value, gender):
+    """A name word of the same script, with an ending of the gender that its titles tell."""
 
-    def syllables(first, vowels, i, n):
-        take = lambda s, at, k: F.substring(F.lit(s), _draw(stream, at, k) + 1, F.lit(1))
-        return F.concat(*[x for j in range(n) for x in (take(first, i * 20 + 2 * j, len(first)), take(vowels, i * 20 + 2 * j + 1, len(vowels)))])
+    def syllables(first, vowels, n):
+        take = lambda s, at: F.substring(F.lit(s), _draw(stream, F.lit(at), len(s)) + 1, F.lit(1))
+        return F.concat(*[x for j in range(n) for x in (take(first, 2 * j), take(vowels, 2 * j + 1))])
 
-    latin = lambda i: F.concat(syllables("bdfglmnrstv", "aeiou", i, 3), F.when(gender == "f", "na").when(gender == "m", "n").otherwise("l"))
-    cyrillic = lambda i: F.concat(syllables("бвгдлмнрст", "аеиоу", i, 3), F.when(gender == "f", "на").when(gender == "m", "н").otherwise("ль"))
-    greek = lambda i: F.concat(syllables("βγδλμνρστ", "αεηιο", i, 3), F.when(gender == "f", "να").when(gender == "m", "νος").otherwise("λ"))
-    word = lambda w, i: F.when(w.rlike(r"\p{IsCyrillic}"), cyrillic(i)).when(w.rlike(r"\p{IsGreek}"), greek(i)).otherwise(latin(i))
-    return F.concat(gender, F.lit(":"), F.array_join(F.transform(words, word), " "))
+    ending = lambda f, m, n: F.when(gender == "f", f).when(gender == "m", m).otherwise(n)
+    latin = F.concat(syllables("bdfglmnrstv", "aeiou", 3), ending("na", "n", "l"))
+    cyrillic = F.concat(syllables("бвгдлмнрст", "аеиоу", 3), ending("на", "н", "ль"))
+    greek = F.concat(syllables("βγδλμνρστ", "αεηιο", 3), ending("να", "νος", "λ"))
+    return F.when(value.rlike(r"\p{IsCyrillic}"), cyrillic).when(value.rlike(r"\p{IsGreek}"), greek).otherwise(latin)
 
 
 def _email(stream, text):
@@ -136,20 +140,20 @@ def _email(stream, text):
     return F.concat(_same_class(stream, F.substring(text, F.lit(1), F.length(text) - F.length(top))), top)
 
 
-def candidate(key, kind, value, turn):
+def candidate(key, kind, value, gender, turn):
     stream = _stream(key, kind, value, turn)
     return (
         F.when(kind == "email", _email(stream, value))
         .when(kind == "secret", _same_class(stream, value, hexadecimal=True))
         .when(kind == "ip", _octets(stream, value))
         .when(kind == "card", _card(stream, value))
-        .when(kind == "name", _name(stream, value))
+        .when(kind.isin("given", "surname"), _name(stream, value, gender))
         .otherwise(_same_class(stream, value))
     )
 
 
 def mapping(values, key):
-    """kind, value, surrogate for distinct canonical values: no two alike, none a real value.
+    """kind, value, surrogate for distinct values (kind, value, gender): no two of a kind alike, none a real value.
 
     Values whose draws still collide after ROUNDS turns (a format with hardly any free
     values) get the number of their rank appended: distinctness goes before format.
@@ -157,7 +161,7 @@ def mapping(values, key):
     real = values.select("kind", F.col("value").alias("surrogate"))
     open_, fixed = values, None
     for turn in range(ROUNDS):
-        drawn = open_.select("kind", "value", candidate(key, F.col("kind"), F.col("value"), F.lit(turn)).alias("surrogate"))
+        drawn = open_.select("kind", "value", candidate(key, F.col("kind"), F.col("value"), F.col("gender"), F.lit(turn)).alias("surrogate"))
         firsts = drawn.groupBy("kind", "surrogate").agg(F.min("value").alias("value"))
         free = firsts.join(real, ["kind", "surrogate"], "left_anti")
         if fixed is not None:
@@ -167,14 +171,14 @@ def mapping(values, key):
         open_ = stored(open_.join(free, ["kind", "value"], "left_anti"), "open-values")
         if open_.isEmpty():
             return fixed
-    rest = open_.select("kind", "value", F.concat(candidate(key, F.col("kind"), F.col("value"), F.lit(ROUNDS)), F.abs(F.xxhash64("kind", "value")).cast("string")).alias("surrogate"))
+    rest = open_.select("kind", "value", F.concat(candidate(key, F.col("kind"), F.col("value"), F.col("gender"), F.lit(ROUNDS)), F.abs(F.xxhash64("kind", "value")).cast("string")).alias("surrogate"))
     return fixed.unionByName(rest)
 
 
 def _render(kind, mention, surrogate):
     """A surrogate in the mention's own punctuation, case and title."""
     source = F.when(kind == "name", bare_name(mention)).otherwise(mention)
-    fresh = F.when(kind == "name", F.substring(surrogate, F.lit(3), F.length(surrogate))).otherwise(surrogate)
+    fresh = surrogate
     title = F.when(kind == "name", F.regexp_extract(mention, r"^" + TITLE + r"\.? ", 0)).otherwise(F.lit(""))
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
 
@@ -192,25 +196,35 @@ def _render(kind, mention, surrogate):
     return F.when(kind.isin(*PLAIN), spliced).when(kind == "name", F.concat(title, named)).otherwise(F.array_join(each, ""))
 
 
-def replace_entities(docs, key="millrace", id_col="doc_id", text_col="text"):
+def replace_entities(docs, key, id_col="doc_id", text_col="text"):
     """doc_id, text (entities replaced), n_entities, kinds (sorted types found): one row per input row.
 
-    Null texts count as empty. The key alone and the set of values in the corpus decide
-    the surrogates. Rows that repeat are answered each, alike.
+    The key, a secret, and the set of values in the corpus alone decide the surrogates;
+    without a key there are none, as anyone could redraw them. Null and empty texts come
+    back empty; very long texts are read whole. Rows that repeat, or share an id, or lack
+    one, are answered each, from their own text. Extra columns and clashing names do not
+    matter; an empty table gives an empty result. Ties between values that draw one
+    surrogate go to the lesser value. Names are found after a title; a given name known
+    by titles of both genders, or none, gets a neutral ending.
     """
+    if not key:
+        raise ValueError("a secret key is needed")
     text = text_or_empty(text_col)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *row_key(F.col(id_col), text))
     some = base.where(F.col("text").rlike(ANY))
     none = base.where(~F.col("text").rlike(ANY)).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
     described = F.transform(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("mention"), kind_of(m).alias("kind")))
-    valued = F.transform("found", lambda e: F.struct(e["mention"].alias("mention"), e["kind"].alias("kind"), canonical(e["kind"], e["mention"]).alias("value")))
+    valued = F.transform("found", lambda e: F.struct(e["mention"].alias("mention"), e["kind"].alias("kind"), parts_of(e["kind"], e["mention"]).alias("parts")))
     # Few texts hold entities; what was found in them is kept, so that the patterns run over the corpus twice in all.
     mentions = stored(some.withColumn("found", described).withColumn("found", valued), "mentions")
-    met = stored(mentions.select("k1", "k2", F.explode(F.array_distinct(F.transform("found", lambda e: F.struct(e["kind"].alias("kind"), e["value"].alias("value"))))).alias("e")).select("k1", "k2", "e.*"), "entities")
-    chosen = stored(mapping(stored(met.select("kind", "value").distinct(), "values"), key), "surrogates")
+    met = stored(mentions.select("k1", "k2", F.explode(F.array_distinct(F.flatten(F.transform("found", lambda e: e["parts"])))).alias("e")).select("k1", "k2", "e.*"), "entities")
+    known = F.when(F.col("gender") != "n", F.col("gender"))
+    genders = F.when(F.min(known) == F.max(known), F.min(known)).otherwise("n").alias("gender")
+    chosen = stored(mapping(stored(met.groupBy("kind", "value").agg(genders), "values"), key), "surrogates")
     per_text = met.join(chosen, ["kind", "value"]).groupBy("k1", "k2").agg(F.collect_set(F.struct(F.concat_ws("|", "kind", "value"), "surrogate")).alias("pairs"))
     joined = mentions.join(per_text, ["k1", "k2"]).withColumn("by_value", F.map_from_entries("pairs"))
-    fresh = F.transform("found", lambda e: _render(e["kind"], e["mention"], F.element_at(F.col("by_value"), F.concat_ws("|", e["kind"], e["value"]))))
+    drawn = lambda e: F.array_join(F.transform(e["parts"], lambda p: F.element_at(F.col("by_value"), F.concat_ws("|", p["kind"], p["value"]))), " ")
+    fresh = F.transform("found", lambda e: _render(e["kind"], e["mention"], drawn(e)))
     pieces = F.split("text", ANY, -1)
     rebuilt = F.array_join(F.transform(F.arrays_zip(pieces.alias("p"), F.col("fresh").alias("f")), lambda z: F.concat(z["p"], F.coalesce(z["f"], F.lit("")))), "")
     return (

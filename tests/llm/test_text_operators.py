@@ -355,6 +355,47 @@ def test_toxicity_learns_and_frames(spark):
     assert left.columns == d.columns and {900, 901} <= {x.doc_id for x in left.collect()}
 
 
+def test_clauses_brute_force():
+    """However long a clause, its frame is that of all its words, and each insult counts once."""
+    r, lexicon = random.Random(22), toxicity.Lexicon({"zonker": 2.0}, {"blorf": 1.0})
+    vocabulary = ["you", "not", "said", "kill", "zonker", "blorfing", *prose(r, 60).split()]
+    for _ in range(200):
+        text = "".join(r.choice(vocabulary) + r.choice([" "] * 30 + [". ", "!", "\n"]) for _ in range(r.randint(0, 300)))
+        want = sum((toxicity.np.array(toxicity.read_clause(toxicity.WORD.findall(c), lexicon)) for c in re.split("[.!?;:\n]", text)), toxicity.np.zeros(5))
+        assert toxicity.np.expm1(toxicity.features(text, lexicon)) == pytest.approx(want)
+    far = "you " + prose(r, 400) + " zonker " + prose(r, 300) + " zonker"
+    assert dict(zip(toxicity.FRAMES, toxicity.np.expm1(toxicity.features(far, lexicon))))["targeted"] == pytest.approx(4.0)
+
+
+def test_contamination_in_slices(spark, monkeypatch):
+    """More than one slice of test items changes nothing: one row per input row, repeated and null ids included."""
+    r = random.Random(23)
+    items = [(i, prose(r, 20)) for i in range(12)] + [(3, prose(r, 20))]
+    docs = [(1, f"{prose(r, 9)} {items[0][1]}"), (1, f"{items[7][1]} {items[1][1]}"), (1, prose(r, 30)), (None, items[2][1]), (None, None), (2, items[12][1]), (2, items[12][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda: sorted((str(x.doc_id), x["items"], x.score, x.contaminated) for x in contamination.contaminated(frame(spark, docs), bench).collect())
+    one = rows()
+    assert [x[1] for x in one] == [[], [0], [1, 7], [3], [3], [], [2]] and contamination.drop_contaminated(frame(spark, docs), bench).count() == 2
+    monkeypatch.setattr(contamination, "SLICE_BYTES", 400)
+    assert rows() == one and contamination.drop_contaminated(frame(spark, docs), bench).count() == 2
+
+
+def test_exact_dedup_of_repeated_ids(spark):
+    rows = [(1, "a"), (1, "b"), (2, "a"), (3, "b"), (None, "x"), (None, "y")]
+    got = sorted((str(x.doc_id), str(x.keep_id), x.group_size) for x in exact.exact_groups(frame(spark, rows)).collect())
+    assert got == [("1", "1", 2), ("1", "1", 2), ("2", "1", 2), ("3", "1", 2), ("None", "None", 1), ("None", "None", 1)]
+    assert sorted((str(x.doc_id), x.text) for x in exact.drop_exact_copies(frame(spark, rows)).collect()) == [("1", "a"), ("1", "b"), ("None", "x"), ("None", "y")]
+
+
+def test_sample_is_bounded_by_bytes(spark):
+    from millrace.llm import labelled
+
+    docs = spark.createDataFrame([(i, "x" * 1000 + str(i)) for i in range(50)], SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
+    texts, y = labelled.sample(docs, labels, "toxic", max_bytes=10_000)
+    assert len(texts) == len(y) == 9 and len(labelled.sample(docs, labels, "toxic")[0]) > 30
+
+
 def test_quality_machine(spark):
     import numpy as np
     import pyarrow as pa
@@ -388,7 +429,7 @@ PII = [
 
 
 def test_surrogates(spark):
-    got = sorted((r.doc_id, r.text, r.n_entities) for r in surrogates.replace_entities(frame(spark, PII)).collect())
+    got = sorted((r.doc_id, r.text, r.n_entities) for r in surrogates.replace_entities(frame(spark, PII), "key").collect())
     text = dict((i, t) for i, t, _ in got)
     for value in ("Anna", "ANNA", "974", "10.2.133.7", "Müller", "Smith", "4111", "04dbeb", "04DBEB", "Иванова", "123-45"):
         assert not any(value in t for t in text.values())
@@ -406,8 +447,50 @@ def test_surrogates(spark):
     assert again[1] != text[1]
 
 
+KINDS = [
+    ("email", r"[\w.]+@[\w.]+\.(?:com|org)", lambda r: f"{prose(r, 1)}.{prose(r, 1)}@{prose(r, 1)}.{r.choice(['com', 'org'])}"),
+    ("ssn", r"\d{3}-\d\d-\d{4}", lambda r: f"{r.randint(100, 999)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}"),
+    ("phone", r"(?:\+49 30 \d{7}|06(?: \d\d){4}|0171 \d{7}|\+44 20 \d{4} \d{4})", lambda r: r.choice(["+49 30 {:07d}", "06 12 34 56 {:02d}", "0171 {:07d}", "+44 20 7946 {:04d}"]).format(r.randint(10, 99))),
+    ("name", r"(?:Mr|Mrs|Dr)\.? [A-Z]\w+(?: [A-Z]\w+)?", lambda r: f"{r.choice(['Mr', 'Mrs', 'Dr.'])} {r.choice(['', 'Ann ', 'Tom '])}{r.choice(['Smith', 'Jones', 'Roth', 'Weber'])}"),
+]
+
+
+def test_surrogates_brute_force(spark):
+    """Against texts whose entities are known: the rest is kept to the letter, formats stay, one value has one surrogate and no two share one."""
+    r, docs, made = random.Random(21), [], {}
+    for i in range(60):
+        entities = [(kind, draw(r)) for kind, _, draw in (r.choice(KINDS) for _ in range(r.randint(0, 5)))]
+        around = [prose(r, r.randint(1, 9)) for _ in range(len(entities) + 1)]
+        docs.append((i, " ".join(x for pair in zip(around, [e for _, e in entities] + [""]) for x in pair)))
+        made[i] = (entities, around)
+    got = {x.doc_id: x for x in surrogates.replace_entities(frame(spark, docs), "secret").collect()}
+    words = {}
+    for i, (entities, around) in made.items():
+        text, fresh = got[i].text, []
+        for k, (kind, _) in enumerate(entities):
+            assert text.startswith(around[k] + " ")
+            text = text[len(around[k]) + 1 :]
+            hit = re.match(dict((a, b) for a, b, _ in KINDS)[kind].replace("49 30", r"\d\d \d\d").replace("06(", r"\d\d(").replace("0171", r"\d{4}").replace("44 20", r"\d\d \d\d"), text)
+            fresh.append(hit.group())
+            text = text[hit.end() + 1 :]
+        assert text.strip() == around[-1] and got[i].n_entities == len(entities)
+        for (kind, value), new in zip(entities, fresh):
+            assert new != value
+            if kind == "name":
+                assert value.split()[0] == new.split()[0] and len(value.split()) == len(new.split())
+                pairs = [("given" if k < len(value.split()) - 1 else "surname", a, b) for k, (a, b) in enumerate(zip(value.split(), new.split())) if k]
+            else:
+                pairs = [(kind, value, new)]
+            for key in pairs:
+                assert words.setdefault(key[:2], key[2]) == key[2]
+    assert len(set((k, v) for (k, _), v in words.items())) == len(words)
+    assert {v for (k, _), v in words.items() if k == "surname"}.isdisjoint({"Smith", "Jones", "Roth", "Weber"})
+    with pytest.raises(ValueError):
+        surrogates.replace_entities(frame(spark, docs), "")
+
+
 def test_surrogates_stay_distinct_where_few_values_are_free(spark):
-    values = spark.createDataFrame([("ip", f"{i}.0.0.{j}") for i in range(10) for j in range(10)], "kind string, value string")
+    values = spark.createDataFrame([("ip", f"{i}.0.0.{j}", "n") for i in range(10) for j in range(10)], "kind string, value string, gender string")
     got = surrogates.mapping(values, "k").collect()
     assert len(got) == 100 and len({r.surrogate for r in got}) == 100
     assert not {r.surrogate for r in got} & {r.value for r in got}
@@ -416,7 +499,7 @@ def test_surrogates_stay_distinct_where_few_values_are_free(spark):
 @pytest.mark.parametrize(
     "run",
     [
-        lines.drop_repeated_lines, exact.exact_groups, exact.drop_exact_copies, substrings.remove_seen_windows, suffixes.remove_repeated_bytes, nearcopies.near_groups, nearcopies.drop_near_copies, surrogates.replace_entities,
+        lines.drop_repeated_lines, exact.exact_groups, exact.drop_exact_copies, substrings.remove_seen_windows, suffixes.remove_repeated_bytes, nearcopies.near_groups, nearcopies.drop_near_copies, lambda d: surrogates.replace_entities(d, "key"),
         lambda d: contamination.contaminated(d, d.sparkSession.createDataFrame([], "item_id long, text string")),
         lambda d: toxicity.score_texts(d, toxicity.fit(d, d.sparkSession.createDataFrame([], "doc_id long, toxic int"))),
         lambda d: quality.score_texts(d, quality.fit(d, d.sparkSession.createDataFrame([], "doc_id long, quality int"))),
@@ -428,7 +511,7 @@ def test_empty_table(spark, run):
 
 def test_null_ids_do_not_crash(spark):
     rows = [(None, "some words here"), (None, None), (1, "some words here")]
-    for run in (lines.drop_repeated_lines, exact.exact_groups, substrings.remove_seen_windows, suffixes.remove_repeated_bytes, surrogates.replace_entities):
+    for run in (lines.drop_repeated_lines, exact.exact_groups, substrings.remove_seen_windows, suffixes.remove_repeated_bytes, lambda d: surrogates.replace_entities(d, "key")):
         assert run(spark.createDataFrame(rows, SCHEMA)).count() == 3
     assert nearcopies.near_groups(spark.createDataFrame(rows, SCHEMA)).count() == 1
 
