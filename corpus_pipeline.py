@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, contamination, exact, nearcopies, toxicity
-from millrace.llm.common import stored
+from millrace.llm.common import discard, stored
 from millrace.session import table
 
 
@@ -45,7 +45,10 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            discard(before)  # the next stage reads this one's rows alone
+        before = docs
     return docs
