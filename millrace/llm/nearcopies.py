@@ -8,11 +8,11 @@ candidates, and aligned: the k-mers they have in common and in one order, within
 around the diagonal, must be 0.8 of all.
 
 A bucket of n classes has n * n pairs, but only its groups are asked for. So each member is
-aligned with the bucket's first, and linked members are one group from then on. Only
-pairs of different groups are left. Buckets of few members list them; the members of
-larger ones find each other by their rarest k-mers: two texts alike at 0.8 share at least
-k of the rarest fifth and k more of each (prefix filtering). Nothing is left out, and a
-bucket of texts that are alike, or of texts that merely share a passage, costs no square.
+aligned with one of the bucket, and linked members are one group from then on. Members of
+buckets that still hold several groups find each other by their rarest k-mers: texts alike
+at 0.8 share one among the rarest fifth of each (prefix filtering), so only pairs of
+different groups that meet there, and whose counts allow the similarity, are aligned. Each
+link between different texts that share a sketch is found so, or lies within a group.
 """
 
 from bisect import bisect_left
@@ -28,10 +28,6 @@ from .components import connected_components
 K, KMER_SEED = 5, 71
 SKETCHES, TAKEN = 20, 3
 SIMILARITY = 0.8
-#: Common k-mers asked of the rarest fifth (and as many more) of two texts.
-PREFIX = 8
-#: Members of a bucket whose pairs of groups are listed.
-LISTED = 32
 SEEDS = W.constants(SKETCHES, 73)
 ORDER = W.constants(TAKEN, 79)
 
@@ -188,33 +184,33 @@ def divided(members, *key):
 
 
 def may_link():
-    """Whether a pair's sizes, and how many k-mers each shares with any other, allow the similarity.
+    """Whether a pair's k-mers allow the similarity, at the first place that brings it together.
 
     What a text shares with nobody is in the union of both and not in the intersection.
+    And what stands before the first rare k-mer that both have is not in common.
     """
     alone = F.col("size") - F.col("shared") + F.col("size_b") - F.col("shared_b")
-    return (F.col("group") != F.col("group_b")) & (F.least("shared", "shared_b") >= (F.greatest("shared", "shared_b") + alone) * (SIMILARITY - 1e-9))
+    counts = F.least("shared", "shared_b") >= (F.greatest("shared", "shared_b") + alone) * (SIMILARITY - 1e-9)
+    left = F.least(F.col("size") - F.col("at"), F.col("size_b") - F.col("at_b"))
+    return (F.col("group") != F.col("group_b")) & counts & (left >= (F.col("size") + F.col("size_b")) * (SIMILARITY / (1 + SIMILARITY) - 1e-9))
 
 
-def pair(members, others, *key):
-    other = others.select(*key, *(F.col(c).alias(f"{c}_b") for c in ("node", "size", "shared", "group", "need")))
-    return members.join(other, [*key]).where(may_link()).groupBy(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b"))
+def pairs(members, others, *key):
+    other = others.select(*key, *(F.col(c).alias(f"{c}_b") for c in ("node", "size", "shared", "group", "at")))
+    met = members.join(other, [*key]).where(may_link())
+    return met.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
 
 
 def across(members, *key):
     """Pairs of one bucket and different groups; members of its largest group are no first of a pair."""
-    minor = F.col("group") != F.col("top")
-    met = pair(members.where(minor), members, *key)
-    # A pair of two minor members is met from both sides in each bucket.
-    both = met.agg(F.count_distinct(*key).alias("times"), F.min(F.least("need", "need_b")).alias("need"))
-    return both.where("times >= need").select("a", "b")
+    return pairs(members.where(F.col("group") != F.col("top")), members, *key)
 
 
 def stars(members, *key, turn=0):
     """Each member with one of its bucket: its first, or in later turns one drawn by hash, so that every bucket asks another."""
     drawn = F.xxhash64(F.lit(turn), *key, "node") if turn else F.lit(0).cast("long")
-    least = F.min(F.struct(drawn.alias("drawn"), "node", "size", "shared", "group", "need")).alias("x")
-    return pair(members, members.groupBy(*key).agg(least).select(*key, "x.*"), *key).agg(F.first("need")).select("a", "b")
+    least = F.min(F.struct(drawn.alias("drawn"), "node", "size", "shared", "group", "at")).alias("x")
+    return pairs(members, members.groupBy(*key).agg(least).select(*key, "x.*"), *key)
 
 
 def by_rare_kmers(members, texts):
@@ -222,15 +218,14 @@ def by_rare_kmers(members, texts):
     held = stored(texts.join(members.select("node"), "node", "left_semi").mapInArrow(_kmers, f"node {NODE_TYPE}, kmers array<long>"), "kmers")
     each = held.select("node", F.explode("kmers").alias("kmer"))
     times = each.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    ranked = each.join(times, "kmer").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "kmer"))).alias("shared"))
+    ranked = each.join(times, "kmer").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "kmer"))).alias("met"))
+    sized = ranked.join(members, "node").withColumn("shared", F.size("met").cast("long"))
     # k-mers of one member alone are its rarest: they fill the first places and meet nobody.
-    common = F.ceil(F.col("size") * SIMILARITY - 1e-9)
-    prefix = F.col("size") - common + F.col("need")
-    places = F.greatest(F.lit(0), prefix - (F.col("size") - F.size("shared"))).cast("int")
-    # Who shares too little links with nobody.
-    sized = ranked.join(members.select("node", "size"), "node").withColumn("need", F.least(F.lit(PREFIX), common).cast("int")).where(F.size("shared") >= F.col("size") * (SIMILARITY - 1e-9))
-    rare = sized.select("node", "size", "need", F.size("shared").cast("long").alias("shared"), F.explode(F.slice("shared", F.lit(1), places)).alias("x"))
-    return stored(rare.select("node", "size", "shared", "need", F.col("x.kmer").alias("kmer")), "rare-kmers")
+    alone = F.col("size") - F.col("shared")
+    places = F.greatest(F.lit(0), F.col("size") - F.ceil(F.col("size") * SIMILARITY - 1e-9) + 1 - alone).cast("int")
+    some = sized.where(F.col("shared") >= F.col("size") * (SIMILARITY - 1e-9))  # who shares too little links with nobody
+    rare = some.select("node", "size", "shared", alone.alias("alone"), F.posexplode(F.slice("met", F.lit(1), places)).alias("place", "x"))
+    return stored(rare.select("node", "size", "shared", (F.col("alone") + F.col("place")).alias("at"), F.col("x.kmer").alias("kmer")), "rare-kmers")
 
 
 def _answers(docs, id_col, text_col):
@@ -241,23 +236,17 @@ def _answers(docs, id_col, text_col):
     classes = stored(every.groupBy("h1", "h2").agg(F.min(F.struct("node", "sketches", "size")).alias("m")).select("h1", "h2", "m.*"), "word-classes")
     spread = classes.select("node", "size", F.posexplode("sketches").alias("band", "sketch"))
     buckets = spread.groupBy("band", "sketch").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = stored(spread.join(buckets, ["band", "sketch"]).withColumns({"group": F.col("node"), "shared": F.col("size"), "need": F.lit(1)}), "met")
+    met = stored(spread.join(buckets, ["band", "sketch"]).withColumns({"group": F.col("node"), "shared": F.col("size"), "at": F.lit(0).cast("long")}), "met")
     # From here on only the texts of classes that met others are moved.
     met_nodes = met.select("node").distinct()
     texts = stored(base.join(met_nodes, "node", "left_semi").groupBy("node").agg(F.first("_text").alias("text")), "met-texts")
 
-    tried = stored(stars(met, "band", "sketch"), "pairs")
-    links = alike(tried, texts)
-    rest = divided(grouped(met.drop("group"), links), "band", "sketch")
-    few = across(rest.where(F.col("n") <= LISTED), "band", "sketch").join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(alike(few, texts))
-    large = rest.where(F.col("n") > LISTED).drop("top")
-    if not large.isEmpty():
-        rare = by_rare_kmers(large.select("node", "size").distinct(), texts)
-        for turn in (1, 2):
-            left = divided(grouped(rare, links), "kmer").drop("top")
-            links = links.unionByName(alike(stars(left, "kmer", turn=turn), texts))
-        links = links.unionByName(alike(across(divided(grouped(rare, links), "kmer"), "kmer"), texts))
+    links = alike(stars(met, "band", "sketch"), texts)
+    rest = divided(grouped(met.drop("group"), links), "band", "sketch").select("node", "size").distinct()
+    rare = by_rare_kmers(stored(rest, "rest"), texts)
+    for turn in (1, 2):  # each draws as many pairs as there are places, and leaves fewer groups
+        links = links.unionByName(alike(stars(divided(grouped(rare, links), "kmer").drop("top"), "kmer", turn=turn), texts))
+    links = links.unionByName(alike(across(divided(grouped(rare, links), "kmer"), "kmer"), texts))
     roots = connected_components(links)
     known = stored(
         classes.select("h1", "h2", "node").join(roots, "node", "left")

@@ -177,10 +177,8 @@ def test_near_dedup_brute_force(spark, corpus):
     assert len({got[i] for i in range(200, 206)}) == 1
 
 
-@pytest.mark.parametrize("listed", [32, 2])
-def test_near_dedup_of_a_large_family(spark, listed, monkeypatch):
-    """Variants of one template, partly below 0.8 to each other, and texts that share a passage: no link is lost, whatever way finds it."""
-    monkeypatch.setattr(nearcopies, "LISTED", listed)
+def test_near_dedup_of_a_large_family(spark):
+    """Variants of one template, partly below 0.8 to each other, and texts that share a passage: no link is lost."""
     r = random.Random(12)
     template, passage, docs = prose(r, 200).split(), prose(r, 120), []
     for i in range(120):
