@@ -2,7 +2,6 @@
 
 import atexit
 import contextlib
-import re
 import tempfile
 import uuid
 import zipfile
@@ -11,6 +10,8 @@ from pathlib import Path
 from pyspark import SparkContext
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 #: The separators of a word: space and the five ASCII control spaces.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -27,14 +28,7 @@ def scratch_dir(spark):
     Where neither is set, a local session gets one of its own; on a cluster that is an
     error, as no machine's own folder would do.
     """
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not base:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-        context.setCheckpointDir(base)
-    root = f"{base.rstrip('/')}/millrace-{RUN}"
+    root = f"{shared_dir(spark)}/millrace-{RUN}"
     if root not in _ROOTS:
         _ROOTS.add(root)
         atexit.register(remove, spark, root)
