@@ -142,3 +142,8 @@ def class_counts(unresolved, classes, default="never_valid"):
     labels = F.transform(unresolved, lambda t: F.coalesce(F.try_element_at(known, t), F.lit(default)))
     names = sorted({*classes.values(), default})
     return F.map_from_arrays(strings(names), F.array(*[F.size(F.filter(labels, lambda x, n=n: x == n)) for n in names]))
+
+
+def overlap(requested, names):
+    """Names of a list that a grant asks for, sorted; empty where none."""
+    return F.array_sort(F.array_intersect(F.coalesce(requested, F.array().cast("array<string>")), F.array(*[F.lit(n) for n in names])))

@@ -155,13 +155,13 @@ def by_size(df, cluster, outcome, population=None, edges=(1, 5, 20), replicates=
     return summarise(binned, ("size_bin",), replicates, seed)
 
 
-def stratified_prevalence(sampled, population, stratum, outcome, replicates=2000, seed=SEED, alpha=ALPHA):
+def stratified_prevalence(sampled, population, stratum, key, outcome, replicates=2000, seed=SEED, alpha=ALPHA):
     """Prevalence re-weighted to stratum sizes, with a bootstrap within strata.
 
     Strata that are sampled but not in the population are left out.
     """
     pool = population.groupBy(F.col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("pool"))
-    rows = sampled.select(F.col(stratum).alias("stratum"), F.coalesce(outcome, F.lit(False)).cast("double").alias("y"), F.xxhash64(*sampled.columns).alias("cluster_tie"), *[F.col(sampled.columns[0]).alias("cluster")])
+    rows = sampled.select(F.col(stratum).alias("stratum"), F.coalesce(outcome, F.lit(False)).cast("double").alias("y"), F.col(key).alias("cluster"))
     rows = rows.join(pool, "stratum")
     means = rows.groupBy("stratum", "pool").agg(F.avg("y").alias("p"), F.count(F.lit(1)).alias("n"))
     point = means.agg(share(F.sum(F.col("p") * F.col("pool")), F.sum("pool")).alias("prevalence"), F.sum("n").alias("n_sampled"), F.sum("pool").alias("n_population"))
@@ -189,3 +189,33 @@ def two_sample_difference(values, group, a, b, key, value, replicates=REPLICATES
     two = bootstrap_means(rows.where(F.col("g") == b), ("g",), "v", replicates, f"{seed}b").select("rep", F.col("mean").alias("mb"))
     means = one.join(two, "rep").select(F.lit(1).alias("all"), "rep", (F.col("mb") - F.col("ma")).alias("mean"))
     return point.crossJoin(F.broadcast(percentile_interval(means, ("all",), replicates, alpha).drop("all")))
+
+
+def first_copies(df, content, order, keep):
+    """One row per content: of its copies the first in the given order, with the columns to keep.
+
+    A partial minimum in place of a window, so that no task gathers the copies of one content.
+    """
+    first = F.min(F.struct(*order, *[F.col(c).alias(f"_{c}") for c in keep])).alias("x")
+    return df.groupBy(F.sha2(F.coalesce(F.col(content), F.lit("")), 256).alias("content")).agg(first).select(*[F.col(f"x._{c}").alias(c) for c in keep])
+
+
+def dedup_sensitivity(df, cluster, content, order, outcome, population=None, replicates=REPLICATES, seed=SEED):
+    """The same estimate over all rows ("all") and over the first copy of each content ("dedup")."""
+    flagged = df.withColumns({"y": F.coalesce(outcome, F.lit(False)), "e": F.coalesce(population, F.lit(False)) if population is not None else F.lit(True)})
+    once = first_copies(flagged, content, order, [cluster, "y", "e"])
+    both = flagged.select(cluster, "y", "e", F.lit("all").alias("rows")).unionByName(once.withColumn("rows", F.lit("dedup")))
+    asked = {name: (F.col("y"), F.col("e") & (F.col("rows") == name)) for name in ("all", "dedup")}
+    return cluster_estimates(both, cluster, asked, replicates, seed)
+
+
+def shares_by_side(rows, key, control, value, least=11, replicates=REPLICATES, seed=SEED, alpha=ALPHA):
+    """One row per side of a yes/no control over units: their share with Wilson bounds, mean value with bootstrap bounds.
+
+    Units without a value count in the share and not in the mean; sides of fewer than `least` units are left out.
+    """
+    units = rows.select(control.alias("side"), F.col(key).alias("cluster"), F.col(value).cast("double").alias("v"))
+    sides = units.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean_value"))
+    total = F.broadcast(units.agg(F.count(F.lit(1)).alias("total")))
+    bounds = percentile_interval(bootstrap_means(units.where("v IS NOT NULL"), ("side",), "v", replicates, seed), ("side",), replicates, alpha)
+    return sides.crossJoin(total).where(F.col("n") >= least).join(bounds, "side", "left")

@@ -1,6 +1,5 @@
 """Queries of labels, raters, models and streams."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -8,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import annotation as A
 from ..operators import models as M
 from ..operators import sampling as O
-from ..session import table
+from ..session import shared_dir, table
 from .registry import query
 
 
@@ -32,12 +31,12 @@ def item_table(spark, sf_dir):
     return A.item_table(docs, "item", "doc_id", "source")
 
 
-@query("""WITH a AS (SELECT doc_id, quality AS x FROM labels), b AS (SELECT doc_id, 1 - toxic AS y FROM labels WHERE doc_id % 4 <> 0), p AS (SELECT x::VARCHAR AS x, y::VARCHAR AS y FROM a JOIN b USING (doc_id)),
+@query("""WITH a AS (SELECT doc_id, quality AS x FROM labels), b AS (SELECT doc_id, 1 - toxic AS y FROM labels WHERE (quality = 1 OR toxic = 1)), p AS (SELECT x::VARCHAR AS x, y::VARCHAR AS y FROM a JOIN b USING (doc_id)),
 c AS (SELECT v, count(*)::DOUBLE AS c FROM (SELECT x AS v FROM p UNION ALL SELECT y FROM p) GROUP BY v), e AS (SELECT sum(c) AS n, sum(c * c) AS c2 FROM c), o AS (SELECT count(*) AS n_items, avg((x <> y)::INT) AS d FROM p)
-SELECT n_items, round(1 - d, 9) AS agreement, round(1 - d / ((n * n - c2) / (n * (n - 1))), 9) AS alpha, (SELECT count(*) FROM labels WHERE doc_id % 4 = 0) AS n_missing FROM o, e""")
+SELECT n_items, round(1 - d, 9) AS agreement, round(1 - d / ((n * n - c2) / (n * (n - 1))), 9) AS alpha, (SELECT count(*) FROM labels WHERE quality = 0 AND toxic = 0) AS n_missing FROM o, e""")
 def third_rater(spark, sf_dir):
     labels = table(spark, sf_dir, "labels")
-    out = A.third_rater(labels.select("doc_id", F.col("quality").cast("int").alias("v")), labels.where("doc_id % 4 <> 0").select("doc_id", (1 - F.col("toxic")).cast("int").alias("v")), "doc_id", "v")
+    out = A.third_rater(labels.select("doc_id", F.col("quality").cast("int").alias("v")), labels.where("(quality = 1 OR toxic = 1)").select("doc_id", (1 - F.col("toxic")).cast("int").alias("v")), "doc_id", "v")
     return out.withColumns({c: F.round(c, 9) for c in ("agreement", "alpha")})
 
 
@@ -105,7 +104,7 @@ def streamed_windows(spark, sf_dir):
 
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).format("parquet").option("pathGlobFilter", "events.parquet").load(sf_dir) if not _is_folder(spark, sf_dir) else spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    base = shared_dir(spark)
     root = f"{base}/streamed-{uuid.uuid4().hex}"
     counts = windowed_counts(stream.withColumn("at", F.col("ts").cast("timestamp")), "at", "event_type", "1 day", "1 hour")
 

@@ -150,13 +150,13 @@ def raw_weighted_agreement(spark, sf_dir):
     return rounded(rows.agg(E.share(F.sum(same * w), F.sum(w)).alias("weighted_agreement"), F.avg(same.cast("double")).alias("agreement"), F.count(F.lit(1)).alias("n")), "weighted_agreement", "agreement")
 
 
-@query("""WITH v AS (SELECT doc_id, 'a' AS rater, quality AS v FROM labels UNION ALL SELECT doc_id, 'b', 1 - toxic FROM labels UNION ALL SELECT doc_id, 'c', (n_chars > 1000)::INT FROM documents WHERE doc_id % 3 = 0),
+@query("""WITH v AS (SELECT doc_id, 'a' AS rater, quality AS v FROM labels UNION ALL SELECT doc_id, 'b', 1 - toxic FROM labels UNION ALL SELECT doc_id, 'c', (n_chars > 1000)::INT FROM documents WHERE lang = 'en'),
 c AS (SELECT doc_id, v, count(DISTINCT rater) AS c FROM v GROUP BY 1, 2), t AS (SELECT doc_id, sum(c)::BIGINT AS n, max(c) AS top, max_by(v, (c, v)) AS best FROM c GROUP BY 1)
 SELECT doc_id, n AS n_votes, CASE WHEN n >= 2 AND 2 * top > n THEN best END AS consensus FROM t""")
 def consensus_majority(spark, sf_dir):
     labels = table(spark, sf_dir, "labels")
     votes = labels.select("doc_id", F.lit("a").alias("rater"), F.col("quality").cast("int").alias("v")).unionByName(labels.select("doc_id", F.lit("b").alias("rater"), (1 - F.col("toxic")).cast("int").alias("v")))
-    third = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select("doc_id", F.lit("c").alias("rater"), (F.col("n_chars") > 1000).cast("int").alias("v"))
+    third = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.lit("c").alias("rater"), (F.col("n_chars") > 1000).cast("int").alias("v"))
     return S.consensus(votes.unionByName(third), "doc_id", "rater", "v")
 
 
@@ -182,7 +182,7 @@ SELECT round(sum(p * pool) / sum(pool), 9) AS prevalence, sum(n)::BIGINT AS n_sa
 def stratified_prevalence(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
     sampled = table(spark, sf_dir, "labels").join(docs, "doc_id")
-    return rounded(E.stratified_prevalence(sampled, docs, "lang", F.col("quality") == 1, R, SEED), "prevalence", "lo", "hi")
+    return rounded(E.stratified_prevalence(sampled, docs, "lang", "doc_id", F.col("quality") == 1, R, SEED), "prevalence", "lo", "hi")
 
 
 @query(f"""WITH base AS (SELECT 1 AS one, doc_id AS cluster, (toxic = 1 AND quality = 1)::INT AS num, (quality = 1)::INT AS den FROM labels),

@@ -13,7 +13,7 @@ def query(sql=None):
     return add
 
 
-from . import annotations, estimation, reports, relational, semistructured, texts  # noqa: E402, F401  (they register themselves)
+from . import annotations, estimation, reports, relational, semistructured, sensitivity, texts  # noqa: E402, F401  (they register themselves)
 
 
 def flagship(spark, sf_dir):

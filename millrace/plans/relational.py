@@ -22,12 +22,12 @@ def cross_source_duplicates(spark, sf_dir):
     return J.shared_across(docs, "h", "source").select("doc_id", "n_units", "shared")
 
 
-@query("""WITH a AS (SELECT doc_id, quality, toxic, 'first' AS source FROM labels WHERE doc_id % 2 = 0), b AS (SELECT doc_id, quality, 1 - toxic AS toxic, 'second' AS source FROM labels WHERE doc_id % 3 <> 0)
+@query("""WITH a AS (SELECT doc_id, quality, toxic, 'first' AS source FROM labels WHERE quality = 1), b AS (SELECT doc_id, quality, 1 - toxic AS toxic, 'second' AS source FROM labels WHERE toxic = 0)
 SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NOT NULL THEN a.quality ELSE b.quality END AS quality, CASE WHEN a.doc_id IS NOT NULL THEN a.toxic ELSE b.toxic END AS toxic,
        CASE WHEN a.doc_id IS NOT NULL THEN a.source ELSE b.source END AS source FROM a FULL JOIN b ON a.doc_id = b.doc_id""")
 def precedence_label_join(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").withColumn("toxic", F.col("toxic").cast("int"))
-    first, second = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 3 <> 0").withColumn("toxic", (1 - F.col("toxic")).cast("int"))
+    first, second = labels.where("quality = 1"), labels.where("toxic = 0").withColumn("toxic", (1 - F.col("toxic")).cast("int"))
     return J.precedence("doc_id", ("first", first), ("second", second))
 
 
@@ -55,10 +55,11 @@ def semi_population(spark, sf_dir):
     return J.within(table(spark, sf_dir, "orders"), rich, "o_custkey").select("o_orderkey", "o_custkey")
 
 
-@query("""SELECT k, 'missing' AS status FROM (SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders)
-UNION ALL SELECT k, 'unexpected' FROM (SELECT o_custkey AS k FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) WHERE 1 = 0""")
+@query("""SELECT k, 'missing' AS status FROM (SELECT doc_id AS k FROM documents EXCEPT SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')
+UNION ALL SELECT k, 'unexpected' FROM (SELECT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT doc_id FROM documents)""")
 def key_set_diff(spark, sf_dir):
-    return J.key_difference(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), "k")
+    returned = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
+    return J.key_difference(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k")), returned.select(F.col("l_orderkey").alias("k")), "k")
 
 
 @query("""SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) = list(o_orderkey ORDER BY o_orderdate, o_orderkey) AS same FROM orders GROUP BY 1""")
@@ -112,11 +113,11 @@ def shadowed_names(spark, sf_dir):
     return J.shadowed(table(spark, sf_dir, "events"), "user_id", "event_type")
 
 
-@query("""WITH o AS (SELECT doc_id, quality FROM labels WHERE doc_id % 5 <> 0), n AS (SELECT doc_id, toxic FROM labels WHERE doc_id % 7 <> 0)
+@query("""WITH o AS (SELECT doc_id, quality FROM labels WHERE toxic = 0), n AS (SELECT doc_id, toxic FROM labels WHERE quality = 1)
 SELECT CASE WHEN o.doc_id IS NULL THEN 'new' WHEN n.doc_id IS NULL THEN 'gone' WHEN quality = toxic THEN 'same' ELSE 'changed' END AS status, count(*) AS n FROM o FULL JOIN n ON o.doc_id = n.doc_id GROUP BY 1""")
 def reconcile_versions(spark, sf_dir):
     labels = table(spark, sf_dir, "labels")
-    return J.reconcile(labels.where("doc_id % 5 <> 0").select("doc_id", F.col("quality").alias("v")), labels.where("doc_id % 7 <> 0").select("doc_id", F.col("toxic").alias("v")), "doc_id", "v")
+    return J.reconcile(labels.where("toxic = 0").select("doc_id", F.col("quality").alias("v")), labels.where("quality = 1").select("doc_id", F.col("toxic").alias("v")), "doc_id", "v")
 
 
 @query("""SELECT lang, coalesce(s, 'not-attempted') AS status, count(*) AS n FROM documents LEFT JOIN (SELECT doc_id, CASE WHEN quality = 1 THEN 'recovered' ELSE 'missing' END AS s FROM labels) USING (doc_id) GROUP BY 1, 2""")

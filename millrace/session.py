@@ -1,5 +1,8 @@
 """Session settings the operators rely on."""
 
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
 #: UTC keeps timestamps comparable with other engines; AQE splits skewed joins.
@@ -31,3 +34,14 @@ def local_session(cores="*", partitions=8, memory="8g"):
 def table(spark, sf_dir, name):
     """Read one table of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark):
+    """spark.checkpoint.dir, the folder that the driver and all executors share; a local session without one gets its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")

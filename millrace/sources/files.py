@@ -23,6 +23,11 @@ def read_jsonl_marked(spark, path, schema):
     return spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
 
 
+def read_json_documents(spark, path, schema):
+    """Files that each hold one JSON document, or an array of them, over any number of lines; malformed files are rows of NULLs."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+
+
 def read_batches(spark, glob, schema, level=2):
     """A folder of batch files, with the rater named by the folder `level` steps up the path."""
     rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(glob)
@@ -216,3 +221,21 @@ def manifest(tables):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def provenance(df, name, date, status, text):
+    """What a provenance record states of a table: rows, columns, first and last date, bytes of a text column, rows by status."""
+    per = df.groupBy(F.col(status).alias("status")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(date).alias("first"), F.max(date).alias("last"), F.sum(F.octet_length(F.col(text))).alias("bytes")
+    )
+    counts = F.array_join(F.array_sort(F.collect_list(F.concat(F.coalesce("status", F.lit("none")), F.lit("="), F.col("n").cast("string")))), " ")
+    return per.agg(F.sum("n").alias("n_rows"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("bytes").alias("n_bytes"), counts.alias("statuses")).select(
+        F.lit(name).alias("table"), "n_rows", F.lit(len(df.columns)).alias("n_columns"), "first", "last", "n_bytes", "statuses"
+    )
+
+
+def comparison_lines(rows, label, figures, digits=2):
+    """Rows as lines of an aligned table: a label and its figures, absent ones as a dash."""
+    cell = lambda c: F.lpad(F.coalesce(F.format_string(f"%.{digits}f", F.col(c).cast("double")), F.lit("-")), 10, " ")
+    cells = [F.when(F.col(c).isNull(), F.lpad(F.lit("-"), 10, " ")).otherwise(cell(c)) for c in figures]
+    return rows.select(F.concat(F.rpad(F.col(label).cast("string"), 16, " "), *cells).alias("line"))

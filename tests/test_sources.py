@@ -119,3 +119,12 @@ def test_formats(spark):
     assert h.headers == {"link": "x", "a": "b: c"} and h.body == "body"
     m = spark.range(1).select(I.month_counts(F.create_map(F.lit("m202501"), F.lit(1), F.lit("x"), F.lit(2))), I.authors(F.array(F.lit("a"), F.lit(None)), F.array(F.lit("Q@x"), F.lit("Q@x")))).first()
     assert tuple(m) == ({"202501": 1}, ["a", "q@x"])
+
+
+def test_json_documents_over_lines(spark, tmp_path):
+    from millrace.sources.files import read_json_documents
+
+    (tmp_path / "a.json").write_text('{\n "n": 1,\n "tags": ["x",\n "y"]\n}')
+    (tmp_path / "b.json").write_text('[{"n": 2},\n {"n": 3, "tags": []}]')
+    rows = read_json_documents(spark, str(tmp_path), "n long, tags array<string>").collect()
+    assert sorted((r.n, r.tags) for r in rows) == [(1, ["x", "y"]), (2, None), (3, [])]
