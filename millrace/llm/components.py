@@ -1,5 +1,6 @@
 """Connected components of links, without gathering any of them in one place."""
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from .common import discard, stored
@@ -18,12 +19,29 @@ def connected_components(links, a="a", b="b", max_rounds=60):
         near = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy("x").agg(F.min("root").alias("least"))
         better = labels.join(near, labels["node"] == near["x"], "left").select("node", "root", F.least("root", F.coalesce("least", "root")).alias("least"))
         jump = labels.select(F.col("node").alias("least"), F.col("root").alias("further"))
-        after = stored(better.join(jump, "least", "left").select("node", F.least("least", F.coalesce("further", "least")).alias("next"), "root"), "labels")
+        # Counted as the labels are written; a task run twice may count twice, which leaves none at none.
+        seen = Observation()
+        after = better.join(jump, "least", "left").select("node", F.least("least", F.coalesce("further", "least")).alias("next"), "root")
+        after = stored(after.observe(seen, F.count_if(F.col("next") != F.col("root")).alias("changed")), "labels")
         discard(before)
         before = after
-        changed = not after.where("next <> root").isEmpty()
+        changed = seen.get["changed"] > 0
         labels = after.select("node", F.col("next").alias("root"))
         if not changed:
             discard(both)
             return labels
     raise RuntimeError("components did not settle; links form a chain of extreme length")
+
+
+def tied(groups, links):
+    """Groups (node, root) after further links (a, b) between their nodes: only roots that the links tie are looked at again.
+
+    Every end of a link must be a node of `groups`; the least node of a group stays its root.
+    """
+    ends = links.select("a", "b").join(groups.select(F.col("node").alias("a"), F.col("root").alias("x")), "a")
+    ends = ends.join(groups.select(F.col("node").alias("b"), F.col("root").alias("y")), "b").where("x <> y")
+    ends = stored(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "ties")
+    if ends.isEmpty():
+        return groups
+    roots = connected_components(ends).select(F.col("node").alias("root"), F.col("root").alias("now"))
+    return stored(groups.join(roots, "root", "left").select("node", F.coalesce("now", "root").alias("root")), "groups")

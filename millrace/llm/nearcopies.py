@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .common import ship, stored
-from .components import connected_components
+from .components import tied
 
 K, KMER_SEED = 5, 71
 SKETCHES, TAKEN = 20, 3
@@ -170,10 +170,9 @@ def alike(pairs, texts):
     return stored(found.where(F.col("similarity") >= SIMILARITY).select("a", "b"), "near-links")
 
 
-def grouped(members, links):
+def grouped(members, groups):
     """Members with the group that they are in by the links so far."""
-    roots = connected_components(links)
-    return members.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root")
+    return members.join(groups.withColumnRenamed("root", "group"), "node")
 
 
 def divided(members, *key):
@@ -238,16 +237,15 @@ def _answers(docs, id_col, text_col):
     buckets = spread.groupBy("band", "sketch").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = stored(spread.join(buckets, ["band", "sketch"]).withColumns({"group": F.col("node"), "shared": F.col("size"), "at": F.lit(0).cast("long")}), "met")
     # From here on only the texts of classes that met others are moved.
-    met_nodes = met.select("node").distinct()
+    met_nodes = stored(met.select("node").distinct(), "met-nodes")
     texts = stored(base.join(met_nodes, "node", "left_semi").groupBy("node").agg(F.first("_text").alias("text")), "met-texts")
 
-    links = alike(stars(met, "band", "sketch"), texts)
-    rest = divided(grouped(met.drop("group"), links), "band", "sketch").select("node", "size").distinct()
+    groups = tied(met_nodes.select("node", F.col("node").alias("root")), alike(stars(met, "band", "sketch"), texts))
+    rest = divided(grouped(met.drop("group"), groups), "band", "sketch").select("node", "size").distinct()
     rare = by_rare_kmers(stored(rest, "rest"), texts)
     for turn in (1, 2):  # each draws as many pairs as there are places, and leaves fewer groups
-        links = links.unionByName(alike(stars(divided(grouped(rare, links), "kmer").drop("top"), "kmer", turn=turn), texts))
-    links = links.unionByName(alike(across(divided(grouped(rare, links), "kmer"), "kmer"), texts))
-    roots = connected_components(links)
+        groups = tied(groups, alike(stars(divided(grouped(rare, groups), "kmer").drop("top"), "kmer", turn=turn), texts))
+    roots = tied(groups, alike(across(divided(grouped(rare, groups), "kmer"), "kmer"), texts))
     known = stored(
         classes.select("h1", "h2", "node").join(roots, "node", "left")
         .select("h1", "h2", F.coalesce("root", "node").alias("root"), (F.coalesce("root", "node") == F.col("node")).alias("leads")),

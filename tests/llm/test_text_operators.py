@@ -220,6 +220,19 @@ def test_components_of_chains_and_stars(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_links_in_several_batches_give_the_components_of_all(spark):
+    r = random.Random(5)
+    batches = [[(r.randrange(60), r.randrange(60)) for _ in range(n)] for n in (20, 15, 0, 10)]
+    groups = spark.createDataFrame([(i, i) for i in range(60)], "node long, root long")
+    for links in batches:
+        groups = components.tied(groups, spark.createDataFrame(links, "a long, b long"))
+    want = {i: i for i in range(60)}
+    for _ in range(60):
+        for a, b in sum(batches, []):
+            want[a] = want[b] = min(want[a], want[b])
+    assert {x.node: x.root for x in groups.collect()} == want
+
+
 def smith_waterman(a, b):
     rows, best = [[0] * (len(b) + 1)], 0
     for x in a:
