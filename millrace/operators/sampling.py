@@ -2,6 +2,10 @@
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+#: Ranges that a column is cut into to be numbered; a bounded list of bounds, whatever the rows.
+CELLS = 256
 
 
 def order_key(seed, *ids):
@@ -43,14 +47,48 @@ def split(df, id_col, seed=0, shares=(0.6, 0.2, 0.2), names=("train", "validatio
     return df.withColumn("part", part)
 
 
+def numbered(df, cell, *order, name="number"):
+    """Rows numbered from 0 in an order that `cell`, an expression, does not break: later cells hold later rows.
+
+    Each cell is sorted by itself, and what stands before it is summed over the cells
+    alone, so no task sorts the whole table. Rows equal in `order` get any of their numbers.
+    """
+    celled = df.withColumn("_cell", cell)
+    sizes = celled.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(F.col("_cell").alias("_of"), F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_cell").orderBy(*order)) - 1
+    ranked = celled.withColumn("_within", within).join(F.broadcast(offsets), F.col("_cell").eqNullSafe(F.col("_of")))
+    return ranked.withColumn(name, F.col("_before") + F.col("_within")).drop("_cell", "_of", "_before", "_within")
+
+
+def quantile_cell(df, column, name=None, cells=CELLS):
+    """An expression that cuts a numeric column (called `name` where it is used) into at most so many ranges of like counts.
+
+    NULL is a cell before them. One pass over the column finds the bounds. Any bounds give
+    right numbers, since equal values share a cell; a value of many rows makes its cell
+    large. A column that is no number is a single cell.
+    """
+    if not isinstance(df.schema[column].dataType, NumericType):
+        return F.lit(0)
+    value = F.col(name or column)
+    shares = [i / cells for i in range(1, cells)]
+    bounds = sorted(set(df.agg(F.percentile_approx(column, shares, 20 * cells)).first()[0] or []))
+    if not bounds:
+        return F.lit(0)
+    return F.when(value.isNotNull(), F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < value)))
+
+
 def shuffled(df, *ids, seed=0):
-    """A seeded order of a schedule, numbered from 0."""
-    return df.withColumn("order", F.row_number().over(Window.orderBy(order_key(seed, *ids), *ids)) - 1)
+    """A seeded order of a schedule, numbered from 0; the key is a hash, so its first digits are cells of like size."""
+    key = order_key(seed, *ids)
+    return numbered(df, F.substring(key, 1, 2), key, *ids, name="order").withColumn("order", F.col("order").cast("int"))
 
 
 def fixed_batches(df, size, *order):
-    """Number of the batch of `size` rows that each row falls in."""
-    return df.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size).cast("int"))
+    """Number of the batch of `size` rows that each row falls in; best where the first column of the order is a number."""
+    rows = numbered(df, quantile_cell(df, order[0]), *order, name="_number")
+    return rows.withColumn("batch", F.floor(F.col("_number") / size).cast("int")).drop("_number")
 
 
 def greedy_batches(df, group, order, size, budget):

@@ -1,11 +1,13 @@
 """Small-sample statistics as expressions and short compositions."""
 
+import math
 from functools import reduce
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .estimate import share
+from .sampling import quantile_cell
 
 Z = 1.96
 
@@ -24,14 +26,23 @@ def wilson(successes, trials, z=Z, empty=0.0):
 
 
 def average_ranks(df, value, by=()):
-    """Rank with ties at their mean, computed on distinct values and joined back: rows are never sorted in one task."""
+    """Rank with ties at their mean, computed on distinct values and joined back; `value` is a number.
+
+    The values are cut into ranges, ranked within each, and what stands before a range is
+    summed over the ranges alone: neither rows nor values are sorted in one task.
+    """
     by = list(by)
-    counts = df.groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    below = F.sum("_c").over(Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1))
-    ranks = counts.withColumn("rank", F.coalesce(below, F.lit(0)) + (F.col("_c") + 1) / F.lit(2.0)).drop("_c")
-    named = ranks.select(*[F.col(c).alias(f"_{c}") for c in by], "_v", "rank")
-    on = reduce(lambda p, q: p & q, [df[c].eqNullSafe(named[f"_{c}"]) for c in by], df[value].eqNullSafe(named["_v"]))
-    return df.join(named, on).drop("_v", *[f"_{c}" for c in by])
+    counts = df.groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c")).withColumn("_cell", quantile_cell(df, value, "_v"))
+    earlier = Window.unboundedPreceding, -1
+    cells = counts.groupBy(*by, "_cell").agg(F.sum("_c").alias("_n"))
+    before = cells.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_cell").rowsBetween(*earlier)), F.lit(0)))
+    before = before.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_cell").alias("_of"), "_before")
+    below = counts.withColumn("_below", F.coalesce(F.sum("_c").over(Window.partitionBy(*by, "_cell").orderBy("_v").rowsBetween(*earlier)), F.lit(0)))
+    same = reduce(lambda p, q: p & q, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], F.col("_cell").eqNullSafe(F.col("_of")))
+    rank = F.col("_before") + F.col("_below") + (F.col("_c") + 1) / F.lit(2.0)
+    named = below.join(before, same).select(*[F.col(c).alias(f"_by_{c}") for c in by], "_v", rank.alias("rank"))
+    on = reduce(lambda p, q: p & q, [df[c].eqNullSafe(named[f"_by_{c}"]) for c in by], df[value].eqNullSafe(named["_v"]))
+    return df.join(named, on).drop("_v", *[f"_by_{c}" for c in by])
 
 
 def spearman(df, x, y):
@@ -42,10 +53,11 @@ def spearman(df, x, y):
     return ranked.agg(F.count(F.lit(1)).alias("n"), rho.alias("rho"))
 
 
-def log_factorials(spark, most):
-    """n and ln n! up to a bound."""
-    numbers = spark.range(0, most + 1).withColumn("l", F.when(F.col("id") > 0, F.ln(F.col("id").cast("double"))).otherwise(0.0))
-    return numbers.select(F.col("id").alias("n"), F.sum("l").over(Window.orderBy("id")).alias("lf"))
+def log_factorial(n):
+    """ln n!: exact up to 20, beyond that Stirling's series, good to twelve places."""
+    x = n.cast("double")
+    series = x * F.ln(x) - x + F.ln(x * (2 * math.pi)) / 2 + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    return F.when(n <= 20, F.ln(F.factorial(F.least(n, F.lit(20)).cast("int")).cast("double"))).otherwise(series)
 
 
 def fisher_exact(tables, key, a="a", b="b", c="c", d="d", tolerance=1e-9):
@@ -56,15 +68,10 @@ def fisher_exact(tables, key, a="a", b="b", c="c", d="d", tolerance=1e-9):
     """
     t = tables.select(*key, *[F.col(x).cast("long").alias(f"_{y}") for x, y in zip((a, b, c, d), "abcd", strict=True)])
     t = t.withColumns({"_r": F.col("_a") + F.col("_b"), "_s": F.col("_c") + F.col("_d"), "_k": F.col("_a") + F.col("_c")})
-    most = t.agg(F.max(F.col("_r") + F.col("_s"))).first()[0] or 1
-    lf = log_factorials(tables.sparkSession, most)
     cells = t.withColumn("_x", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.col("_k") - F.col("_s")), F.least(F.col("_r"), F.col("_k")))))
     # Factorials of the margins are common to all tables; those of the four cells weigh them.
-    parts = {"_f1": F.col("_x"), "_f2": F.col("_r") - F.col("_x"), "_f3": F.col("_k") - F.col("_x"), "_f4": F.col("_s") - F.col("_k") + F.col("_x")}
-    cells = cells.withColumns(parts)
-    for name in parts:
-        cells = cells.join(lf.select(F.col("n").alias(name), F.col("lf").alias(f"_l{name}")), name)
-    cells = cells.withColumn("_lw", -sum((F.col(f"_l{name}") for name in parts), F.lit(0.0)))
+    parts = (F.col("_x"), F.col("_r") - F.col("_x"), F.col("_k") - F.col("_x"), F.col("_s") - F.col("_k") + F.col("_x"))
+    cells = cells.withColumn("_lw", -sum((log_factorial(part) for part in parts), F.lit(0.0)))
     over = Window.partitionBy(*key)
     cells = cells.withColumn("_top", F.max("_lw").over(over)).withColumn("_own", F.max(F.when(F.col("_x") == F.col("_a"), F.col("_lw"))).over(over))
     # Summed relative to the given table so that tiny p-values keep their digits.

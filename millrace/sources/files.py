@@ -3,11 +3,11 @@
 import json
 
 import pandas as pd
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..operators.sampling import fixed_batches
 
 CORRUPT = "_corrupt"
 
@@ -200,8 +200,7 @@ def write_csv(df, path):
 
 def write_batches(df, path, size, *order):
     """Rows in fixed batches, a folder per batch."""
-    numbered = df.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size).cast("int"))
-    numbered.write.mode("overwrite").partitionBy("batch").json(path)
+    fixed_batches(df, size, *order).write.mode("overwrite").partitionBy("batch").json(path)
 
 
 def macros(metrics, name="name", value="value"):

@@ -162,3 +162,26 @@ def test_state_difference_and_key_values(spark):
     assert df.select(R.state_difference(F.col("b"), F.col("a"), ("t/",))).first()[0] == ["b", "c"]
     kv = spark.range(1).select(R.key_values(F.lit("debug: true \nport: 80\ndebug: false"))).first()[0]
     assert kv == {"debug": "false", "port": "80"}
+
+
+def test_numbers_and_ranks_are_those_of_one_sort(spark):
+    r = random.Random(11)
+    rows = [(i, r.choice("ab"), None if r.random() < 0.1 else r.choice([1.0, 1.0, r.random() * 9])) for i in r.sample(range(5000), 900)]
+    df = spark.createDataFrame(rows, "k int, g string, v double").repartition(7)
+    got = {x.k: x.batch for x in O.fixed_batches(df, 40, "k").collect()}
+    assert got == {k: i // 40 for i, (k, _, _) in enumerate(sorted(rows))}
+    order = {x.k: x.order for x in O.shuffled(df, "k", seed=4).collect()}
+    assert order == {x.k: i for i, x in enumerate(df.orderBy(O.order_key(4, "k"), "k").collect())}
+    assert O.fixed_batches(df.where("k < 0"), 40, "k").count() == 0
+    ranks = {x.k: x["rank"] for x in S.average_ranks(df, "v", ["g"]).collect()}
+    key = lambda v: -1.0 if v is None else v
+    for k, g, v in rows:
+        same = [key(w) for _, h, w in rows if h == g]
+        assert ranks[k] == sum(w < key(v) for w in same) + (sum(w == key(v) for w in same) + 1) / 2
+
+
+def test_log_factorials(spark):
+    numbers = [0, 1, 5, 20, 21, 100, 12345, 10**7]
+    got = spark.createDataFrame([(n,) for n in numbers], "n long").select("n", S.log_factorial(F.col("n")).alias("l")).collect()
+    for x in got:
+        assert x.l == pytest.approx(math.lgamma(x.n + 1), rel=1e-12, abs=1e-12)
