@@ -73,10 +73,17 @@ def quantile_cell(df, column, name=None, cells=CELLS):
         return F.lit(0)
     value = F.col(name or column)
     shares = [i / cells for i in range(1, cells)]
-    bounds = sorted(set(df.agg(F.percentile_approx(column, shares, 20 * cells)).first()[0] or []))
+    bounds = sorted(set(df.agg(F.percentile_approx(column, shares, 4 * cells)).first()[0] or []))
     if not bounds:
         return F.lit(0)
-    return F.when(value.isNotNull(), F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < value)))
+
+    def halved(low, high):
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value <= bounds[middle], halved(low, middle)).otherwise(halved(middle + 1, high))
+
+    return F.when(value.isNotNull(), halved(0, len(bounds)))
 
 
 def shuffled(df, *ids, seed=0):
