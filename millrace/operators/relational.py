@@ -88,8 +88,11 @@ def rater_pairs(votes, item, rater, value):
 
 def factorial(spark, **factors):
     """Full-factorial design: one row for each combination of the given levels."""
-    frames = [spark.createDataFrame([(v,) for v in levels], [name]) for name, levels in factors.items()]
-    return reduce(lambda a, b: a.crossJoin(b), frames)
+    design = spark.range(0, 1, 1, 1)  # unfolded in one task: joins of frames would multiply their partitions
+    for name, levels in factors.items():
+        values = [F.lit(v).cast("long") if type(v) is int else F.lit(v) for v in levels]
+        design = design.withColumn(name, F.explode(F.array(*values)))
+    return design.select(*factors)
 
 
 def written_after(items, names, date, removals, name="name", removed="removed_on"):
