@@ -2,9 +2,9 @@
 
 Documents are cut into chunks of ascending ids. Each chunk is a batch: its distinct
 window hashes, sorted, are one immutable run per bucket of the hash space. A bucket's
-task takes the runs in chunk order, merge-joins each new run with the runs of history
-(kept in levels and compacted as they grow alike), verifies hits by an independent
-check hash, and answers every chunk with one bit per fingerprint: seen earlier or not.
+task takes the runs in chunk order, after those of history, and keeps them in levels:
+runs of like size are merge-joined, hits verified by an independent check hash, and
+compacted. It answers every chunk with one bit per fingerprint: seen earlier or not.
 The chunk then recomputes its windows and drops the words those bits cover. A bucket's
 runs hold one entry per chunk and distinct window, so a passage of a third of all
 documents costs one entry per chunk, not one per document.
@@ -18,7 +18,7 @@ from . import words as W
 from .common import scratch_path, ship
 
 CHUNK_BYTES = 8 << 20
-MAX_BUCKETS, MAX_CELLS = 1 << 16, 1024
+MAX_CELLS = 1024
 SEED, CHECK_SEED = 41, 43
 
 
@@ -38,38 +38,59 @@ def decode_run(data):
     return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64), np.frombuffer(data, "<u2", n, 5 + n * width)
 
 
+def run_length(data):
+    return int(np.frombuffer(data, "<u4", 1)[0])
+
+
+def in_order(values, check):
+    """Order that sorts the values (and checks, where equal values differ in these), the earlier first; and which then repeat the one before."""
+    order = np.argsort(values, kind="stable")  # of two ascending runs one after the other: a single merge
+    ordered, checks = values[order], check[order]
+    equal = ordered[1:] == ordered[:-1]
+    if (equal & (checks[1:] != checks[:-1])).any():
+        order = np.lexsort((check, values))
+        ordered, checks = values[order], check[order]
+        equal = ordered[1:] == ordered[:-1]
+    return order, np.concatenate((np.zeros(min(1, len(order)), bool), equal & (checks[1:] == checks[:-1])))
+
+
 class Runs:
-    """Sorted runs in levels; a run joins the one before it once they are of like size."""
+    """Immutable sorted runs in levels, oldest first.
 
-    def __init__(self):
-        self.levels = []
+    A run is merge-joined with the one before it once they are of like size: what both
+    hold, the check hash being equal too, is marked as seen in the younger, and the two
+    become one run. So every entry takes part in about log n merges.
+    """
 
-    def seen(self, values, check):
-        """Which of the sorted values some run holds, the check hash being equal too."""
-        hit = np.zeros(len(values), bool)
-        for run, its_check in self.levels:
-            at = np.minimum(np.searchsorted(run, values), len(run) - 1)
-            hit |= (run[at] == values) & (its_check[at] == check)
-        return hit
+    def __init__(self, total):
+        self.levels, self.seen, self.n = [], np.zeros(total, bool), 0
 
     def add(self, values, check):
         if len(values):
-            self.levels.append((values, check))
+            self.levels.append((values, check, np.arange(self.n, self.n + len(values))))
+            self.n += len(values)
         while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
-            self.compact_last()
+            self.join_last()
 
-    def compact_last(self):
-        (a, ca), (b, cb) = self.levels[-2:]
-        both, checks = np.concatenate((a, b)), np.concatenate((ca, cb))
-        order = np.argsort(both, kind="stable")
-        both, checks = both[order], checks[order]
-        first = np.concatenate(([True], both[1:] != both[:-1]))
-        self.levels[-2:] = [(both[first], checks[first])]
+    def join_last(self):
+        values, check, place = (np.concatenate(x) for x in zip(*self.levels[-2:], strict=True))
+        order, again = in_order(values, check)
+        self.seen[place[order[again]]] = True
+        order = order[~again]
+        self.levels[-2:] = [(values[order], check[order], place[order])]
 
     def compact(self):
+        """The one run that is left; from then on `seen` holds for every entry."""
         while len(self.levels) > 1:
-            self.compact_last()
-        return self.levels[0] if self.levels else (np.empty(0, np.uint64), np.empty(0, np.uint16))
+            self.join_last()
+        return self.levels[0][:2] if self.levels else (np.empty(0, np.uint64), np.empty(0, np.uint16))
+
+
+def bucket_slices(fingerprints, count):
+    """Bucket number and slice of the sorted fingerprints, for each bucket that has some."""
+    bucket = ((fingerprints >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
+    edges = np.flatnonzero(np.diff(bucket, prepend=-1))
+    return [(int(bucket[i]), slice(i, j)) for i, j in zip(edges, [*edges[1:], len(bucket)], strict=True)] if len(edges) else []
 
 
 class Chunk:
@@ -89,27 +110,22 @@ class Chunk:
         ok = W.starts_within(self.offsets, size, len(wide))
         self.at = np.flatnonzero(ok)
         wide = W.mix(wide[self.at])
-        check = (W.windows(h, size, CHECK_SEED)[self.at] >> np.uint64(48)).astype(np.uint16)
+        # Of other hashes of the words, so that words which one hash confuses are told apart by the other.
+        check = W.windows(W.hashes(self.words, seed=CHECK_SEED), size, CHECK_SEED)[self.at]
+        check = (W.mix(check) >> np.uint64(48)).astype(np.uint16)
         doc = np.repeat(rank, np.diff(self.offsets))[self.at]
-        by = np.argsort(wide, kind="stable")
-        ordered = wide[by]
-        first = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(by) else np.empty(0, bool)
-        self.fingerprints, self.check = ordered[first], check[by][first]
+        by, again = in_order(wide, check)
+        first = ~again
+        self.fingerprints, self.check = wide[by][first], check[by][first]
         self.which = np.empty(len(by), np.int64)
         self.which[by] = np.cumsum(first) - 1
         self.later = doc > doc[by][first][self.which] if len(by) else np.empty(0, bool)
 
-    def buckets(self, count):
-        """Bucket number and slice of the sorted fingerprints, for each bucket that has some."""
-        bucket = ((self.fingerprints >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
-        edges = np.searchsorted(bucket, np.arange(count + 1))
-        return [(b, slice(edges[b], edges[b + 1])) for b in np.flatnonzero(np.diff(edges))]
-
 
 def _emit(size, n_buckets):
     def run(table: pa.Table) -> pa.Table:
         chunk, number = Chunk(table, size), table.column("chunk")[0].as_py()
-        parts = [(int(b), encode_run(chunk.fingerprints[s], chunk.check[s])) for b, s in chunk.buckets(n_buckets)]
+        parts = [(b, encode_run(chunk.fingerprints[s], chunk.check[s])) for b, s in bucket_slices(chunk.fingerprints, n_buckets)]
         return pa.table(
             {
                 "bucket": pa.array([b for b, _ in parts], pa.int32()),
@@ -123,23 +139,56 @@ def _emit(size, n_buckets):
 
 def _merge(keep_runs):
     def run(table: pa.Table) -> pa.Table:
-        numbers, data = table.column("chunk").to_pylist(), table.column("data")
-        runs, out = Runs(), []
+        numbers, data = table.column("chunk").to_pylist(), [x.as_py() for x in table.column("data")]
+        runs, spans, fresh = Runs(sum(map(run_length, data))), [], []
         for i in sorted(range(len(numbers)), key=lambda i: numbers[i]):  # history, numbered -1, comes first
-            values, check = decode_run(data[i].as_py())
+            values, check = decode_run(data[i])
+            span = slice(runs.n, runs.n + len(values))
             if numbers[i] >= 0:
-                out.append((numbers[i], np.packbits(runs.seen(values, check)).tobytes()))
+                spans.append((numbers[i], span))
+                fresh.append((values, check, span))
             runs.add(values, check)
-        if keep_runs:
-            out.append((-1, encode_run(*runs.compact())))
-        bucket = table.column("bucket")[0].as_py()
-        return pa.table(
-            {
-                "bucket": pa.array([bucket] * len(out), pa.int32()),
-                "chunk": pa.array([c for c, _ in out], pa.int32()),
-                "data": pa.array([x for _, x in out], pa.binary()),
-            }
-        )
+        runs.compact()
+        out = [(c, np.packbits(runs.seen[span]).tobytes()) for c, span in spans]
+        if keep_runs:  # what this call adds to history
+            values = np.concatenate([np.empty(0, np.uint64), *(v[~runs.seen[span]] for v, _, span in fresh)])
+            check = np.concatenate([np.empty(0, np.uint16), *(c[~runs.seen[span]] for _, c, span in fresh)])
+            order, _ = in_order(values, check)
+            if len(order):
+                out.append((-1, encode_run(values[order], check[order])))
+        return _runs_table(table.column("bucket")[0].as_py(), out)
+
+    return run
+
+
+def _runs_table(bucket, runs):
+    return pa.table(
+        {
+            "bucket": pa.array([bucket] * len(runs), pa.int32()),
+            "chunk": pa.array([c for c, _ in runs], pa.int32()),
+            "data": pa.array([x for _, x in runs], pa.binary()),
+        }
+    )
+
+
+def _compact(table: pa.Table) -> pa.Table:
+    """All runs of a bucket as one."""
+    data = [x.as_py() for x in table.column("data")]
+    runs = Runs(sum(map(run_length, data)))
+    for x in data:
+        runs.add(*decode_run(x))
+    return _runs_table(table.column("bucket")[0].as_py(), [(-1, encode_run(*runs.compact()))])
+
+
+def _redeal(n_buckets):
+    """Runs of another number of buckets, cut anew."""
+
+    def run(batches):
+        for batch in batches:
+            for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("data"), strict=True):
+                values, check = decode_run(data.as_py())
+                for b, s in bucket_slices(values, n_buckets):
+                    yield from _runs_table(b, [(chunk, encode_run(values[s], check[s]))]).to_batches()
 
     return run
 
@@ -151,8 +200,8 @@ def _remove(size, n_buckets):
         chunk = Chunk(docs, size)
         seen = np.zeros(len(chunk.fingerprints), bool)
         bits = dict(zip(answers.column("bucket").to_pylist(), answers.column("data").to_pylist(), strict=True))
-        for b, s in chunk.buckets(n_buckets):
-            seen[s] = np.unpackbits(np.frombuffer(bits[int(b)], np.uint8), count=s.stop - s.start).astype(bool)
+        for b, s in bucket_slices(chunk.fingerprints, n_buckets):
+            seen[s] = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=s.stop - s.start).astype(bool)
         gone = chunk.at[seen[chunk.which] | chunk.later]
         edge = np.zeros(len(chunk.words) + 1, np.int32)
         np.add.at(edge, gone, 1)
@@ -203,16 +252,21 @@ def remove_seen_windows(docs, id_col="doc_id", text_col="text", size=13, index=N
     row per input row. Null texts have no words; texts shorter than a window lose none;
     rows that share an id are not earlier than each other; null ids count as the
     smallest. With `index`, a folder, all windows of earlier calls count as seen and
-    this call's are added, compacted to one run per bucket. Equality of windows is that
-    of 64 bits of hash, verified by 16 independent bits.
+    those that this call brings are added as a generation of their own; generations of
+    like size are compacted into one. One call at a time may write to an index.
+    Equality of windows is that of 64 bits of hash, verified by 16 bits that come from
+    other hashes of the words.
     """
     spark = docs.sparkSession
     ship(spark)
     base = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     chunk, n_chunks = chunk_number(base, chunk_bytes)
-    n_buckets, history = min(n_chunks, MAX_BUCKETS), None
+    n_buckets, history = n_chunks, None
     if index is not None:
-        n_buckets, history = _history(spark, index, n_buckets)
+        live = _generations(spark, index)
+        held = sum(g["bytes"] for g in live)
+        n_buckets = max([n_buckets, -(-held // chunk_bytes), *(g["buckets"] for g in live)])
+        history = _history(spark, live, n_buckets)
     # One exchange of the texts serves both passes.
     dealt = base.withColumn("chunk", chunk.cast("int")).repartition("chunk")
     runs = dealt.groupBy("chunk").applyInArrow(_emit(size, n_buckets), RUN_SCHEMA)
@@ -232,21 +286,48 @@ def remove_seen_windows(docs, id_col="doc_id", text_col="text", size=13, index=N
     )
 
 
-def _generations(spark, index):
+def _files(spark, path):
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(index)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return sorted(str(s.getPath().getName()) for s in fs.listStatus(path)) if fs.exists(path) else []
+    path = jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
-def _history(spark, index, n_buckets):
-    """The last compacted generation, and the number of buckets it was dealt into."""
-    found = _generations(spark, index)
-    if not found:
-        return n_buckets, None
-    return int(found[-1].split("-")[2]), spark.read.schema(RUN_SCHEMA).parquet(f"{index}/{found[-1]}")
+def _generations(spark, index):
+    """Complete generations, oldest first, each with the calls it holds; those that a compacted one holds too are left out."""
+    fs, path = _files(spark, index)
+    found = []
+    for status in fs.listStatus(path) if fs.exists(path) else []:
+        at = status.getPath()
+        if fs.exists(at.suffix("/_SUCCESS")):
+            first, last, buckets = map(int, at.getName().split("-")[1:])
+            found.append({"first": first, "last": last, "buckets": buckets, "path": str(at), "bytes": fs.getContentSummary(at).getLength()})
+    held = [g for g in found if not any(h is not g and h["first"] <= g["first"] and g["last"] <= h["last"] for h in found)]
+    return sorted(held, key=lambda g: g["first"])
+
+
+def _history(spark, generations, n_buckets):
+    """Runs of some generations, dealt to as many buckets; None without any."""
+    runs = None
+    for g in generations:
+        its = spark.read.schema(RUN_SCHEMA).parquet(g["path"])
+        if g["buckets"] != n_buckets:
+            its = its.mapInArrow(_redeal(n_buckets), RUN_SCHEMA)
+        runs = its if runs is None else runs.unionByName(its)
+    return runs
 
 
 def _add_history(spark, index, runs, n_buckets):
-    number = len(_generations(spark, index))
-    runs.write.parquet(f"{index}/generation-{number:06d}-{n_buckets}")
+    """Add a generation, then compact the last two as long as they are of like size."""
+    live = _generations(spark, index)
+    number = live[-1]["last"] + 1 if live else 0
+    runs.write.mode("overwrite").parquet(f"{index}/generation-{number:06d}-{number:06d}-{n_buckets}")
+    live = _generations(spark, index)
+    while len(live) > 1 and live[-2]["bytes"] < 2 * live[-1]["bytes"]:
+        a, b = live[-2:]
+        count = max(a["buckets"], b["buckets"])
+        both = _history(spark, [a, b], count).groupBy("bucket").applyInArrow(_compact, RUN_SCHEMA)
+        both.write.mode("overwrite").parquet(f"{index}/generation-{a['first']:06d}-{b['last']:06d}-{count}")
+        for g in (a, b):
+            fs, path = _files(spark, g["path"])
+            fs.delete(path, True)
+        live = _generations(spark, index)

@@ -38,13 +38,13 @@ def split(texts, lower=False):
     return words.filter(pa.array(full)), ends[starts - starts[0]].astype(np.int64)
 
 
-def hashes(words, strip=None):
+def hashes(words, strip=None, seed=0):
     """A 64-bit hash of every word, `strip` characters at its ends left out; equal words are hashed once."""
     coded = words.dictionary_encode()
     different = coded.dictionary.to_pylist()
     if strip:
         different = [w.strip(strip) for w in different]
-    each = np.fromiter(map(xxhash.xxh3_64_intdigest, different), np.uint64, len(different))
+    each = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in different), np.uint64, len(different))
     return each[np.asarray(coded.indices)] if len(words) else np.empty(0, np.uint64)
 
 

@@ -105,20 +105,44 @@ def test_substring_index_remembers_batches(spark, tmp_path):
         assert got.n_removed == (60 if n else 0)
 
 
-def test_runs_compact_and_verify():
+def test_substring_index_equals_one_call(spark, tmp_path):
+    # Batches of very different size, dealt to 1 and to many buckets, in generations that are compacted now and then.
+    r = random.Random(18)
+    pool = [prose(r, 20) for _ in range(30)]
+    docs = [(n, " ".join(r.choice(pool) if r.random() < 0.5 else prose(r, 20) for _ in range(6))) for n in range(120)]
+    want = {x.doc_id: x.kept_text for x in substrings.remove_seen_windows(spark.createDataFrame(docs, SCHEMA)).collect()}
+    got, index = {}, f"file://{tmp_path}/index"
+    for start, stop in ((0, 5), (5, 70), (70, 72), (72, 75), (75, 120)):
+        part = spark.createDataFrame(docs[start:stop], SCHEMA)
+        got |= {x.doc_id: x.kept_text for x in substrings.remove_seen_windows(part, index=index, chunk_bytes=4000).collect()}
+        sizes = [g["bytes"] for g in substrings._generations(spark, index)]
+        assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
+    assert got == want
+    assert len(list((tmp_path / "index").iterdir())) == len(sizes) < 5  # compacted generations are gone
+
+
+def test_runs_mark_what_came_before():
     import numpy as np
 
-    runs, r = substrings.Runs(), random.Random(1)
-    seen = {}
+    r = random.Random(1)
+    batches = []
     for _ in range(20):
-        values = np.array(sorted(r.sample(range(1000), 50)), np.uint64)
-        check = (values % 7).astype(np.uint16)
-        assert runs.seen(values, check).tolist() == [int(v) in seen for v in values]
-        assert not runs.seen(values, check + 1).any()
+        entries = sorted({(v, r.choice([0, 0, 1])) for v in r.sample(range(1000), r.choice([5, 50, 200]))})  # a value may come with another check
+        batches.append((np.array([v for v, _ in entries], np.uint64), np.array([c for _, c in entries], np.uint16)))
+    runs, before, want = substrings.Runs(sum(len(v) for v, _ in batches)), set(), []
+    for values, check in batches:
+        entries = list(zip(values.tolist(), check.tolist(), strict=True))
+        want += [e in before for e in entries]
+        before |= set(entries)
         runs.add(values, check)
-        seen |= dict.fromkeys(map(int, values))
-        assert substrings.decode_run(substrings.encode_run(values, check))[0].tolist() == values.tolist()
-    assert len(runs.levels) < 8 and runs.compact()[0].tolist() == sorted(seen)
+        back = substrings.decode_run(substrings.encode_run(values, check))
+        assert back[0].tolist() == values.tolist() and back[1].tolist() == check.tolist()
+    assert len(runs.levels) < 8
+    left = runs.compact()
+    assert runs.seen.tolist() == want and list(zip(*(x.tolist() for x in left), strict=True)) == sorted(before)
+    for count in (1, 7, 100_000):
+        parts = substrings.bucket_slices(np.sort(np.array([r.getrandbits(64) for _ in range(500)], np.uint64)), count)
+        assert sum(s.stop - s.start for _, s in parts) == 500 and [b for b, _ in parts] == sorted({b for b, _ in parts})
 
 
 def test_suffix_array_by_grouping():
