@@ -64,16 +64,21 @@ def bootstrap_means(values, by=("estimate",), value="rate", replicates=REPLICATE
     return draws.join(numbered, [*by, "k"]).groupBy(*by, "rep").agg(F.avg("value").alias("mean"))
 
 
+def poisson_steps(most=9):
+    """Cumulative probabilities of 0, 1, ... under Poisson(1): a uniform draw weighs as many as it reaches."""
+    steps, total, term = [], 0.0, 2.718281828459045**-1
+    for i in range(1, most + 1):
+        total += term
+        steps.append(total)
+        term /= i
+    return steps
+
+
 def poisson_means(values, by=("estimate",), value="rate", replicates=1000, seed=SEED):
     """Bootstrap means with independent Poisson(1) weights per cluster: no numbering and no join, for millions of clusters."""
     by = list(by)
     u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("cluster").cast("string"))), 1, 8), 16, 10).cast("double") / 2**32
-    cumulative, total, term = [], 0.0, 2.718281828459045**-1
-    for i in range(1, 10):
-        total += term
-        cumulative.append(total)
-        term /= i
-    weight = sum(((u >= c).cast("int") for c in cumulative), F.lit(0))
+    weight = sum(((u >= c).cast("int") for c in poisson_steps()), F.lit(0))
     spread = values.where(F.col(value).isNotNull()).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", weight)
     return spread.groupBy(*by, "rep").agg(share(F.sum(F.col("w") * F.col(value)), F.sum("w")).alias("mean"))
 
@@ -86,12 +91,16 @@ def percentile_interval(means, by=("estimate",), replicates=REPLICATES, alpha=AL
     return ranked.groupBy(*by).agg(F.max(F.when(F.col("place") == low, F.col("mean"))).alias("lo"), F.max(F.when(F.col("place") == high, F.col("mean"))).alias("hi"))
 
 
-def cluster_estimates(df, cluster, estimates, replicates=REPLICATES, seed=SEED, alpha=ALPHA):
-    """One row per estimate: mean and median of cluster rates, bounds, clusters, pooled share and its counts."""
-    return summarise(cluster_rates(df, cluster, estimates), ("estimate",), replicates, seed, alpha)
+def cluster_estimates(df, cluster, estimates, replicates=REPLICATES, seed=SEED, alpha=ALPHA, resample=bootstrap_means):
+    """One row per estimate: mean and median of cluster rates, bounds, clusters, pooled share and its counts.
+
+    With `resample=poisson_means` clusters are weighted where they lie, and only one sum
+    for each task and replicate is shuffled; the bounds then differ a little, as draws do.
+    """
+    return summarise(cluster_rates(df, cluster, estimates), ("estimate",), replicates, seed, alpha, resample)
 
 
-def summarise(rates, by, replicates=REPLICATES, seed=SEED, alpha=ALPHA):
+def summarise(rates, by, replicates=REPLICATES, seed=SEED, alpha=ALPHA, resample=bootstrap_means):
     by = list(by)
     point = rates.groupBy(*by).agg(
         F.avg("rate").alias("mean"),
@@ -101,7 +110,7 @@ def summarise(rates, by, replicates=REPLICATES, seed=SEED, alpha=ALPHA):
         F.sum("hits").alias("numerator"),
         F.sum("eligible").alias("denominator"),
     )
-    bounds = percentile_interval(bootstrap_means(rates, by, "rate", replicates, seed), by, replicates, alpha)
+    bounds = percentile_interval(resample(rates, by, "rate", replicates, seed), by, replicates, alpha)
     return point.join(bounds, by, "left")
 
 

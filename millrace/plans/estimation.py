@@ -45,6 +45,27 @@ def cluster_estimate_urgent(spark, sf_dir):
     return rounded(E.cluster_estimates(table(spark, sf_dir, "orders"), "o_custkey", {"urgent": (urgent(), None)}, R, SEED), *FIGURES)
 
 
+def poisson_sql(source):
+    """As boot_sql, with Poisson weights for the clusters of `source` instead of draws."""
+    weight = " + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in E.poisson_steps())
+    return f"""
+weighted AS (SELECT b, rep, v, {weight} AS w FROM (SELECT estimate AS b, rep, rate AS v,
+             (('0x' || substr(md5('{SEED}|' || rep || '|' || cluster), 1, 8))::BIGINT)::DOUBLE / 4294967296 AS u FROM {source}, range({R}) AS r(rep)) drawn),
+reps AS (SELECT b, rep, sum(w * v) / sum(w) AS mean FROM weighted GROUP BY b, rep),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY mean, rep) AS place FROM reps),
+bounds AS (SELECT b, max(CASE WHEN place = {LOW} THEN mean END) AS lo, max(CASE WHEN place = {HIGH} THEN mean END) AS hi FROM ranked GROUP BY b)"""
+
+
+@query(f"""WITH counts AS (SELECT 'urgent' AS estimate, o_custkey AS cluster, count(*) FILTER (o_orderpriority IN ('1-URGENT', '2-HIGH')) AS hits, count(*) AS eligible FROM orders GROUP BY o_custkey
+ UNION ALL SELECT 'urgent_open', o_custkey, count(*) FILTER (o_orderstatus = 'O' AND o_orderpriority IN ('1-URGENT', '2-HIGH')), count(*) FILTER (o_orderstatus = 'O') FROM orders GROUP BY o_custkey),
+rates AS (SELECT *, hits::DOUBLE / eligible AS rate FROM counts WHERE eligible > 0),
+{poisson_sql('rates')}
+SELECT estimate, {POINT_SQL} FROM rates LEFT JOIN bounds ON estimate = b GROUP BY estimate""")
+def cluster_estimate_poisson(spark, sf_dir):
+    asked = {"urgent": (urgent(), None), "urgent_open": (urgent(), F.col("o_orderstatus") == "O")}
+    return rounded(E.cluster_estimates(table(spark, sf_dir, "orders"), "o_custkey", asked, R, SEED, resample=E.poisson_means), *FIGURES)
+
+
 @query(f"""WITH base AS (SELECT l_suppkey AS cluster, l_returnflag = 'R' AS y, l_quantity > 25 AS e1, l_discount > 0.05 AS e2 FROM lineitem),
 counts AS (SELECT 'all' AS estimate, cluster, count(*) FILTER (y) AS hits, count(*) AS eligible FROM base GROUP BY cluster
  UNION ALL SELECT 'large', cluster, count(*) FILTER (y AND e1), count(*) FILTER (e1) FROM base GROUP BY cluster
