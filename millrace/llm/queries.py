@@ -123,6 +123,85 @@ def op7_pii_surrogates(spark, sf_dir):
     return replace_entities(table(spark, sf_dir, "documents"), spark.conf.get("millrace.surrogates.key", None) or secrets.token_hex(32))
 
 
+def op11_ranked_search(spark, sf_dir):
+    from .search import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+q AS (SELECT item_id, term, count(*) AS times FROM
+      (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) x GROUP BY 1, 2),
+p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
+n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1),
+g AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM n),
+w AS (SELECT term, floor(1000 * ln((2 * max(big_n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, g GROUP BY term),
+m AS (SELECT doc_id, 100 - 25 + ((25 * n * big_n) // big_l) AS m FROM n, g),
+s AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+      FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+
+def op12_merkle_manifest(spark, sf_dir):
+    from .manifest import lowered_thirds, manifest
+
+    return manifest(table(spark, sf_dir, "documents"), lowered_thirds()).drop("proof")
+
+
+def _encoded(column, value=None):
+    value = value or f"{column}::VARCHAR"
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE strlen({value}) || ':' || {value} END"
+
+
+def _levels(name, tree, levels):
+    """CTEs of a forest's levels over {name}0 (tree, i, h, n), of siblings on each, and of every leaf's fold and proof."""
+    out = []
+    for k in range(levels):
+        out.append(f"""{name}{k + 1} AS (SELECT {tree}, i // 8 AS i, CASE WHEN max(n) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h,
+  count(*) OVER (PARTITION BY {tree}) AS n FROM (SELECT * FROM {name}{k}) x GROUP BY {tree}, i // 8)""")
+        out.append(f"""{name}s{k} AS (SELECT a.{tree} AS {tree}, a.i AS i, any_value(a.n) AS n, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l,
+  coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r FROM {name}{k} a JOIN {name}{k} b ON a.{tree} IS NOT DISTINCT FROM b.{tree} AND a.i // 8 = b.i // 8 GROUP BY 1, 2)""")
+    return ",\n".join(out)
+
+
+def _op12_sql(levels=7, above=3):
+    """For groups of at most 8 ** levels rows and 8 ** above groups."""
+    fields = lambda text: " || ".join([_encoded("doc_id"), _encoded("source"), _encoded("lang"), _encoded("n_chars"), _encoded("text", text)])
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    # The CRC by its definition, bit by bit.
+    bits = "list_reduce([4294967295::BIGINT] || flatten(list_transform(range(1, len(doc_id::VARCHAR) + 1), lambda p: [1000 + ascii(substr(doc_id::VARCHAR, p::INT, 1))::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0]))"
+    crc = f"xor({bits}, lambda c, x: CASE WHEN x >= 1000 THEN xor(c, x - 1000) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295)"
+    joins, chain = "", []
+    for name, count, at, tree in (("v", levels, "d.i", "lang"), ("t", above, "g.i", "one")):
+        for k in range(count):
+            own = "d.lang" if name == "v" else "g.one"
+            joins += f"\nJOIN {name}s{k} ON {name}s{k}.{tree} IS NOT DISTINCT FROM {own} AND {name}s{k}.i = {at} // {8**k}"
+            chain.append(f"{name}s{k}")
+    folds = "start"
+    steps = []
+    for k, c in enumerate(chain):
+        steps.append(f"f{k} AS (SELECT *, CASE WHEN {c}_n = 1 THEN {folds} ELSE sha256({c}_l || {folds} || {c}_r) END AS fold{k} FROM {'w' if k == 0 else f'f{k - 1}'})")
+        folds = f"fold{k}"
+    return f"""
+WITH d0 AS (SELECT doc_id, lang, sha256({fields('text')}) AS leaf, CASE WHEN {crc} % 3 = 0 THEN sha256({fields(low)}) END AS bent FROM documents),
+d AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM d0),
+v0 AS (SELECT lang, i, leaf AS h, n FROM d),
+{_levels('v', 'lang', levels)},
+t0 AS (SELECT 1 AS one, lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, h, count(*) OVER () AS n FROM v{levels}),
+{_levels('t', 'one', above)},
+w AS (SELECT d.doc_id, d.leaf, coalesce(d.bent, d.leaf) AS start, g.h AS subroot, t{above}.h AS root, {", ".join(f"{c}.{x} AS {c}_{x}" for c in chain for x in "nlr")}
+FROM d JOIN t0 g ON g.lang IS NOT DISTINCT FROM d.lang JOIN t{above} ON true {joins}),
+{", ".join(steps)}
+SELECT doc_id, leaf, subroot, root, sha256({" || ".join(f"{c}_l || {c}_r" for c in chain)}) AS proof_sha256, {folds} AS folded_root, {folds} = root AS verified FROM f{len(chain) - 1}
+"""
+
+
+OP12_SQL = _op12_sql()
+
+
 QUERIES = {
     "op7_pii_surrogates": (op7_pii_surrogates, None),
     "op3_minhash_near_dedup": (op3_minhash_near_dedup, None),
@@ -134,4 +213,6 @@ QUERIES = {
     "op4_substring_dedup": (op4_substring_dedup, OP4_SQL),
     "op6_exact_dedup": (op6_exact_dedup, OP6_SQL),
     "op8_line_dedup": (op8_line_dedup, OP8_SQL),
+    "op11_ranked_search": (op11_ranked_search, OP11_SQL),
+    "op12_merkle_manifest": (op12_merkle_manifest, OP12_SQL),
 }
