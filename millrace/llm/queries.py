@@ -202,6 +202,42 @@ SELECT doc_id, leaf, subroot, root, sha256({" || ".join(f"{c}_l || {c}_r" for c
 OP12_SQL = _op12_sql()
 
 
+def op13_source_mix(spark, sf_dir):
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).drop("source")
+
+
+_NUMBER = "('0x' || substr(md5('17|' || {}), 1, 15))::BIGINT"
+OP13_SQL = rf"""
+WITH d AS (SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size, md5(concat_ws('|', '17', doc_id, coalesce(text, ''))) AS key FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
+s1 AS (SELECT *, CASE place % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s0),
+-- Sources by what they hold for their weight: the first so many are held to three times their words.
+s2 AS (SELECT *, row_number() OVER o AS k, sum(size) OVER () AS total, sum(weight) OVER () - coalesce(sum(weight) OVER p, 0) AS weights, sum(size) OVER () - 3 * coalesce(sum(size) OVER p, 0) AS free FROM s1
+       WINDOW o AS (ORDER BY size::DOUBLE / weight, place), p AS (ORDER BY size::DOUBLE / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s3 AS (SELECT min(k) AS k, arg_min(free, k)::BIGINT AS free, arg_min(weights, k)::BIGINT AS weights FROM s2 WHERE weight * free::DOUBLE / weights <= 3 * size),
+s4 AS (SELECT source, place, size, s2.k < s3.k AS capped, CASE WHEN s2.k < s3.k THEN 3.0::DOUBLE * size ELSE weight * s3.free::DOUBLE / s3.weights END AS target, total::BIGINT AS total, s3.free AS free FROM s2, s3),
+b AS (SELECT least(1024, greatest(1, any_value(total) // (1000 * count(*))))::BIGINT AS block, any_value(free)::BIGINT AS free FROM s4),
+q0 AS (SELECT place, unnest(range(1, 3 * ceil(size / block::DOUBLE)::BIGINT + 1)) AS a, target FROM s4, b WHERE NOT capped),
+q1 AS (SELECT place, row_number() OVER (ORDER BY -target / (2 * a - 1), place) AS r FROM q0),
+q AS (SELECT place, count(*) AS seats FROM q1, b WHERE r <= (2 * free + block) // (2 * block) GROUP BY place),
+e AS (SELECT d.*, s4.size AS source_size, s4.place, s4.capped, s4.target, b.block, ('0x' || substr(d.key, 1, 15))::BIGINT % greatest(1, ceil(s4.size / (1024 * block)::DOUBLE)::BIGINT) AS shard
+      FROM d JOIN s4 ON d.source IS NOT DISTINCT FROM s4.source, b),
+h AS (SELECT place, shard, sum(size)::BIGINT AS shard_size, ceil(sum(size) / any_value(block)::DOUBLE)::BIGINT AS n FROM e WHERE size > 0 AND NOT capped GROUP BY 1, 2),
+h0 AS (SELECT place, shard, n, shard_size, unnest(range(1, 3 * n + 1)) AS a FROM h),
+h1 AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY -shard_size::DOUBLE / (2 * a - 1), shard) AS r FROM h0),
+h2 AS (SELECT h.place, h.shard, h.n, count(q.place) AS quota FROM h LEFT JOIN h1 ON h.place = h1.place AND h.shard = h1.shard LEFT JOIN q ON h1.place = q.place AND h1.r <= q.seats GROUP BY 1, 2, 3),
+h3 AS (SELECT place, shard, quota // n AS times, quota % n AS extra, list_sort(list_transform(range(n), lambda j: {_NUMBER.format("place || '|' || shard || '|' || j")})) AS numbers FROM h2),
+p AS (SELECT e.*, times, CASE WHEN extra > 0 THEN numbers[extra] ELSE -1 END AS bound,
+             coalesce(sum(size) OVER (PARTITION BY e.place, e.shard ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+      FROM e JOIN h3 ON e.place = h3.place AND e.shard = h3.shard WHERE size > 0 AND NOT capped)
+SELECT doc_id, size, source_size, target, (times * size + list_sum(list_transform(range(start // block, (start + size - 1) // block + 1),
+       lambda j: CASE WHEN {_NUMBER.format("place || '|' || shard || '|' || j")} <= bound THEN least(start + size, (j + 1) * block) - greatest(start, j * block) ELSE 0 END)))::BIGINT AS taken FROM p
+UNION ALL SELECT doc_id, size, source_size, target, 3 * size FROM e WHERE size = 0 OR capped
+"""
+
+
 QUERIES = {
     "op7_pii_surrogates": (op7_pii_surrogates, None),
     "op3_minhash_near_dedup": (op3_minhash_near_dedup, None),
@@ -215,4 +251,5 @@ QUERIES = {
     "op8_line_dedup": (op8_line_dedup, OP8_SQL),
     "op11_ranked_search": (op11_ranked_search, OP11_SQL),
     "op12_merkle_manifest": (op12_merkle_manifest, OP12_SQL),
+    "op13_source_mix": (op13_source_mix, OP13_SQL),
 }
