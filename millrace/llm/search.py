@@ -87,16 +87,16 @@ class _Open:
         return pa.RecordBatch.from_pydict({k: pa.array(v, kinds[k]) for k, v in row.items()})
 
 
-def _index(vocabulary):
+def _index(vocabulary, width):
     def run(batches):
         window = _Open()
         for batch in batches:
             for part in W.slices(batch, "_text"):
                 while part.num_rows:
-                    taken = part.slice(0, WINDOW - window.filled)
+                    taken = part.slice(0, width - window.filled)
                     window.add(taken, vocabulary)
                     part = part.slice(taken.num_rows)
-                    if window.filled == WINDOW or window.postings >= MAX_POSTINGS:
+                    if window.filled == width or window.postings >= MAX_POSTINGS:
                         yield window.close()
                         window = _Open()
         if window.filled:
@@ -123,12 +123,12 @@ def _harvest(heap, top, scores, docs):
 NO_ID = 2**63 - 1
 
 
-def _score(queries, weights, n_docs, n_terms, top):
+def _score(queries, weights, n_docs, n_terms, top, width):
     """queries: (item_id, terms, their numbers of occurrence); yields each task's best rows."""
 
     def run(batches):
         heaps = [[] for _ in queries]
-        bucket = np.zeros(WINDOW, np.int64)
+        bucket = np.zeros(width, np.int64)
         for batch in batches:
             for row in range(batch.num_rows):
                 docs = np.array([NO_ID if d is None else d for d in batch.column("docs")[row].as_py()], np.int64)
@@ -141,14 +141,14 @@ def _score(queries, weights, n_docs, n_terms, top):
                 postings = {t: (slots[e - d : e], gain[e - d : e]) for t, d, e in zip(own.tolist(), df.tolist(), ends.tolist(), strict=True)}
                 bits = {}
                 for heap, (_, asked) in zip(heaps, queries, strict=True):
-                    met = np.zeros(WINDOW // 8, np.uint8)
+                    met = np.zeros(width // 8, np.uint8)
                     for term, times in asked:
                         if term not in postings:
                             continue
                         at, add = postings[term]
                         bucket[at] += add * times  # a term meets a document once, so no place is named twice
                         if term not in bits:
-                            flags = np.zeros(WINDOW, bool)
+                            flags = np.zeros(width, bool)
                             flags[at] = True
                             bits[term] = np.packbits(flags)
                         met |= bits[term]
@@ -171,7 +171,7 @@ def ranked(best, top):
     return some.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy(*order))).where(F.col("rank") <= top)
 
 
-def search(docs, items, id_col="doc_id", text_col="text", item_id="item_id", item_text="text", top=20):
+def search(docs, items, id_col="doc_id", text_col="text", item_id="item_id", item_text="text", top=20, window=WINDOW, slice_bytes=SLICE_BYTES):
     """item_id, rank (from 1), doc_id, score: the `top` best documents with a score above 0 for each item.
 
     A term is a run of digits, letters and characters beyond ASCII, A-Z lower-cased. Its
@@ -181,13 +181,14 @@ def search(docs, items, id_col="doc_id", text_col="text", item_id="item_id", ite
     included. Null and empty texts hold no term: such documents are counted nowhere, such
     items find nothing. Texts of any length are read whole, extra columns and clashing
     names do not matter, an empty table of either kind gives an empty result. Items are
-    sent to the workers in slices of bounded size, with the same result however many.
+    sent to the workers in slices of `slice_bytes` of text, with the same result however
+    many; `window` is a multiple of eight, and changes nothing either.
     """
     spark = docs.sparkSession
     ship(spark)
     base = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     asked = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("t IS NOT NULL")
-    n_slices = max(1, -(-(asked.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // SLICE_BYTES))
+    n_slices = max(1, -(-(asked.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // slice_bytes))
     parts = []
     for k in range(n_slices):
         rows = asked.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_slices)) == k).orderBy("i", "t").collect()
@@ -198,12 +199,12 @@ def search(docs, items, id_col="doc_id", text_col="text", item_id="item_id", ite
         for row, start, stop in zip(rows, np.cumsum(n) - n, np.cumsum(n), strict=True):
             own, times = np.unique(codes[start:stop], return_counts=True)
             queries.append((row["i"], list(zip(own.tolist(), times.tolist(), strict=True))))
-        index = stored(base.mapInArrow(_index(vocabulary), INDEX), "search-index")
+        index = stored(base.mapInArrow(_index(vocabulary, window), INDEX), "search-index")
         total = index.select(F.explode("n").alias("n")).agg(F.count_if(F.col("n") > 0).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
         holding = index.select(F.explode(F.arrays_zip("terms", "df")).alias("x")).groupBy("x.terms").agg(F.sum("x.df").alias("df")).collect()
         weights = np.zeros(len(vocabulary), np.int64)
         for row in holding:  # as many as the slice's terms
             weights[row["terms"]] = math.floor(1000 * math.log((2 * total["docs"] + 2) / (2 * row["df"] + 1)))
-        best = index.mapInArrow(_score(queries, weights, total["docs"], total["terms"], top), "k int, item_id long, score long, doc_id long")
+        best = index.mapInArrow(_score(queries, weights, total["docs"], total["terms"], top, window), "k int, item_id long, score long, doc_id long")
         parts.append(ranked(best, top).select("item_id", "rank", "doc_id", "score"))
     return functools.reduce(DataFrame.unionByName, parts)
