@@ -2,27 +2,35 @@
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 MIN_POSITIVES = 12
 
 
-def balanced_weights(df, label):
-    """Weight n / (2 n_c) for each class of a 0/1 label."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
-    total = counts.agg(F.sum("_c").alias("_n"))
-    return df.join(counts, label).crossJoin(F.broadcast(total)).withColumn("weight", F.col("_n") / (2 * F.col("_c"))).drop("_c", "_n")
+def logistic(vector, coefficients, intercept):
+    """The probability that a fitted model gives, as an expression: nothing of the model but its numbers reaches the tasks."""
+    products = F.zip_with(F.col(vector).cast("array<double>"), F.array(*[F.lit(float(c)) for c in coefficients]), lambda x, c: x * c)
+    return 1 / (1 + F.exp(-F.aggregate(products, F.lit(float(intercept)), lambda total, x: total + x)))
 
 
 def one_vs_rest(train, test, vector, label, value, c=2.0):
-    """Score of `value` against the rest for every test row; NULL scores if the test set has too few positives."""
-    known = balanced_weights(train.select(array_to_vector(F.col(vector)).alias("features"), (F.col(label) == value).cast("double").alias("y")), "y")
-    # The weights of all rows add up to their number.
-    model = LogisticRegression(labelCol="y", weightCol="weight", regParam=1.0 / (c * max(1, train.count())), standardization=False, maxIter=100).fit(known)
-    told = model.transform(test.withColumn("features", array_to_vector(F.col(vector)))).withColumn("score", vector_to_array("probability")[1])
-    few = test.where(F.col(label) == value).limit(MIN_POSITIVES).count() < MIN_POSITIVES
-    return told.drop("features", "rawPrediction", "probability", "prediction").withColumn("score", F.lit(None).cast("double") if few else F.col("score"))
+    """Score of `value` against the rest for every test row; NULL scores if the test set has too few positives.
+
+    Classes weigh n / (2 n_c) and the penalty is 1 / (c n), all from one count of the
+    training rows by class. Rows without a label are of the rest; with one class alone in
+    training every score is NULL.
+    """
+    y = F.coalesce((F.col(label) == value).cast("double"), F.lit(0.0))
+    counts = {r["y"]: r["n"] for r in train.groupBy(y.alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}  # two at most
+    if len(counts) < 2:
+        return test.withColumn("score", F.lit(None).cast("double"))
+    n = sum(counts.values())
+    weight = F.when(F.col("y") == 1, n / (2 * counts[1.0])).otherwise(n / (2 * counts[0.0]))
+    known = train.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"), y.alias("y")).withColumn("weight", weight)
+    model = LogisticRegression(labelCol="y", weightCol="weight", regParam=1.0 / (c * n), standardization=False, maxIter=100).fit(known)
+    enough = F.broadcast(test.agg((F.count_if(F.col(label) == value) >= MIN_POSITIVES).alias("_enough")))
+    return test.crossJoin(enough).withColumn("score", F.when(F.col("_enough"), logistic(vector, model.coefficients, model.intercept))).drop("_enough")
 
 
 def clusters(df, vector, k, seed=42):

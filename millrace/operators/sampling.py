@@ -62,28 +62,24 @@ def numbered(df, cell, *order, name="number"):
     return ranked.withColumn(name, F.col("_before") + F.col("_within")).drop("_cell", "_of", "_before", "_within")
 
 
-def quantile_cell(df, column, name=None, cells=CELLS):
-    """An expression that cuts a numeric column (called `name` where it is used) into at most so many ranges of like counts.
+def range_bounds(df, *columns, cells=CELLS):
+    """One row that cuts each numeric column into at most so many ranges of like counts: arrays `_bounds_<column>`, of all columns in one pass.
 
-    NULL is a cell before them. One pass over the column finds the bounds. Any bounds give
-    right numbers, since equal values share a cell; a value of many rows makes its cell
-    large. A column that is no number is a single cell.
+    A column that is no number has no bounds and is a single range.
     """
-    if not isinstance(df.schema[column].dataType, NumericType):
-        return F.lit(0)
-    value = F.col(name or column)
     shares = [i / cells for i in range(1, cells)]
-    bounds = sorted(set(df.agg(F.percentile_approx(column, shares, 4 * cells)).first()[0] or []))
-    if not bounds:
-        return F.lit(0)
+    of = lambda c: F.percentile_approx(c, shares, 4 * cells).cast("array<double>") if isinstance(df.schema[c].dataType, NumericType) else F.lit(None).cast("array<double>")
+    return df.agg(*[of(c).alias(f"_bounds_{c}") for c in columns])
 
-    def halved(low, high):
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(value <= bounds[middle], halved(low, middle)).otherwise(halved(middle + 1, high))
 
-    return F.when(value.isNotNull(), halved(0, len(bounds)))
+def range_of(value, bounds, cells=CELLS):
+    """How many bounds a value exceeds, found by halving; NULL is a range of its own, before the others.
+
+    Any bounds give right numbers, since equal values share a range; a value of many rows makes its range large.
+    """
+    steps = [1 << i for i in reversed(range((cells - 1).bit_length()))]
+    found = F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) < value, at + step).otherwise(at))
+    return F.when(value.isNull(), -1).when(bounds.isNull(), 0).otherwise(found)
 
 
 def shuffled(df, *ids, seed=0):
@@ -94,8 +90,11 @@ def shuffled(df, *ids, seed=0):
 
 def fixed_batches(df, size, *order):
     """Number of the batch of `size` rows that each row falls in; best where the first column of the order is a number."""
-    rows = numbered(df, quantile_cell(df, order[0]), *order, name="_number")
-    return rows.withColumn("batch", F.floor(F.col("_number") / size).cast("int")).drop("_number")
+    bounds = f"_bounds_{order[0]}"
+    cut = df.crossJoin(F.broadcast(range_bounds(df, order[0])))
+    cell = range_of(F.col(order[0]), F.col(bounds)) if isinstance(df.schema[order[0]].dataType, NumericType) else F.lit(0)
+    rows = numbered(cut, cell, *order, name="_number")
+    return rows.withColumn("batch", F.floor(F.col("_number") / size).cast("int")).drop("_number", bounds)
 
 
 def greedy_batches(df, group, order, size, budget):

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .estimate import share
-from .sampling import quantile_cell
+from .sampling import range_bounds, range_of
 
 Z = 1.96
 
@@ -25,14 +25,18 @@ def wilson(successes, trials, z=Z, empty=0.0):
     )
 
 
-def average_ranks(df, value, by=()):
+def average_ranks(df, value, by=(), bounds=None):
     """Rank with ties at their mean, computed on distinct values and joined back; `value` is a number.
 
+    `bounds` is a row of range_bounds that holds those of `value`, where one is at hand.
+
     The values are cut into ranges, ranked within each, and what stands before a range is
     summed over the ranges alone: neither rows nor values are sorted in one task.
     """
     by = list(by)
-    counts = df.groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c")).withColumn("_cell", quantile_cell(df, value, "_v"))
+    bounds = (range_bounds(df, value) if bounds is None else bounds).select(F.col(f"_bounds_{value}").alias("_b"))
+    counts = df.groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    counts = counts.crossJoin(F.broadcast(bounds)).withColumn("_cell", range_of(F.col("_v"), F.col("_b"))).drop("_b")
     earlier = Window.unboundedPreceding, -1
     cells = counts.groupBy(*by, "_cell").agg(F.sum("_c").alias("_n"))
     before = cells.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_cell").rowsBetween(*earlier)), F.lit(0)))
@@ -48,7 +52,8 @@ def average_ranks(df, value, by=()):
 def spearman(df, x, y):
     """Rank correlation with ties at mean rank; NULL where a side is constant."""
     pairs = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
-    ranked = average_ranks(average_ranks(pairs, "x").withColumnRenamed("rank", "rx"), "y").withColumnRenamed("rank", "ry")
+    bounds = range_bounds(pairs, "x", "y")
+    ranked = average_ranks(average_ranks(pairs, "x", bounds=bounds).withColumnRenamed("rank", "rx"), "y", bounds=bounds).withColumnRenamed("rank", "ry")
     rho = F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))
     return ranked.agg(F.count(F.lit(1)).alias("n"), rho.alias("rho"))
 
