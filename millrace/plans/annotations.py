@@ -83,6 +83,14 @@ def vector_classifier(spark, sf_dir):
     return out.select("vec_id", "label", "score")
 
 
+@query()
+def topics_by_density(spark, sf_dir):
+    """Clusters of at least five vectors by density, outliers as -1."""
+    from ..operators import density
+
+    return density.topics(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", smallest=5, k=3)
+
+
 @query()
 def vector_clusters(spark, sf_dir):
     return M.clusters(table(spark, sf_dir, "embeddings"), "embedding", 8).select("vec_id", "label", "cluster")

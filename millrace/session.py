@@ -1,8 +1,12 @@
 """Session settings the operators rely on."""
 
+import atexit
+import contextlib
 import re
 import tempfile
+import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 #: UTC keeps timestamps comparable with other engines; AQE splits skewed joins.
@@ -45,3 +49,27 @@ def shared_dir(spark):
         base = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
+
+
+#: One folder for each driver process; it goes when the process ends.
+RUN = uuid.uuid4().hex
+_ROOTS = set()
+
+
+def _remove(spark, path):
+    with contextlib.suppress(Exception):
+        jvm = spark.sparkContext._jvm or SparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
+
+
+def stored(df, name):
+    """Write a frame to the shared folder and read it back: lineage ends there, and lost executors cost nothing."""
+    spark = df.sparkSession
+    root = f"{shared_dir(spark)}/steps-{RUN}"
+    if root not in _ROOTS:
+        _ROOTS.add(root)
+        atexit.register(_remove, spark, root)
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
