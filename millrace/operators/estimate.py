@@ -2,8 +2,9 @@
 
 Every estimate is a pair of boolean columns, the outcome and the population it is asked
 of. Any number of them are gathered in one pass over the rows, one group per cluster,
-and bootstrapped together in long form. The heavy side is thus one aggregation with
-map-side combine; what follows is as large as the number of clusters.
+and bootstrapped together: each cluster has a Poisson(1) weight in every replicate, and
+tasks add up arrays of weighted sums. The heavy side is thus one aggregation with
+map-side combine; what is shuffled after it is an array per task and estimate.
 """
 
 from pyspark.sql import Window
@@ -37,70 +38,100 @@ def cluster_rates(df, cluster, estimates):
     )
 
 
-def _numbered(rates, by, value):
-    return rates.select(*by, "cluster", F.col(value).alias("value")).withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("cluster")) - 1)
+#: Uniform draws are integers below this prime; the first of an Arrow batch's rows that are weighed at once times the replicates.
+PRIME, CELLS = 2**31 - 1, 1 << 22
 
 
-def draw(seed, rep, k, n):
-    """Portable pseudo-random index below n: the first 32 bits of md5(seed|rep|k)."""
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), rep.cast("string"), k.cast("string")))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % n
+def poisson_cuts(most=9):
+    """The least draws that weigh 1, 2, ...: cumulative probabilities of 0, 1, ... under Poisson(1), times PRIME."""
+    cuts, total, term = [], 0.0, 2.718281828459045**-1
+    for i in range(1, most + 1):
+        total += term
+        cuts.append(int(total * PRIME) + 1)
+        term /= i
+    return cuts
 
 
-def bootstrap_means(values, by=("estimate",), value="rate", replicates=REPLICATES, seed=SEED):
-    """Mean of a resample with replacement, per replicate; `values` has one row per cluster."""
-    by = list(by)
-    numbered = _numbered(values.where(F.col(value).isNotNull()), by, value)
-    sizes = numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    # A given number of partitions: the rows to spread are few, but what each unfolds into is not.
-    spark = values.sparkSession
-    parts = max(1, min(replicates, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    draws = (
-        sizes.select(*by, "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-        .repartition(parts, "rep")
-        .select(*by, "n", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("place"))
-        .select(*by, "rep", draw(seed, F.col("rep"), F.col("place"), F.col("n")).cast("int").alias("k"))
-    )
-    return draws.join(numbered, [*by, "k"]).groupBy(*by, "rep").agg(F.avg("value").alias("mean"))
+def coins(seed, cluster):
+    """Start and step of a cluster's draws, from one md5; its draw for a replicate is (start + step * replicate) modulo PRIME.
 
+    Any two replicates of a cluster are drawn independently, and so are clusters.
+    """
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), cluster.cast("string")))
+    number = lambda at: F.conv(F.substring(digest, at, 15), 16, 10).cast("long")
+    return number(1) % PRIME, 1 + number(16) % (PRIME - 1)
 
-def poisson_steps(most=9):
-    """Cumulative probabilities of 0, 1, ... under Poisson(1): a uniform draw weighs as many as it reaches."""
-    steps, total, term = [], 0.0, 2.718281828459045**-1
-    for i in range(1, most + 1):
-        total += term
-        steps.append(total)
-        term /= i
-    return steps
 
+def weighted_sums(rows, by, columns, replicates=REPLICATES, seed=SEED):
+    """by, rep, n, w and one sum per column: every cluster's Poisson(1) weight in a replicate times its values, summed.
+
+    Each task adds up arrays as long as the replicates, and only these are shuffled, place
+    by place: neither rows nor clusters are unfolded, numbered or joined. Groups with more
+    arrays than a task should hold are given out as they come. Rows with a NULL are left out.
+    """
+    import numpy as np
+    import pandas as pd
+
+    by, columns = list(by), list(columns)
+    start, step = coins(seed, F.col("cluster"))
+    given = rows.select(*by, start.alias("_start"), step.alias("_step"), *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)])
+    given = given.dropna(subset=[f"_{i}" for i in range(len(columns))])
+    kinds = {f.name: f.dataType.simpleString() for f in given.schema.fields}
+    names = [*by, "n", *[f"s{i}" for i in range(len(columns) + 1)]]
+    types = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "n long", *[f"s{i} array<double>" for i in range(len(columns) + 1)]])
+    reps, cuts, at_once = np.arange(replicates, dtype=np.int64), np.array(poisson_cuts(), np.int64), max(1, CELLS // replicates)
+
+    def run(frames):
+        held = {}
+
+        def out():
+            rows = [(*key, n, *sums) for key, (n, sums) in held.items()]
+            held.clear()
+            return pd.DataFrame(rows, columns=names)
+
+        for frame in frames:
+            places = {}
+            for i, key in enumerate(frame[by].astype(object).where(frame[by].notna(), None).itertuples(index=False, name=None)):
+                places.setdefault(key, []).append(i)
+            for key, of in places.items():
+                part = frame.iloc[of]
+                for first in range(0, len(part), at_once):
+                    some = part.iloc[first : first + at_once]
+                    draws = (some["_start"].to_numpy()[:, None] + some["_step"].to_numpy()[:, None] * reps) % PRIME
+                    weights = np.searchsorted(cuts, draws, side="right").astype(float)
+                    values = np.vstack([np.ones(len(some)), *[some[f"_{i}"].to_numpy() for i in range(len(columns))]])
+                    n, sums = held.get(key, (0, 0.0))
+                    held[key] = n + len(some), sums + values @ weights
+                if len(held) * replicates * len(names) > CELLS:
+                    yield out()
+        yield out()
+
+    arrays = given.mapInPandas(run, types)
+    each = arrays.select(*by, "n", F.posexplode(F.arrays_zip(*[f"s{i}" for i in range(len(columns) + 1)])).alias("rep", "x"))
+    sums = [F.sum(f"x.s{i + 1}").alias(c) for i, c in enumerate(columns)]
+    return each.groupBy(*by, "rep").agg(F.sum("n").alias("n"), F.sum("x.s0").alias("w"), *sums)
 
-def poisson_means(values, by=("estimate",), value="rate", replicates=1000, seed=SEED):
-    """Bootstrap means with independent Poisson(1) weights per cluster: no numbering and no join, for millions of clusters."""
-    by = list(by)
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("cluster").cast("string"))), 1, 8), 16, 10).cast("double") / 2**32
-    weight = sum(((u >= c).cast("int") for c in poisson_steps()), F.lit(0))
-    spread = values.where(F.col(value).isNotNull()).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", weight)
-    return spread.groupBy(*by, "rep").agg(share(F.sum(F.col("w") * F.col(value)), F.sum("w")).alias("mean"))
+
+def bootstrap_means(values, by=("estimate",), value="rate", replicates=REPLICATES, seed=SEED):
+    """Mean of every replicate of a group of two clusters or more; `values` has one row per cluster. A replicate without a cluster is left out."""
+    sums = weighted_sums(values.withColumn("_v", F.col(value)), by, ["_v"], replicates, seed).where("n >= 2 AND w > 0")
+    return sums.select(*by, "rep", (F.col("_v") / F.col("w")).alias("mean"))
 
 
-def percentile_interval(means, by=("estimate",), replicates=REPLICATES, alpha=ALPHA):
-    """Order statistics, not interpolated: places int(a/2 R) + 1 and int((1 - a/2) R), counted from one."""
+def percentile_interval(means, by=("estimate",), alpha=ALPHA):
+    """Order statistics of R replicates, not interpolated: places int(a/2 R) + 1 and int((1 - a/2) R), counted from one."""
     by = list(by)
-    low, high = int(alpha / 2 * replicates) + 1, int((1 - alpha / 2) * replicates)
-    ranked = means.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("mean", "rep")))
+    ranked = means.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("mean", "rep"))).withColumn("of", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    low, high = F.floor(F.lit(alpha / 2) * F.col("of")) + 1, F.floor(F.lit(1 - alpha / 2) * F.col("of"))
     return ranked.groupBy(*by).agg(F.max(F.when(F.col("place") == low, F.col("mean"))).alias("lo"), F.max(F.when(F.col("place") == high, F.col("mean"))).alias("hi"))
 
 
-def cluster_estimates(df, cluster, estimates, replicates=REPLICATES, seed=SEED, alpha=ALPHA, resample=bootstrap_means):
-    """One row per estimate: mean and median of cluster rates, bounds, clusters, pooled share and its counts.
-
-    With `resample=poisson_means` clusters are weighted where they lie, and only one sum
-    for each task and replicate is shuffled; the bounds then differ a little, as draws do.
-    """
-    return summarise(cluster_rates(df, cluster, estimates), ("estimate",), replicates, seed, alpha, resample)
+def cluster_estimates(df, cluster, estimates, replicates=REPLICATES, seed=SEED, alpha=ALPHA):
+    """One row per estimate: mean and median of cluster rates, bounds, clusters, pooled share and its counts."""
+    return summarise(cluster_rates(df, cluster, estimates), ("estimate",), replicates, seed, alpha)
 
 
-def summarise(rates, by, replicates=REPLICATES, seed=SEED, alpha=ALPHA, resample=bootstrap_means):
+def summarise(rates, by, replicates=REPLICATES, seed=SEED, alpha=ALPHA):
     by = list(by)
     point = rates.groupBy(*by).agg(
         F.avg("rate").alias("mean"),
@@ -110,7 +141,7 @@ def summarise(rates, by, replicates=REPLICATES, seed=SEED, alpha=ALPHA, resample
         F.sum("hits").alias("numerator"),
         F.sum("eligible").alias("denominator"),
     )
-    bounds = percentile_interval(resample(rates, by, "rate", replicates, seed), by, replicates, alpha)
+    bounds = percentile_interval(bootstrap_means(rates, by, "rate", replicates, seed), by, alpha)
     return point.join(bounds, by, "left")
 
 
@@ -123,7 +154,7 @@ def paired_contrast(df, cluster, outcome, group_a, group_b, replicates=REPLICATE
     both = rates.groupBy("cluster").agg(F.max(F.when(F.col("estimate") == "a", F.col("rate"))).alias("ra"), F.max(F.when(F.col("estimate") == "b", F.col("rate"))).alias("rb"))
     gaps = both.where("ra IS NOT NULL AND rb IS NOT NULL").select(F.lit("b_minus_a").alias("estimate"), "cluster", (F.col("rb") - F.col("ra")).alias("gap"))
     point = gaps.groupBy("estimate").agg(F.avg("gap").alias("difference"), F.count(F.lit(1)).alias("n_clusters"))
-    bounds = percentile_interval(bootstrap_means(gaps, ("estimate",), "gap", replicates, seed), ("estimate",), replicates, alpha)
+    bounds = percentile_interval(bootstrap_means(gaps, ("estimate",), "gap", replicates, seed), ("estimate",), alpha)
     enough = F.col("n_clusters") >= MIN_PAIRED_CLUSTERS
     out = point.join(bounds, "estimate", "left")
     return out.select(
@@ -176,7 +207,7 @@ def stratified_prevalence(sampled, population, stratum, key, outcome, replicates
     point = means.agg(share(F.sum(F.col("p") * F.col("pool")), F.sum("pool")).alias("prevalence"), F.sum("n").alias("n_sampled"), F.sum("pool").alias("n_population"))
     reps = bootstrap_means(rows.select("stratum", "cluster", "y"), ("stratum",), "y", replicates, seed).join(pool, "stratum")
     total = reps.groupBy("rep").agg(share(F.sum(F.col("mean") * F.col("pool")), F.sum("pool")).alias("mean")).withColumn("all", F.lit(1))
-    return point.crossJoin(F.broadcast(percentile_interval(total, ("all",), replicates, alpha).drop("all")))
+    return point.crossJoin(F.broadcast(percentile_interval(total, ("all",), alpha).drop("all")))
 
 
 def ratio_bootstrap(rows, key, numerator, denominator, replicates=REPLICATES, seed=SEED, alpha=ALPHA):
@@ -184,10 +215,10 @@ def ratio_bootstrap(rows, key, numerator, denominator, replicates=REPLICATES, se
     n, d = (F.coalesce(c, F.lit(False)).cast("double") for c in (numerator & denominator, denominator))
     base = rows.select(F.lit(1).alias("all"), F.col(key).alias("cluster"), n.alias("num"), d.alias("den"))
     point = base.agg(F.sum("num").cast("long").alias("numerator"), F.sum("den").cast("long").alias("denominator"), share(F.sum("num"), F.sum("den")).alias("ratio"))
-    # The mean of the resampled numerator over that of the denominator, draw by draw.
-    both = bootstrap_means(base, ("all",), "num", replicates, seed).withColumnRenamed("mean", "a").join(bootstrap_means(base, ("all",), "den", replicates, seed).withColumnRenamed("mean", "b"), ["all", "rep"])
-    means = both.where("b > 0").select("all", "rep", (F.col("a") / F.col("b")).alias("mean"))
-    return point.crossJoin(F.broadcast(percentile_interval(means, ("all",), replicates, alpha).drop("all")))
+    # Both sums of a replicate come from the same weights.
+    sums = weighted_sums(base, ("all",), ["num", "den"], replicates, seed).where("n >= 2 AND den > 0")
+    means = sums.select("all", "rep", (F.col("num") / F.col("den")).alias("mean"))
+    return point.crossJoin(F.broadcast(percentile_interval(means, ("all",), alpha).drop("all")))
 
 
 def two_sample_difference(values, group, a, b, key, value, replicates=REPLICATES, seed=SEED, alpha=ALPHA):
@@ -197,7 +228,7 @@ def two_sample_difference(values, group, a, b, key, value, replicates=REPLICATES
     one = bootstrap_means(rows.where(F.col("g") == a), ("g",), "v", replicates, f"{seed}a").select("rep", F.col("mean").alias("ma"))
     two = bootstrap_means(rows.where(F.col("g") == b), ("g",), "v", replicates, f"{seed}b").select("rep", F.col("mean").alias("mb"))
     means = one.join(two, "rep").select(F.lit(1).alias("all"), "rep", (F.col("mb") - F.col("ma")).alias("mean"))
-    return point.crossJoin(F.broadcast(percentile_interval(means, ("all",), replicates, alpha).drop("all")))
+    return point.crossJoin(F.broadcast(percentile_interval(means, ("all",), alpha).drop("all")))
 
 
 def first_copies(df, content, order, keep):
@@ -226,5 +257,5 @@ def shares_by_side(rows, key, control, value, least=11, replicates=REPLICATES, s
     units = rows.select(control.alias("side"), F.col(key).alias("cluster"), F.col(value).cast("double").alias("v"))
     sides = units.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean_value"))
     total = F.broadcast(units.agg(F.count(F.lit(1)).alias("total")))
-    bounds = percentile_interval(bootstrap_means(units.where("v IS NOT NULL"), ("side",), "v", replicates, seed), ("side",), replicates, alpha)
+    bounds = percentile_interval(bootstrap_means(units.where("v IS NOT NULL"), ("side",), "v", replicates, seed), ("side",), alpha)
     return sides.crossJoin(total).where(F.col("n") >= least).join(bounds, "side", "left")

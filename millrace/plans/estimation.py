@@ -7,8 +7,7 @@ from ..operators import statistics as S
 from ..session import table
 from .registry import query
 
-R, SEED = 200, 20260828
-LOW, HIGH = int(0.025 * R) + 1, int(0.975 * R)
+R, STRATIFIED_R, SEED = E.REPLICATES, 2000, E.SEED
 FIGURES = ("mean", "median", "pooled", "lo", "hi")
 
 
@@ -20,16 +19,29 @@ def rounded(df, *columns, places=9):
     return df.withColumns({c: F.round(c, places) for c in columns})
 
 
-def boot_sql(source, by="estimate", value="rate", seed=SEED, tag=""):
-    """CTEs reps (by, rep, mean) and bounds (by, lo, hi) over `source` (by, cluster, value)."""
+def weights_sql(source, by, columns, seed=SEED, tag="", reps=R):
+    """CTE sums (b, rep, n, w and the sum of each column) over `source` (by, cluster, columns), by Poisson weights of its clusters."""
+    weight = " + ".join(f"(u >= {c})::INT" for c in E.poisson_cuts())
+    digest = f"md5('{seed}|' || cluster)"
+    known = " AND ".join(f"{c} IS NOT NULL" for c in columns)
+    own = ", ".join(f"{c}::DOUBLE AS {c}" for c in columns)
     return f"""
-numbered{tag} AS (SELECT {by} AS b, {value}::DOUBLE AS v, row_number() OVER (PARTITION BY {by} ORDER BY cluster) - 1 AS k FROM {source} WHERE {value} IS NOT NULL),
-sizes{tag} AS (SELECT b, count(*) AS n FROM numbered{tag} GROUP BY b HAVING count(*) >= 2),
-draws{tag} AS (SELECT b, rep, (('0x' || substr(md5('{seed}|' || rep || '|' || place), 1, 8))::BIGINT) % n AS k
-               FROM sizes{tag}, range({R}) AS r(rep), LATERAL (SELECT unnest(range(n)) AS place)),
-reps{tag} AS (SELECT d.b, d.rep, avg(v) AS mean FROM draws{tag} d JOIN numbered{tag} m ON d.b = m.b AND d.k = m.k GROUP BY d.b, d.rep),
-ranked{tag} AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY mean, rep) AS place FROM reps{tag}),
-bounds{tag} AS (SELECT b, max(CASE WHEN place = {LOW} THEN mean END) AS lo, max(CASE WHEN place = {HIGH} THEN mean END) AS hi FROM ranked{tag} GROUP BY b)"""
+coins{tag} AS (SELECT {by} AS b, {own}, ('0x' || substr({digest}, 1, 15))::BIGINT % {E.PRIME} AS start, 1 + ('0x' || substr({digest}, 16, 15))::BIGINT % {E.PRIME - 1} AS step FROM {source} WHERE {known}),
+weighed{tag} AS (SELECT b, rep, {", ".join(columns)}, {weight} AS w FROM (SELECT *, (start + step * rep) % {E.PRIME} AS u FROM coins{tag}, range({reps}) AS r(rep)) drawn),
+sums{tag} AS (SELECT b, rep, count(*) AS n, sum(w) AS w, {", ".join(f"sum(w * {c}) AS {c}" for c in columns)} FROM weighed{tag} GROUP BY b, rep)"""
+
+
+def interval_sql(source):
+    """b, lo, hi over replicates (b, rep, mean)."""
+    return f"""SELECT b, max(CASE WHEN place = floor(0.025::DOUBLE * r) + 1 THEN mean END) AS lo, max(CASE WHEN place = floor(0.975::DOUBLE * r) THEN mean END) AS hi
+FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY mean, rep) AS place, count(*) OVER (PARTITION BY b) AS r FROM {source}) ranked GROUP BY b"""
+
+
+def boot_sql(source, by="estimate", value="rate", seed=SEED, tag="", reps=R):
+    """CTEs reps (b, rep, mean) and bounds (b, lo, hi) over `source` (by, cluster, value)."""
+    return f"""{weights_sql(source, by, [value], seed, tag, reps)},
+reps{tag} AS (SELECT b, rep, {value} / w AS mean FROM sums{tag} WHERE n >= 2 AND w > 0),
+bounds{tag} AS ({interval_sql(f"reps{tag}")})"""
 
 
 POINT_SQL = """round(avg(rate), 9) AS mean, round(median(rate), 9) AS median, count(*) AS n_clusters,
@@ -45,25 +57,14 @@ def cluster_estimate_urgent(spark, sf_dir):
     return rounded(E.cluster_estimates(table(spark, sf_dir, "orders"), "o_custkey", {"urgent": (urgent(), None)}, R, SEED), *FIGURES)
 
 
-def poisson_sql(source):
-    """As boot_sql, with Poisson weights for the clusters of `source` instead of draws."""
-    weight = " + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in E.poisson_steps())
-    return f"""
-weighted AS (SELECT b, rep, v, {weight} AS w FROM (SELECT estimate AS b, rep, rate AS v,
-             (('0x' || substr(md5('{SEED}|' || rep || '|' || cluster), 1, 8))::BIGINT)::DOUBLE / 4294967296 AS u FROM {source}, range({R}) AS r(rep)) drawn),
-reps AS (SELECT b, rep, sum(w * v) / sum(w) AS mean FROM weighted GROUP BY b, rep),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY mean, rep) AS place FROM reps),
-bounds AS (SELECT b, max(CASE WHEN place = {LOW} THEN mean END) AS lo, max(CASE WHEN place = {HIGH} THEN mean END) AS hi FROM ranked GROUP BY b)"""
-
-
 @query(f"""WITH counts AS (SELECT 'urgent' AS estimate, o_custkey AS cluster, count(*) FILTER (o_orderpriority IN ('1-URGENT', '2-HIGH')) AS hits, count(*) AS eligible FROM orders GROUP BY o_custkey
  UNION ALL SELECT 'urgent_open', o_custkey, count(*) FILTER (o_orderstatus = 'O' AND o_orderpriority IN ('1-URGENT', '2-HIGH')), count(*) FILTER (o_orderstatus = 'O') FROM orders GROUP BY o_custkey),
 rates AS (SELECT *, hits::DOUBLE / eligible AS rate FROM counts WHERE eligible > 0),
-{poisson_sql('rates')}
+{boot_sql('rates')}
 SELECT estimate, {POINT_SQL} FROM rates LEFT JOIN bounds ON estimate = b GROUP BY estimate""")
 def cluster_estimate_poisson(spark, sf_dir):
     asked = {"urgent": (urgent(), None), "urgent_open": (urgent(), F.col("o_orderstatus") == "O")}
-    return rounded(E.cluster_estimates(table(spark, sf_dir, "orders"), "o_custkey", asked, R, SEED, resample=E.poisson_means), *FIGURES)
+    return rounded(E.cluster_estimates(table(spark, sf_dir, "orders"), "o_custkey", asked, R, SEED), *FIGURES)
 
 
 @query(f"""WITH base AS (SELECT l_suppkey AS cluster, l_returnflag = 'R' AS y, l_quantity > 25 AS e1, l_discount > 0.05 AS e2 FROM lineitem),
@@ -194,25 +195,24 @@ def pairwise_raters(spark, sf_dir):
 
 @query(f"""WITH pool AS (SELECT lang AS stratum, count(*) AS pool FROM documents GROUP BY 1),
 rows AS (SELECT lang AS stratum, doc_id AS cluster, quality::DOUBLE AS y FROM labels JOIN documents USING (doc_id)),
-{boot_sql('rows', 'stratum', 'y')},
-t AS (SELECT 1 AS one, rep, sum(mean * pool) / sum(pool) AS mean FROM reps JOIN pool ON b = stratum GROUP BY rep),
-o AS (SELECT mean, row_number() OVER (ORDER BY mean, rep) AS place FROM t),
+{boot_sql('rows', 'stratum', 'y', reps=STRATIFIED_R)},
+t AS (SELECT 1 AS b, rep, sum(mean * pool) / sum(pool) AS mean FROM reps JOIN pool ON b = stratum GROUP BY rep),
+o AS ({interval_sql('t')}),
 pt AS (SELECT avg(y) AS p, count(*) AS n, any_value(pool) AS pool FROM rows JOIN pool USING (stratum) GROUP BY stratum)
 SELECT round(sum(p * pool) / sum(pool), 9) AS prevalence, sum(n)::BIGINT AS n_sampled, sum(pool)::BIGINT AS n_population,
-       (SELECT round(mean, 9) FROM o WHERE place = {LOW}) AS lo, (SELECT round(mean, 9) FROM o WHERE place = {HIGH}) AS hi FROM pt""")
+       (SELECT round(lo, 9) FROM o) AS lo, (SELECT round(hi, 9) FROM o) AS hi FROM pt""")
 def stratified_prevalence(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
     sampled = table(spark, sf_dir, "labels").join(docs, "doc_id")
-    return rounded(E.stratified_prevalence(sampled, docs, "lang", "doc_id", F.col("quality") == 1, R, SEED), "prevalence", "lo", "hi")
+    return rounded(E.stratified_prevalence(sampled, docs, "lang", "doc_id", F.col("quality") == 1, STRATIFIED_R, SEED), "prevalence", "lo", "hi")
 
 
 @query(f"""WITH base AS (SELECT 1 AS one, doc_id AS cluster, (toxic = 1 AND quality = 1)::INT AS num, (quality = 1)::INT AS den FROM labels),
-{boot_sql('base', 'one', 'num', tag='a')},
-{boot_sql('base', 'one', 'den', tag='b')},
-q AS (SELECT repsa.rep, repsa.mean / repsb.mean AS mean FROM repsa JOIN repsb USING (rep) WHERE repsb.mean > 0),
-o AS (SELECT mean, row_number() OVER (ORDER BY mean, rep) AS place FROM q)
+{weights_sql('base', 'one', ['num', 'den'])},
+q AS (SELECT b, rep, num / den AS mean FROM sums WHERE n >= 2 AND den > 0),
+o AS ({interval_sql('q')})
 SELECT sum(num)::BIGINT AS numerator, sum(den)::BIGINT AS denominator, round(sum(num)::DOUBLE / sum(den), 9) AS ratio,
-       (SELECT round(mean, 9) FROM o WHERE place = {LOW}) AS lo, (SELECT round(mean, 9) FROM o WHERE place = {HIGH}) AS hi FROM base""")
+       (SELECT round(lo, 9) FROM o) AS lo, (SELECT round(hi, 9) FROM o) AS hi FROM base""")
 def conditional_ratio_bootstrap(spark, sf_dir):
     return rounded(E.ratio_bootstrap(table(spark, sf_dir, "labels"), "doc_id", F.col("toxic") == 1, F.col("quality") == 1, R, SEED), "ratio", "lo", "hi")
 
@@ -221,9 +221,9 @@ def conditional_ratio_bootstrap(spark, sf_dir):
 ga AS (SELECT * FROM base WHERE g = 'AUTOMOBILE'), gb AS (SELECT * FROM base WHERE g = 'BUILDING'),
 {boot_sql('ga', 'g', 'v', f'{SEED}a', 'x')},
 {boot_sql('gb', 'g', 'v', f'{SEED}b', 'y')},
-q AS (SELECT repsx.rep, repsy.mean - repsx.mean AS mean FROM repsx JOIN repsy USING (rep)),
-o AS (SELECT mean, row_number() OVER (ORDER BY mean, rep) AS place FROM q)
-SELECT round((SELECT avg(v) FROM gb) - (SELECT avg(v) FROM ga), 6) AS difference, (SELECT round(mean, 6) FROM o WHERE place = {LOW}) AS lo, (SELECT round(mean, 6) FROM o WHERE place = {HIGH}) AS hi""")
+q AS (SELECT 1 AS b, repsx.rep, repsy.mean - repsx.mean AS mean FROM repsx JOIN repsy USING (rep)),
+o AS ({interval_sql('q')})
+SELECT round((SELECT avg(v) FROM gb) - (SELECT avg(v) FROM ga), 6) AS difference, (SELECT round(lo, 6) FROM o) AS lo, (SELECT round(hi, 6) FROM o) AS hi""")
 def two_sample_diff(spark, sf_dir):
     return rounded(E.two_sample_difference(table(spark, sf_dir, "customer"), "c_mktsegment", "AUTOMOBILE", "BUILDING", "c_custkey", "c_acctbal", R, SEED), "difference", "lo", "hi", places=6)
 

@@ -45,7 +45,7 @@ def test_contrast_is_antisymmetric_and_needs_ten_clusters(spark):
 def test_poisson_bootstrap_agrees_with_the_mean(spark):
     rates = E.cluster_rates(rows_of(spark), "cluster", {"y": (F.col("y"), None)})
     mean = rates.agg(F.avg("rate")).first()[0]
-    assert E.poisson_means(rates, replicates=200).agg(F.avg("mean")).first()[0] == pytest.approx(mean, abs=0.03)
+    assert E.bootstrap_means(rates, replicates=200).agg(F.avg("mean")).first()[0] == pytest.approx(mean, abs=0.03)
 
 
 def test_intraclass_edges(spark):
