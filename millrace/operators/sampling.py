@@ -97,24 +97,6 @@ def fixed_batches(df, size, *order):
     return rows.withColumn("batch", F.floor(F.col("_number") / size).cast("int")).drop("_number", bounds)
 
 
-def greedy_batches(df, group, order, size, budget):
-    """Pack items in order into batches that hold at most `budget`, per group; a larger item is a batch of its own.
-
-    The fold runs over the sizes of one group at a time, natively.
-    """
-    items = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")))).alias("items"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(-1).alias("batch"), F.array().cast("array<struct<o:bigint,batch:int>>").alias("out"))
-
-    def step(state, item):
-        fresh = (state["batch"] < 0) | (state["used"] + item["s"] > budget)
-        batch = F.when(fresh, state["batch"] + 1).otherwise(state["batch"])
-        used = F.when(fresh, item["s"]).otherwise(state["used"] + item["s"])
-        return F.struct(used.alias("used"), batch.alias("batch"), F.concat(state["out"], F.array(F.struct(item["o"].cast("long").alias("o"), batch.alias("batch")))).alias("out"))
-
-    packed = items.select(group, F.aggregate("items", start, step, lambda s: s["out"]).alias("out"))
-    return packed.select(group, F.explode("out").alias("x")).select(group, F.col("x.o").alias(order), F.col("x.batch").alias("batch"))
-
-
 def page(df, start, count, *order):
     return df.orderBy(*order).offset(start).limit(count)
 

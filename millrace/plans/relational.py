@@ -6,6 +6,7 @@ from ..functions.identity import version_key
 from ..operators import curation as C
 from ..operators import relational as J
 from ..operators import sampling as O
+from ..operators.ordering import greedy_batches
 from ..session import table
 from .registry import query
 
@@ -177,7 +178,18 @@ f AS (SELECT source, doc_id, n_chars, rn, n_chars AS used, 0 AS batch FROM i WHE
  FROM f JOIN i ON i.source = f.source AND i.rn = f.rn + 1)
 SELECT source, doc_id, batch FROM f""")
 def batch_greedy(spark, sf_dir):
-    return O.greedy_batches(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 10000)
+    return greedy_batches(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 10000)
+
+
+@query("""WITH RECURSIVE i AS (SELECT o_orderpriority AS p, o_orderkey, o_totalprice::BIGINT AS s, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS rn FROM orders),
+f AS (SELECT p, o_orderkey, s, rn, s AS used, 0 AS batch FROM i WHERE rn = 1
+ UNION ALL SELECT i.p, i.o_orderkey, i.s, i.rn, CASE WHEN f.used + i.s > 1000000 THEN i.s ELSE f.used + i.s END, CASE WHEN f.used + i.s > 1000000 THEN f.batch + 1 ELSE f.batch END
+ FROM f JOIN i ON i.p = f.p AND i.rn = f.rn + 1)
+SELECT p AS o_orderpriority, o_orderkey, batch FROM f""")
+def batch_greedy_large_groups(spark, sf_dir):
+    """Groups of more than a hundred orders are cut by running sums and pointers."""
+    orders = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", F.round("o_totalprice").cast("long").alias("s"))
+    return greedy_batches(orders, "o_orderpriority", "o_orderkey", "s", 1000000, folded=100)
 
 
 @query("SELECT doc_id FROM documents ORDER BY doc_id LIMIT 20 OFFSET 40")

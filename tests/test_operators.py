@@ -12,6 +12,7 @@ from millrace.operators import relational as J
 from millrace.operators import sampling as O
 from millrace.operators import statistics as S
 from millrace.operators import transcripts as R
+from millrace.operators.ordering import greedy_batches
 
 
 def rows_of(spark, n_clusters=40, seed=3):
@@ -120,11 +121,31 @@ def test_quota_that_cannot_be_met_is_an_error(spark):
         O.quota_sample(df, "s", "id", {"b": 2}).collect()
 
 
-def test_greedy_batches(spark):
-    df = spark.createDataFrame([("g", i, s) for i, s in enumerate([5, 5, 1, 20, 3])], "g string, i int, s int")
-    got = {r["i"]: r["batch"] for r in O.greedy_batches(df, "g", "i", "s", 10).collect()}
-    assert got == {0: 0, 1: 0, 2: 1, 3: 2, 4: 3}
-    assert O.greedy_batches(df.where("i < 0"), "g", "i", "s", 10).count() == 0
+def packed(sizes, budget):
+    out, used, batch = [], 0, -1
+    for s in sizes:
+        if batch < 0 or used + s > budget:
+            used, batch = 0, batch + 1
+        used += s
+        out.append(batch)
+    return out
+
+
+@pytest.mark.parametrize("folded", [100, 3, 0])
+def test_greedy_batches(spark, folded):
+    r = random.Random(2)
+    sizes = {"g": [5, 5, 1, 20, 3], "h": [r.randint(0, 6) for _ in range(90)], None: [11, 12], "z": [0] * 7, "one": [4]}
+    df = spark.createDataFrame([(g, 10 * i, s) for g, x in sizes.items() for i, s in enumerate(x)], "g string, i int, s int").repartition(5)
+    got = {(r["g"], r["i"]): r["batch"] for r in greedy_batches(df, "g", "i", "s", 10, folded).collect()}
+    assert got == {(g, 10 * i): b for g, x in sizes.items() for i, b in enumerate(packed(x, 10))}
+    assert greedy_batches(df.where("i < 0"), "g", "i", "s", 10, folded).count() == 0
+
+
+def test_greedy_batches_of_a_large_group(spark):
+    n = 200_000
+    df = spark.range(n).select(F.lit("g").alias("g"), "id", F.pmod(F.xxhash64("id"), F.lit(100)).cast("int").alias("s"))
+    got = [r["batch"] for r in greedy_batches(df, "g", "id", "s", 10_000, 1000).orderBy("id").select("batch").collect()]
+    assert got == packed([r["s"] for r in df.orderBy("id").collect()], 10_000)
 
 
 def test_lifecycle_edges(spark):
