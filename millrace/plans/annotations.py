@@ -111,7 +111,7 @@ def streamed_windows(spark, sf_dir):
     from ..streaming.incremental import windowed_counts
 
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = spark.readStream.schema(schema).format("parquet").option("pathGlobFilter", "events.parquet").load(sf_dir) if not _is_folder(spark, sf_dir) else spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
+    stream = _events_stream(spark, sf_dir, schema)
     base = shared_dir(spark)
     root = f"{base}/streamed-{uuid.uuid4().hex}"
     counts = windowed_counts(stream.withColumn("at", F.col("ts").cast("timestamp")), "at", "event_type", "1 day", "1 hour")
@@ -124,6 +124,26 @@ def streamed_windows(spark, sf_dir):
     return rows.groupBy("start", "event_type").agg(F.max_by("n", "batch").alias("n")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
+@query("""WITH e AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR AS goes_on FROM events WHERE ts IS NOT NULL),
+r AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM e),
+c AS (SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM r GROUP BY user_id, run)
+SELECT * FROM c WHERE last + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def runs_closed_by_time(spark, sf_dir):
+    """The table as a stream: runs of a user's events no more than six hours apart, given out once an hour has passed their end by as much."""
+    from ..streaming.stateful import closed_runs, run_to_table
+
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    root = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+    run_to_table(closed_runs(_events_stream(spark, sf_dir, schema), "ts", "user_id", 6 * 3600), f"{root}/out", f"{root}/checkpoint")
+    return spark.read.schema("user_id long, first timestamp_ntz, last timestamp_ntz, n long").parquet(f"{root}/out")
+
+
+def _events_stream(spark, sf_dir, schema):
+    if _is_folder(spark, sf_dir):
+        return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
+    return spark.readStream.schema(schema).format("parquet").option("pathGlobFilter", "events.parquet").load(sf_dir)
+
+
 def _is_folder(spark, sf_dir):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()

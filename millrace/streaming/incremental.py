@@ -1,4 +1,4 @@
-"""Structured Streaming forms of the incremental behaviours: append-only logs, score-once state, late closing, calendar windows."""
+"""Structured Streaming forms of the incremental behaviours: append-only logs, dispatch, calendar windows."""
 
 from pyspark.sql import functions as F
 
@@ -14,28 +14,6 @@ def windowed_counts(stream, time, key, width="1 hour", late="10 minutes"):
     return stream.withWatermark(time, late).groupBy(F.window(time, width), key).agg(F.count(F.lit(1)).alias("n"))
 
 
-def closed_runs(stream, time, run, late="1 hour"):
-    """First event of each run; state of a run is dropped once the watermark has passed it."""
-    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([run])
-
-
-def score_once(stream, key, frozen, sink, checkpoint):
-    """Write the first outcome of each key and never again: a later batch adds only keys that are new."""
-
-    def add(batch, number):
-        spark = batch.sparkSession
-        first = batch.groupBy(key).agg(*[F.min(c).alias(c) for c in frozen])
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(sink)
-        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            # A batch that is run again finds only what other batches wrote.
-            done = spark.read.parquet(sink).where(F.col("batch") != number).select(key)
-            first = first.join(done, key, "left_anti")
-        first.write.mode("overwrite").parquet(f"{sink}/batch={number}")
-
-    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def dispatch(schedule, ledger, count):
     """The next rows of a schedule that are not in the ledger, in order."""
     return schedule.join(ledger.select("run_id"), "run_id", "left_anti").orderBy("order").limit(count)

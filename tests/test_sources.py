@@ -11,6 +11,7 @@ from millrace.operators import models as M
 from millrace.operators import transcripts as R
 from millrace.sources import files as S
 from millrace.streaming import incremental as T
+from millrace.streaming.stateful import closed_runs, run_to_table, score_once
 
 
 def test_json_lines(spark, tmp_path):
@@ -107,11 +108,47 @@ def test_append_and_score_once(spark, tmp_path):
         if n == 2:
             (tmp_path / "in" / "2.json").write_text('{"k": "a", "v": 9}\n{"k": "b", "v": 2}')
         stream = spark.readStream.schema("k string, v int").json(src)
-        T.score_once(stream, "k", ["v"], sink, ck).awaitTermination()
+        score_once(stream, "k", ["v"], sink, ck).awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/log").count() == 1
     assert {r.k: r.v for r in spark.read.parquet(sink).collect()} == {"a": 1, "b": 2}
 
 
+def test_score_once_never_reads_its_table(spark, tmp_path):
+    src, sink, ck = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/ck"
+    spark.createDataFrame([("a", 3, "x"), ("a", 1, None), ("b", None, "z"), (None, 5, "n")], "k string, v int, w string").write.parquet(src)
+    run = lambda: score_once(spark.readStream.schema("k string, v int, w string").parquet(src), "k", ["v", "w"], sink, ck).awaitTermination()
+    run()
+    first = sorted(map(tuple, spark.read.parquet(sink).collect()), key=repr)
+    assert first == sorted([("a", 1, "x"), ("b", None, "z"), (None, 5, "n")], key=repr)
+    (tmp_path / "out").rename(tmp_path / "kept")  # the state alone tells what was scored
+    spark.createDataFrame([("a", 0, "q"), ("b", 7, "q"), ("c", 2, None), (None, 1, "q")], "k string, v int, w string").write.mode("append").parquet(src)
+    run()
+    assert list(map(tuple, spark.read.parquet(f"{sink}/part-*").collect())) == [("c", 2, None)]
+
+
+def test_runs_close_when_time_has_passed(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1)
+    batches = [
+        [("a", 0), ("a", 50), ("b", 10), ("a", 500)],
+        [("a", 25), ("a", 530), ("b", 200), ("a", 460), (None, 520)],  # out of order: 25 falls into a run, 460 joins one
+        [("z", 5000), ("a", 560)],
+        [("a", 40), ("z", 5100)],  # 40 is behind the watermark
+        [("y", 20000)],
+    ]
+    src, sink, ck = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/ck"
+    closed = []
+    for n, rows in enumerate(batches):
+        spark.createDataFrame([(k, start + timedelta(seconds=s)) for k, s in rows], "k string, t timestamp_ntz").coalesce(1).write.mode("append").parquet(src)
+        run_to_table(closed_runs(spark.readStream.schema("k string, t timestamp_ntz").parquet(src), "t", "k", 60, "600 seconds"), sink, ck)
+        seconds = lambda t: int((t - start).total_seconds())
+        closed.append(list((r.k, seconds(r["first"]), seconds(r["last"]), r.n) for r in spark.read.schema("k string, first timestamp_ntz, last timestamp_ntz, n long").parquet(sink).collect()))
+    over = [("a", 0, 50, 3), ("a", 460, 560, 4), ("b", 10, 10, 1), ("b", 200, 200, 1), (None, 520, 520, 1)]
+    assert closed[0] == closed[1] == [] and sorted(closed[2], key=repr) == sorted(closed[3], key=repr) == sorted(over, key=repr)
+    assert sorted(closed[4], key=repr) == sorted([*over, ("z", 5000, 5000, 1), ("z", 5100, 5100, 1)], key=repr)
+
+
 def test_formats(spark):
     got = spark.range(1).select(X.percent(F.lit(0.955)), X.thousands(F.lit(12345)), X.interval(F.lit(0.1), F.lit(0.25)), X.prettify(F.lit("a-b_c"))).first()
     assert tuple(got) == ("95.5%", "12,345", "10.0–25.0", "a b c")
