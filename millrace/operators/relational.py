@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .asof import asof
+
 
 def first_per_key(df, key, *order):
     """The first row of each key in the given order."""
@@ -108,12 +110,15 @@ def written_after(items, names, date, removals, name="name", removed="removed_on
 
 
 def removals(releases, version_key, names, date):
-    """For each name: the last release that has it and the first later one, with its date; names never removed are left out."""
-    flat = releases.select(version_key.alias("v"), F.col("version"), F.col(date).alias("d"), F.explode(names).alias("name"))
-    last = flat.groupBy("name").agg(F.max(F.struct("v", "version")).alias("last"))
-    later = releases.select(version_key.alias("v"), F.col("version").alias("first_without"), F.col(date).alias("removed_on"))
-    after = last.join(later, F.col("v") > F.col("last.v")).groupBy("name", F.col("last.version").alias("last_with")).agg(F.min(F.struct("v", "first_without", "removed_on")).alias("n"))
-    return after.select("name", "last_with", "n.first_without", "n.removed_on")
+    """For each name: the last release that has it and the first later one, with its date; names never removed are left out.
+
+    A release may come in several rows, each with some of its names.
+    """
+    listed = releases.select(version_key.alias("_v"), "version", F.col(date).alias("removed_on"), names.alias("_names"))
+    last = listed.select(F.explode("_names").alias("name"), "_v", "version").groupBy("name").agg(F.max(F.struct("_v", "version")).alias("last"))
+    later = listed.select("_v", F.col("version").alias("first_without"), "removed_on").distinct()
+    out = asof(last.select("name", F.col("last._v").alias("_last"), F.col("last.version").alias("last_with")), later, [], "_last", "_v", ["first_without", "removed_on"], forward=True, strict=True)
+    return out.where("first_without IS NOT NULL").drop("_last")
 
 
 def reconcile(old, new, key, value):

@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.identity import version_key
 from ..operators import curation as C
 from ..operators import relational as J
 from ..operators import sampling as O
+from ..operators.asof import asof
 from ..operators.ordering import greedy_batches
 from ..session import table
 from .registry import query
@@ -71,24 +71,48 @@ def sequence_equality(spark, sf_dir):
     return J.same_sequence(by_key, by_date, "o_custkey", "at", "v")
 
 
-RELEASES = [("1.2.0", "2025-01-01", ["A", "B", "C"]), ("1.9.0", "2025-02-01", ["A", "B"]), ("1.10.0", "2025-03-01", ["A"]), ("2.0.0", "2025-04-01", ["A", "D"])]
-ITEMS = [(1, "2025-01-15", ["A", "C"]), (2, "2025-02-01", ["C"]), (3, "2025-03-05", ["B", "C"]), (4, "2025-02-15", ["B", "C"]), (5, "2025-01-01", ["A"])]
+REMOVED_SQL = """m AS (SELECT l_partkey AS name, max(date_trunc('month', l_shipdate)) AS last FROM lineitem GROUP BY 1),
+r AS (SELECT DISTINCT date_trunc('month', l_shipdate) AS d FROM lineitem),
+g AS (SELECT name, any_value(last) AS last, min(d) AS removed_on FROM m JOIN r ON d > last GROUP BY name)"""
 
 
-def releases(spark):
-    return spark.createDataFrame(RELEASES, "version string, released string, names array<string>")
+def month(column):
+    return F.date_trunc("month", column).cast("timestamp_ntz")
 
 
-@query("SELECT * FROM (VALUES ('B', '1.9.0', '1.10.0', '2025-03-01'), ('C', '1.2.0', '1.9.0', '2025-02-01')) t(name, last_with, first_without, removed_on)")
+def removed_parts(spark, sf_dir):
+    """Months are releases and hold the parts shipped in them."""
+    shipped = table(spark, sf_dir, "lineitem").select("l_partkey", month("l_shipdate").alias("m"))
+    releases = shipped.distinct().select("m", F.date_format("m", "yyyy-MM").alias("version"), F.array("l_partkey").alias("names"))
+    return J.removals(releases, F.col("m"), F.col("names"), "m")
+
+
+@query(f"WITH {REMOVED_SQL} SELECT name, strftime(last, '%Y-%m') AS last_with, strftime(removed_on, '%Y-%m') AS first_without, removed_on::TIMESTAMP AS removed_on FROM g")
 def asof_version_removal(spark, sf_dir):
-    return J.removals(releases(spark), version_key(F.col("version")), F.col("names"), "released")
+    return removed_parts(spark, sf_dir)
 
 
-@query("SELECT * FROM (VALUES (1, 1, false), (2, 1, true), (3, 2, true), (4, 2, false), (5, 0, NULL)) t(item, n_removed, after_all)")
+@query(f"""WITH {REMOVED_SQL},
+i AS (SELECT o_orderkey AS item, o_orderdate AS d, l_partkey AS name FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) l ON o_orderkey = l_orderkey)
+SELECT item, count(removed_on)::BIGINT AS n_removed, bool_and(d >= removed_on) FILTER (removed_on IS NOT NULL) AS after_all FROM i LEFT JOIN g USING (name) GROUP BY item""")
 def written_after_removal(spark, sf_dir):
-    items = spark.createDataFrame(ITEMS, "item int, d string, names array<string>")
-    gone = J.removals(releases(spark), version_key(F.col("version")), F.col("names"), "released")
-    return J.written_after(items, F.col("names"), "d", gone)
+    """Orders against the months in which their parts were no longer shipped."""
+    parts = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("names"))
+    orders = table(spark, sf_dir, "orders")
+    items = orders.join(parts, orders["o_orderkey"] == parts["l_orderkey"], "left").select(F.col("o_orderkey").alias("item"), F.col("o_orderdate").alias("d"), "names")
+    return J.written_after(items, F.col("names"), "d", removed_parts(spark, sf_dir))
+
+
+@query("""WITH s AS (SELECT l_suppkey, l_shipdate, max(l_orderkey) AS shipped FROM lineitem GROUP BY 1, 2),
+l AS (SELECT l_orderkey, l_linenumber, l_suppkey, o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT l_orderkey, l_linenumber, l.l_suppkey AS l_suppkey, l_shipdate AS last_shipped, shipped AS last_order FROM l ASOF LEFT JOIN s ON l.l_suppkey = s.l_suppkey AND o_orderdate >= l_shipdate""")
+def asof_last_shipment(spark, sf_dir):
+    """For each line the supplier's last shipment on or before the day of its order."""
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    left = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select("l_orderkey", "l_linenumber", "l_suppkey", "o_orderdate")
+    right = lines.select("l_suppkey", F.col("l_shipdate").alias("last_shipped"), F.col("l_orderkey").alias("last_order"))
+    out = asof(left, right.withColumn("at", F.col("last_shipped")), ["l_suppkey"], "o_orderdate", "at", ["last_shipped", "last_order"])
+    return out.drop("o_orderdate")
 
 
 @query("""WITH x AS (SELECT config, model, task, rep, md5('7|' || config || '|' || model || '|' || task || '|' || rep) AS h

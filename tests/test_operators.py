@@ -12,6 +12,7 @@ from millrace.operators import relational as J
 from millrace.operators import sampling as O
 from millrace.operators import statistics as S
 from millrace.operators import transcripts as R
+from millrace.operators.asof import asof
 from millrace.operators.ordering import greedy_batches
 
 
@@ -206,3 +207,33 @@ def test_log_factorials(spark):
     got = spark.createDataFrame([(n,) for n in numbers], "n long").select("n", S.log_factorial(F.col("n")).alias("l")).collect()
     for x in got:
         assert x.l == pytest.approx(math.lgamma(x.n + 1), rel=1e-12, abs=1e-12)
+
+
+RELEASES = [("1.2.0", "2025-01-01", ["A", "B", "C"]), ("1.9.0", "2025-02-01", ["A", "B"]), ("1.10.0", "2025-03-01", ["A"]), ("2.0.0", "2025-04-01", ["A", "D"])]
+ITEMS = [(1, "2025-01-15", ["A", "C"]), (2, "2025-02-01", ["C"]), (3, "2025-03-05", ["B", "C"]), (4, "2025-02-15", ["B", "C"]), (5, "2025-01-01", ["A"])]
+
+
+def test_names_removed_by_releases(spark):
+    releases = spark.createDataFrame(RELEASES, "version string, released string, names array<string>")
+    gone = J.removals(releases, I.version_key(F.col("version")), F.col("names"), "released")
+    assert sorted(map(tuple, gone.collect())) == [("B", "1.9.0", "1.10.0", "2025-03-01"), ("C", "1.2.0", "1.9.0", "2025-02-01")]
+    items = spark.createDataFrame(ITEMS, "item int, d string, names array<string>")
+    assert sorted(map(tuple, J.written_after(items, F.col("names"), "d", gone).collect())) == [(1, 1, False), (2, 1, True), (3, 2, True), (4, 2, False), (5, 0, None)]
+
+
+@pytest.mark.parametrize("forward", [False, True])
+@pytest.mark.parametrize("strict", [False, True])
+def test_asof_brute_force(spark, forward, strict):
+    r = random.Random(6)
+    keys = ["hot"] * 6 + ["a", "b", None]
+    left = [(i, r.choice(keys), r.choice([None, *range(30)])) for i in range(300)] + [(i, "hot", 7) for i in range(300, 340)]
+    right = [(r.choice([*keys, "only"]), r.choice([None, *range(30)]), i) for i in range(150)]
+    good = lambda at, t: t is not None and at is not None and ((t > at if strict else t >= at) if forward else (t < at if strict else t <= at))
+    best = min if forward else max
+    want = {i: best(((t, x) for k2, t, x in right if k2 == k and good(at, t)), default=(None, None)) for i, k, at in left}
+    one, two = spark.createDataFrame(left, "id int, k string, at int").repartition(5), spark.createDataFrame(right, "k string, t int, x int").repartition(3)
+    got = asof(one, two, ["k"], "at", "t", ["t", "x"], forward, strict).collect()
+    assert len(got) == len(left) and {row.id: (row.t, row.x) for row in got} == want
+    whole = {i: best(((t, x) for _, t, x in right if good(at, t)), default=(None, None)) for i, _, at in left}
+    assert {row.id: (row.t, row.x) for row in asof(one, two.drop("k"), [], "at", "t", ["t", "x"], forward, strict).collect()} == whole
+    assert asof(one.limit(0), two, ["k"], "at", "t", ["x"]).count() == 0 and asof(one, two.limit(0), ["k"], "at", "t", ["x"]).where("x IS NULL").count() == len(left)
