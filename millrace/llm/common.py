@@ -56,6 +56,26 @@ def stored(df, name):
     return out
 
 
+#: Rows of ids and links that one task handles at once, and that may be broadcast.
+ROWS = 1 << 18
+
+
+def sized(df, rows=None):
+    """A stored frame in as few partitions as its counted rows ask for, so that rounds over few rows are few tasks."""
+    rows = df.count() if rows is None else rows
+    out = df.coalesce(max(1, -(-rows // ROWS)))
+    out._millrace_path, out._millrace_rows = df._millrace_path, rows
+    return out
+
+
+def beside(df, of=None):
+    """A side of a join that is broadcast if it (or the sized frame `of`, which has no fewer rows) holds at most ROWS, and else left to the planner.
+
+    The planner's own estimate of a join's size is the product of its sides.
+    """
+    return F.broadcast(df) if (df if of is None else of)._millrace_rows <= ROWS else df
+
+
 def discard(*frames):
     """Delete stored frames that nothing still to be run reads."""
     for df in frames:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from .common import discard, stored
+from .common import beside, discard, sized, stored
 
 
 def connected_components(links, a="a", b="b", max_rounds=60):
@@ -11,20 +11,20 @@ def connected_components(links, a="a", b="b", max_rounds=60):
     Each round takes the least label among neighbours, then the label of that label;
     labels are stored between rounds. A chain of n links needs about log n rounds.
     """
-    both = stored(links.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(links.select(F.col(b).alias("x"), F.col(a).alias("y"))), "links")
-    labels = stored(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("root")).select(F.col("x").alias("node"), "root"), "labels")
-    before = labels
+    both = sized(stored(links.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(links.select(F.col(b).alias("x"), F.col(a).alias("y"))), "links"))
+    after = sized(stored(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("root")).select(F.col("x").alias("node"), "root"), "labels"))
+    labels = after
     for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy("x").agg(F.min("root").alias("least"))
+        to = beside(labels.withColumnRenamed("node", "y"), after)
+        near = beside(both.join(to, "y").groupBy("x").agg(F.min("root").alias("least")), after)
         better = labels.join(near, labels["node"] == near["x"], "left").select("node", "root", F.least("root", F.coalesce("least", "root")).alias("least"))
-        jump = labels.select(F.col("node").alias("least"), F.col("root").alias("further"))
-        after = stored(better.join(jump, "least", "left").select("node", F.least("least", F.coalesce("further", "least")).alias("next"), "root"), "labels")
+        jump = beside(labels.select(F.col("node").alias("least"), F.col("root").alias("further")), after)
+        before, after = after, sized(stored(better.join(jump, "least", "left").select("node", F.least("least", F.coalesce("further", "least")).alias("next"), "root"), "labels"), after._millrace_rows)
         discard(before)
-        before = after
-        changed = not after.where("next <> root").isEmpty()
         labels = after.select("node", F.col("next").alias("root"))
-        if not changed:
+        if after.where("next <> root").isEmpty():
             discard(both)
+            labels._millrace_rows = after._millrace_rows
             return labels
     raise RuntimeError("components did not settle; links form a chain of extreme length")
 
@@ -32,12 +32,13 @@ def connected_components(links, a="a", b="b", max_rounds=60):
 def tied(groups, links):
     """Groups (node, root) after further links (a, b) between their nodes: only roots that the links tie are looked at again.
 
-    Every end of a link must be a node of `groups`; the least node of a group stays its root.
+    Every end of a link must be a node of `groups`, a sized frame as the result is; the least node of a group stays its root.
     """
-    ends = links.select("a", "b").join(groups.select(F.col("node").alias("a"), F.col("root").alias("x")), "a")
-    ends = ends.join(groups.select(F.col("node").alias("b"), F.col("root").alias("y")), "b").where("x <> y")
-    ends = stored(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "ties")
+    ends = links.select("a", "b").join(beside(groups.select(F.col("node").alias("a"), F.col("root").alias("x")), groups), "a")
+    ends = ends.join(beside(groups.select(F.col("node").alias("b"), F.col("root").alias("y")), groups), "b").where("x <> y")
+    ends = sized(stored(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "ties"))
     if ends.isEmpty():
         return groups
-    roots = connected_components(ends).select(F.col("node").alias("root"), F.col("root").alias("now"))
-    return stored(groups.join(roots, "root", "left").select("node", F.coalesce("now", "root").alias("root")), "groups")
+    found = connected_components(ends)
+    roots = beside(found.select(F.col("node").alias("root"), F.col("root").alias("now")), found)
+    return sized(stored(groups.join(roots, "root", "left").select("node", F.coalesce("now", "root").alias("root")), "groups"), groups._millrace_rows)

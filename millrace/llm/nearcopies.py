@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import ship, stored
+from .common import beside, ship, sized, stored
 from .components import tied
 
 K, KMER_SEED = 5, 71
@@ -164,22 +164,25 @@ def near_groups(docs, id_col="doc_id", text_col="text"):
 
 def alike(pairs, texts):
     """The pairs of nodes whose texts align."""
-    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    pairs = sized(stored(pairs, "pairs"))
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(beside(pairs), "a")
     both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
     found = both.mapInArrow(_verify, f"a {NODE_TYPE}, b {NODE_TYPE}, similarity double")
-    return stored(found.where(F.col("similarity") >= SIMILARITY).select("a", "b"), "near-links")
+    return sized(stored(found.where(F.col("similarity") >= SIMILARITY).select("a", "b"), "near-links"))
 
 
 def grouped(members, groups):
     """Members with the group that they are in by the links so far."""
-    return members.join(groups.withColumnRenamed("root", "group"), "node")
+    out = members.join(beside(groups.withColumnRenamed("root", "group"), groups), "node")
+    out._millrace_rows = members._millrace_rows
+    return out
 
 
 def divided(members, *key):
     """Members of the buckets that hold several groups, each bucket's largest being named."""
     several = members.groupBy(*key, "group").agg(F.count(F.lit(1)).alias("times")).groupBy(*key)
     several = several.agg(F.max_by("group", F.struct("times", "group")).alias("top"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-    return stored(members.join(several.drop("groups"), [*key]), "divided")
+    return sized(stored(members.join(beside(several.drop("groups"), members), [*key]), "divided"))
 
 
 def may_link():
@@ -218,13 +221,13 @@ def by_rare_kmers(members, texts):
     each = held.select("node", F.explode("kmers").alias("kmer"))
     times = each.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     ranked = each.join(times, "kmer").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "kmer"))).alias("met"))
-    sized = ranked.join(members, "node").withColumn("shared", F.size("met").cast("long"))
+    counted = ranked.join(members, "node").withColumn("shared", F.size("met").cast("long"))
     # k-mers of one member alone are its rarest: they fill the first places and meet nobody.
     alone = F.col("size") - F.col("shared")
     places = F.greatest(F.lit(0), F.col("size") - F.ceil(F.col("size") * SIMILARITY - 1e-9) + 1 - alone).cast("int")
-    some = sized.where(F.col("shared") >= F.col("size") * (SIMILARITY - 1e-9))  # who shares too little links with nobody
+    some = counted.where(F.col("shared") >= F.col("size") * (SIMILARITY - 1e-9))  # who shares too little links with nobody
     rare = some.select("node", "size", "shared", alone.alias("alone"), F.posexplode(F.slice("met", F.lit(1), places)).alias("place", "x"))
-    return stored(rare.select("node", "size", "shared", (F.col("alone") + F.col("place")).alias("at"), F.col("x.kmer").alias("kmer")), "rare-kmers")
+    return sized(stored(rare.select("node", "size", "shared", (F.col("alone") + F.col("place")).alias("at"), F.col("x.kmer").alias("kmer")), "rare-kmers"))
 
 
 def _answers(docs, id_col, text_col):
@@ -235,14 +238,18 @@ def _answers(docs, id_col, text_col):
     classes = stored(every.groupBy("h1", "h2").agg(F.min(F.struct("node", "sketches", "size")).alias("m")).select("h1", "h2", "m.*"), "word-classes")
     spread = classes.select("node", "size", F.posexplode("sketches").alias("band", "sketch"))
     buckets = spread.groupBy("band", "sketch").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = stored(spread.join(buckets, ["band", "sketch"]).withColumns({"group": F.col("node"), "shared": F.col("size"), "at": F.lit(0).cast("long")}), "met")
+    met = sized(stored(spread.join(buckets, ["band", "sketch"]).withColumns({"group": F.col("node"), "shared": F.col("size"), "at": F.lit(0).cast("long")}), "met"))
     # From here on only the texts of classes that met others are moved.
-    met_nodes = stored(met.select("node").distinct(), "met-nodes")
+    met_nodes = sized(stored(met.select("node").distinct(), "met-nodes"))
     texts = stored(base.join(met_nodes, "node", "left_semi").groupBy("node").agg(F.first("_text").alias("text")), "met-texts")
 
-    groups = tied(met_nodes.select("node", F.col("node").alias("root")), alike(stars(met, "band", "sketch"), texts))
-    rest = divided(grouped(met.drop("group"), groups), "band", "sketch").select("node", "size").distinct()
-    rare = by_rare_kmers(stored(rest, "rest"), texts)
+    alone = met_nodes.select("node", F.col("node").alias("root"))
+    alone._millrace_rows = met_nodes._millrace_rows
+    groups = tied(alone, alike(stars(met, "band", "sketch"), texts))
+    without_group = met.drop("group")
+    without_group._millrace_rows = met._millrace_rows
+    rest = divided(grouped(without_group, groups), "band", "sketch").select("node", "size").distinct()
+    rare = by_rare_kmers(sized(stored(rest, "rest")), texts)
     for turn in (1, 2):  # each draws as many pairs as there are places, and leaves fewer groups
         groups = tied(groups, alike(stars(divided(grouped(rare, groups), "kmer").drop("top"), "kmer", turn=turn), texts))
     roots = tied(groups, alike(across(divided(grouped(rare, groups), "kmer"), "kmer"), texts))
