@@ -73,7 +73,13 @@ def beside(df, of=None):
 
     The planner's own estimate of a join's size is the product of its sides.
     """
-    return F.broadcast(df) if (df if of is None else of)._millrace_rows <= ROWS else df
+    rows = rows_of(df if of is None else of)
+    return F.broadcast(df) if rows is not None and rows <= ROWS else df
+
+
+def rows_of(df):
+    """How many rows a sized frame has; None for other frames."""
+    return vars(df).get("_millrace_rows")
 
 
 def discard(*frames):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from .common import beside, discard, sized, stored
+from .common import beside, discard, rows_of, sized, stored
 
 
 def connected_components(links, a="a", b="b", max_rounds=60):
@@ -19,7 +19,7 @@ def connected_components(links, a="a", b="b", max_rounds=60):
         near = beside(both.join(to, "y").groupBy("x").agg(F.min("root").alias("least")), after)
         better = labels.join(near, labels["node"] == near["x"], "left").select("node", "root", F.least("root", F.coalesce("least", "root")).alias("least"))
         jump = beside(labels.select(F.col("node").alias("least"), F.col("root").alias("further")), after)
-        before, after = after, sized(stored(better.join(jump, "least", "left").select("node", F.least("least", F.coalesce("further", "least")).alias("next"), "root"), "labels"), after._millrace_rows)
+        before, after = after, sized(stored(better.join(jump, "least", "left").select("node", F.least("least", F.coalesce("further", "least")).alias("next"), "root"), "labels"), rows_of(after))
         discard(before)
         labels = after.select("node", F.col("next").alias("root"))
         if after.where("next <> root").isEmpty():
@@ -32,7 +32,7 @@ def connected_components(links, a="a", b="b", max_rounds=60):
 def tied(groups, links):
     """Groups (node, root) after further links (a, b) between their nodes: only roots that the links tie are looked at again.
 
-    Every end of a link must be a node of `groups`, a sized frame as the result is; the least node of a group stays its root.
+    Every end of a link must be a node of `groups`, best a sized frame, as the result is; the least node of a group stays its root.
     """
     ends = links.select("a", "b").join(beside(groups.select(F.col("node").alias("a"), F.col("root").alias("x")), groups), "a")
     ends = ends.join(beside(groups.select(F.col("node").alias("b"), F.col("root").alias("y")), groups), "b").where("x <> y")
@@ -41,4 +41,4 @@ def tied(groups, links):
         return groups
     found = connected_components(ends)
     roots = beside(found.select(F.col("node").alias("root"), F.col("root").alias("now")), found)
-    return sized(stored(groups.join(roots, "root", "left").select("node", F.coalesce("now", "root").alias("root")), "groups"), groups._millrace_rows)
+    return sized(stored(groups.join(roots, "root", "left").select("node", F.coalesce("now", "root").alias("root")), "groups"), rows_of(groups))

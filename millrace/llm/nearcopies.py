@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import beside, ship, sized, stored
+from .common import beside, rows_of, ship, sized, stored
 from .components import tied
 
 K, KMER_SEED = 5, 71
@@ -174,7 +174,7 @@ def alike(pairs, texts):
 def grouped(members, groups):
     """Members with the group that they are in by the links so far."""
     out = members.join(beside(groups.withColumnRenamed("root", "group"), groups), "node")
-    out._millrace_rows = members._millrace_rows
+    out._millrace_rows = rows_of(members)
     return out
 
 
@@ -244,10 +244,10 @@ def _answers(docs, id_col, text_col):
     texts = stored(base.join(met_nodes, "node", "left_semi").groupBy("node").agg(F.first("_text").alias("text")), "met-texts")
 
     alone = met_nodes.select("node", F.col("node").alias("root"))
-    alone._millrace_rows = met_nodes._millrace_rows
+    alone._millrace_rows = rows_of(met_nodes)
     groups = tied(alone, alike(stars(met, "band", "sketch"), texts))
     without_group = met.drop("group")
-    without_group._millrace_rows = met._millrace_rows
+    without_group._millrace_rows = rows_of(met)
     rest = divided(grouped(without_group, groups), "band", "sketch").select("node", "size").distinct()
     rare = by_rare_kmers(sized(stored(rest, "rest")), texts)
     for turn in (1, 2):  # each draws as many pairs as there are places, and leaves fewer groups
