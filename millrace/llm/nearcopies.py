@@ -166,7 +166,8 @@ def alike(pairs, texts):
     """The pairs of nodes whose texts align."""
     pairs = sized(stored(pairs, "pairs"))
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(beside(pairs), "a")
-    both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    asked = texts.join(beside(pairs.select(F.col("b").alias("node")), pairs), "node", "left_semi")  # few texts are moved
+    both = left.join(asked.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
     found = both.mapInArrow(_verify, f"a {NODE_TYPE}, b {NODE_TYPE}, similarity double")
     return sized(stored(found.where(F.col("similarity") >= SIMILARITY).select("a", "b"), "near-links"))
 
@@ -199,20 +200,23 @@ def may_link():
 
 def pairs(members, others, *key):
     other = others.select(*key, *(F.col(c).alias(f"{c}_b") for c in ("node", "size", "shared", "group", "at")))
-    met = members.join(other, [*key]).where(may_link())
+    met = members.join(beside(other, members), [*key]).where(may_link())
     return met.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
 
 
 def across(members, *key):
     """Pairs of one bucket and different groups; members of its largest group are no first of a pair."""
-    return pairs(members.where(F.col("group") != F.col("top")), members, *key)
+    some = members.where(F.col("group") != F.col("top"))
+    some._millrace_rows = rows_of(members)
+    return pairs(some, members, *key)
 
 
 def stars(members, *key, turn=0):
-    """Each member with one of its bucket: its first, or in later turns one drawn by hash, so that every bucket asks another."""
+    """Each member of the buckets that hold several groups with one of its bucket: its first, or in later turns one drawn by hash, so that every bucket asks another."""
     drawn = F.xxhash64(F.lit(turn), *key, "node") if turn else F.lit(0).cast("long")
     least = F.min(F.struct(drawn.alias("drawn"), "node", "size", "shared", "group", "at")).alias("x")
-    return pairs(members, members.groupBy(*key).agg(least).select(*key, "x.*"), *key)
+    first = members.groupBy(*key).agg(least, F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high")
+    return pairs(members, first.select(*key, "x.*"), *key)
 
 
 def by_rare_kmers(members, texts):
@@ -248,10 +252,12 @@ def _answers(docs, id_col, text_col):
     groups = tied(alone, alike(stars(met, "band", "sketch"), texts))
     without_group = met.drop("group")
     without_group._millrace_rows = rows_of(met)
-    rest = divided(grouped(without_group, groups), "band", "sketch").select("node", "size").distinct()
+    now = grouped(without_group, groups)
+    several = now.groupBy("band", "sketch").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("band", "sketch")
+    rest = now.join(beside(several, now), ["band", "sketch"], "left_semi").select("node", "size").distinct()
     rare = by_rare_kmers(sized(stored(rest, "rest")), texts)
     for turn in (1, 2):  # each draws as many pairs as there are places, and leaves fewer groups
-        groups = tied(groups, alike(stars(divided(grouped(rare, groups), "kmer").drop("top"), "kmer", turn=turn), texts))
+        groups = tied(groups, alike(stars(grouped(rare, groups), "kmer", turn=turn), texts))
     roots = tied(groups, alike(across(divided(grouped(rare, groups), "kmer"), "kmer"), texts))
     known = stored(
         classes.select("h1", "h2", "node").join(roots, "node", "left")
