@@ -27,11 +27,13 @@ def script_of(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.script(F.col("text")).alias("script"))
 
 
-@query(r"""SELECT doc_id, length(text)::INT AS chars, len(regexp_extract_all(text, '\S+'))::INT AS words, length(text) - length(replace(text, '!', '')) AS exclamations,
-(len(regexp_extract_all(text, '\*\*')) // 2)::INT AS bold, len(regexp_extract_all(text, '\b(NEVER|MUST|ALWAYS|IMPORTANT|CRITICAL|DO NOT|REQUIRED|MANDATORY|WARNING|NOTE|ONLY)\b'))::INT AS emphasis FROM documents""")
+@query(rf"""SELECT doc_id, length(text)::INT AS chars, len(regexp_extract_all(text, '\S+'))::INT AS words, length(text) - length(replace(text, '!', '')) AS exclamations,
+(len(regexp_extract_all(text, '\*\*')) // 2)::INT AS bold, len(regexp_extract_all(text, '\b(NEVER|MUST|ALWAYS|IMPORTANT|CRITICAL|DO NOT|REQUIRED|MANDATORY|WARNING|NOTE|ONLY)\b'))::INT AS emphasis,
+len(regexp_extract_all(text, {lit(X.HYPE)}))::INT AS hype, regexp_matches(substr(text, 1, 400), {lit(X.PERSONA)}) AS persona, regexp_matches(text, {lit(X.READ_ONLY)}) AS read_only,
+regexp_matches(text, '(?i)<example>|\bexamples?:') AS examples, regexp_matches(text, '(?i)\bproactive(ly)?\b') AS proactive FROM documents""")
 def text_features(spark, sf_dir):
     f = table(spark, sf_dir, "documents").select("doc_id", X.text_features(F.col("text")).alias("f"))
-    return f.select("doc_id", "f.chars", "f.words", "f.exclamations", "f.bold", "f.emphasis")
+    return f.select("doc_id", "f.*")
 
 
 SENTENCES = {

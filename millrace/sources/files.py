@@ -1,6 +1,7 @@
 """Readers and writers: JSON Lines, Markdown with frontmatter, YAML and JSON settings, reports, resumable sinks."""
 
 import json
+import uuid
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -198,6 +199,53 @@ def write_csv(df, path):
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+CURRENT = "current"  # no hidden name, as Spark reads it
+
+
+def replace_table(df, path):
+    """Replace a table whole: readers see the old one or the new one, never a part.
+
+    Rows go to a folder of their own; only when all are there is the file that names the
+    folder in force renamed into place, in one step of the file system. A writer that fails
+    before changes nothing, and a table may be read while it is replaced. Older versions
+    stay for readers that have begun; see `drop_versions`.
+    """
+    spark = df.sparkSession
+    version = f"version={uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    draft = at(f"{CURRENT}-{uuid.uuid4().hex}")
+    out = draft.getFileSystem(conf).create(draft, False)
+    try:
+        out.write(bytearray(version.encode()))
+    finally:
+        out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.getFileSystem(conf).getUri(), conf).rename(draft, at(CURRENT), options)
+    return version
+
+
+def version_in_force(spark, path):
+    return spark.read.text(f"{path}/{CURRENT}").first()["value"]
+
+
+def read_replaced(spark, path):
+    """The version of a table that is in force now; it stays the same for whoever has read its name."""
+    return spark.read.parquet(f"{path}/{version_in_force(spark, path)}")
+
+
+def drop_versions(spark, path):
+    """Delete all versions but the one in force, once nobody reads or writes the others."""
+    kept, folder = version_in_force(spark, path), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in files.listStatus(folder):
+        name = status.getPath().getName()
+        if name not in (kept, CURRENT) and name.startswith(("version=", f"{CURRENT}-")):
+            files.delete(status.getPath(), True)
+
+
 def write_batches(df, path, size, *order):
     """Rows in fixed batches, a folder per batch."""
     fixed_batches(df, size, *order).write.mode("overwrite").partitionBy("batch").json(path)

@@ -165,3 +165,19 @@ def test_json_documents_over_lines(spark, tmp_path):
     (tmp_path / "b.json").write_text('[{"n": 2},\n {"n": 3, "tags": []}]')
     rows = read_json_documents(spark, str(tmp_path), "n long, tags array<string>").collect()
     assert sorted((r.n, r.tags) for r in rows) == [(1, ["x", "y"]), (2, None), (3, [])]
+
+
+def test_a_table_is_replaced_whole(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    rows = lambda: sorted(r.k for r in S.read_replaced(spark, path).collect())
+    S.replace_table(spark.range(5).select(F.col("id").alias("k")), path)
+    before = S.read_replaced(spark, path)
+    half = spark.range(0, 100, 1, 4).select(F.when(F.col("id") < 90, F.col("id")).otherwise(F.raise_error(F.lit("lost")).cast("long")).alias("k"))
+    with pytest.raises(Exception, match="lost"):
+        S.replace_table(half, path)
+    assert rows() == list(range(5)) and len(list((tmp_path / "t").glob("version=*"))) == 2  # the torn version is there, but not in force
+    S.replace_table(S.read_replaced(spark, path).select((F.col("k") + 10).alias("k")), path)  # from itself
+    assert rows() == list(range(10, 15)) and sorted(r.k for r in before.collect()) == list(range(5))
+    S.drop_versions(spark, path)
+    assert rows() == list(range(10, 15)) and len(list((tmp_path / "t").glob("version=*"))) == 1
+    assert not list((tmp_path / "t").glob("current-*"))
