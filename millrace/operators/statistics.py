@@ -58,6 +58,45 @@ def spearman(df, x, y):
     return ranked.agg(F.count(F.lit(1)).alias("n"), rho.alias("rho"))
 
 
+#: Ranges that a selection looks at in a round, and rows of a range that are sorted at last.
+RANGES, SORTED = 1024, 1 << 16
+
+
+def at_place(df, value, place, ranges=RANGES, most=SORTED):
+    """The value at a place, from 0, of a numeric column in ascending order, exactly; None beyond the rows. NULL and NaN are left out.
+
+    A round counts the rows in equal ranges between the least and the greatest value that
+    are left, and goes on in the range that holds the place, from its own least to its own
+    greatest value. It ends where these are one, or where so few rows are left that one
+    task sorts them; no task sorts more, and no more than the ranges' counts are gathered.
+    """
+    rows = df.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    left = rows.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).first()
+    if not 0 <= place < left["n"]:
+        return None
+    while left["low"] < left["high"]:
+        inside = rows.where(F.col("v").between(left["low"], left["high"]))
+        if left["n"] <= most:
+            return inside.agg(F.sort_array(F.collect_list("v"))[place].alias("x")).first()["x"]
+        # Halves keep the width of the widest columns finite.
+        share = (F.col("v") / 2 - left["low"] / 2) / (left["high"] / 2 - left["low"] / 2)
+        cell = F.least(F.floor(share * ranges), F.lit(ranges - 1))
+        cells = inside.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+        for left in sorted(cells, key=lambda r: r["low"]):
+            if place < left["n"]:
+                break
+            place -= left["n"]
+    return left["low"]
+
+
+def medians(df, value, ranges=RANGES, most=SORTED):
+    """One row: n, the median (between two middle values their mean) and the upper median (the greater of them); NULL without rows."""
+    n = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).count()
+    upper = at_place(df, value, n // 2, ranges, most) if n else None
+    lower = upper if n % 2 else at_place(df, value, n // 2 - 1, ranges, most) if n else None
+    return df.sparkSession.createDataFrame([(n, (lower + upper) / 2 if n else None, upper)], "n long, median double, upper_median double")
+
+
 def log_factorial(n):
     """ln n!: exact up to 20, beyond that Stirling's series, good to twelve places."""
     x = n.cast("double")

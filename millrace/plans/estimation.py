@@ -118,6 +118,12 @@ def spearman_qty_price(spark, sf_dir):
     return rounded(S.spearman(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice"), "rho")
 
 
+@query("""WITH r AS (SELECT l_extendedprice AS x, row_number() OVER (ORDER BY l_extendedprice) AS k, count(*) OVER () AS n FROM lineitem)
+SELECT count(*) AS n, round(median(x), 6) AS median, round(max(CASE WHEN k = n // 2 + 1 THEN x END), 6) AS upper_median FROM r""")
+def median_prices(spark, sf_dir):
+    return rounded(S.medians(table(spark, sf_dir, "lineitem"), "l_extendedprice"), "median", "upper_median", places=6)
+
+
 WILSON_SQL = """greatest(0, (k / n + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt(k / n * (1 - k / n) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n))"""
 
 

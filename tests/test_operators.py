@@ -237,3 +237,16 @@ def test_asof_brute_force(spark, forward, strict):
     whole = {i: best(((t, x) for _, t, x in right if good(at, t)), default=(None, None)) for i, _, at in left}
     assert {row.id: (row.t, row.x) for row in asof(one, two.drop("k"), [], "at", "t", ["t", "x"], forward, strict).collect()} == whole
     assert asof(one.limit(0), two, ["k"], "at", "t", ["x"]).count() == 0 and asof(one, two.limit(0), ["k"], "at", "t", ["x"]).where("x IS NULL").count() == len(left)
+
+
+@pytest.mark.parametrize(("ranges", "most"), [(1024, 1 << 16), (4, 3), (7, 0)])
+def test_selection_by_ranges(spark, ranges, most):
+    r = random.Random(8)
+    for values in ([r.choice([-1e300, 1e300, 0.0, 1.5, *[r.gauss(0, 1)] * 3]) for _ in range(101)], [2.0] * 9, [1.0, 2.0], [5.0]):
+        df = spark.createDataFrame([(v,) for v in [*values, None, math.nan]], "v double")
+        ordered = sorted(values)
+        places = sorted({0, len(values) // 3, len(values) - 1})
+        assert [S.at_place(df, "v", k, ranges, most) for k in places] == [ordered[k] for k in places] and S.at_place(df, "v", len(values)) is None
+        got, n = S.medians(df, "v", ranges, most).first(), len(values)
+        assert (got.n, got.upper_median, got.median) == (n, ordered[n // 2], (ordered[n // 2] + ordered[(n - 1) // 2]) / 2)
+    assert tuple(S.medians(df.limit(0), "v").first()) == (0, None, None)
