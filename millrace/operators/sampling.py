@@ -1,5 +1,7 @@
 """Deterministic samples, splits, schedules and batches, all by the order of a keyed hash."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -17,19 +19,79 @@ def simple_sample(df, id_col, k, seed=0):
     return df.orderBy(order_key(seed, id_col), id_col).limit(k)
 
 
+#: Rows that a task holds before it gives out what it has so far.
+HELD = 1 << 17
+
+
+def _kept(table, stratum, id_col, want, before=(None, 0)):
+    """Rows of a sorted table that are among the first `want` of their stratum; `before` is the open stratum and its rows so far."""
+    codes = table.column(stratum).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    n = len(codes)
+    starts = np.concatenate(([0], np.flatnonzero(codes[1:] != codes[:-1]) + 1))
+    rank = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
+    first = table.column(stratum)[0].as_py()
+    if before[1] and first == before[0]:
+        rank[: starts[1] if len(starts) > 1 else n] += before[1]
+    wanted = table.column("_want").to_numpy() if want is None else want
+    return table.filter(pa.array(rank < wanted)), (table.column(stratum)[n - 1].as_py(), int(rank[-1]) + 1)
+
+
+def _least(stratum, id_col, want):
+    """Keep each stratum's least rows of what a task has read."""
+    order = [(c, "ascending") for c in (stratum, "_key", id_col)]
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = pa.concat_tables([held, pa.Table.from_batches([batch])]) if held is not None else pa.Table.from_batches([batch])
+            held = _kept(held.sort_by(order), stratum, id_col, want)[0]
+            if held.num_rows > HELD:
+                yield from held.to_batches()
+                held = None
+        if held is not None:
+            yield from held.to_batches()
+
+    return run
+
+
+def _first(stratum, id_col, want):
+    """The first rows of each stratum, of rows that come in order."""
+
+    def run(batches):
+        before = (None, 0)
+        for batch in batches:
+            if batch.num_rows:
+                out, before = _kept(pa.Table.from_batches([batch]), stratum, id_col, want, before)
+                yield from out.to_batches()
+
+    return run
+
+
 def per_stratum(df, stratum, id_col, k, seed=0):
-    """At most k rows of each stratum; k is a number or a column."""
-    w = Window.partitionBy(stratum).orderBy(order_key(seed, id_col), id_col)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
+    """At most k rows of each stratum, those of least keyed hash, equal ones by id; k is a number, or a column that is one within a stratum.
+
+    Tasks keep the least rows of what they read, so only these are shuffled: first by
+    stratum and a part of the hash, then by stratum alone. A task holds a bounded number
+    of rows; a NULL stratum is one.
+    """
+    fixed = k if isinstance(k, int) else None
+    keyed = df.withColumns({"_key": order_key(seed, id_col), "_want": F.lit(k) if fixed is not None else k})
+    least = keyed.mapInArrow(_least(stratum, id_col, fixed), keyed.schema)
+    fewer = least.repartition(stratum, F.substring("_key", 1, 1)).mapInArrow(_least(stratum, id_col, fixed), keyed.schema)
+    ordered = fewer.repartition(stratum).sortWithinPartitions(stratum, "_key", id_col)
+    return ordered.mapInArrow(_first(stratum, id_col, fixed), keyed.schema).drop("_key", "_want")
 
 
 def quota_sample(df, stratum, id_col, quotas, seed=0):
     """Exactly the quota of each stratum; a stratum that is short is an error when the rows are read."""
     want = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv]), F.col(stratum)), F.lit(0))
-    sized = df.withColumn("_want", want).withColumn("_have", F.count(F.lit(1)).over(Window.partitionBy(stratum)))
+    counts = df.groupBy(F.col(stratum).alias("_of")).agg(F.count(F.lit(1)).alias("_have"))
     short = F.raise_error(F.concat(F.lit("stratum too small: "), F.col(stratum).cast("string")))
-    checked = sized.where(F.col("_want") > 0).withColumn("_want", F.when(F.col("_have") >= F.col("_want"), F.col("_want")).otherwise(short.cast("int")))
-    return per_stratum(checked, stratum, id_col, F.col("_want"), seed).drop("_want", "_have")
+    sized = df.withColumn("_quota", want).where(F.col("_quota") > 0).join(counts, F.col(stratum).eqNullSafe(F.col("_of")))
+    checked = sized.withColumn("_quota", F.when(F.col("_have") >= F.col("_quota"), F.col("_quota")).otherwise(short.cast("int")))
+    return per_stratum(checked, stratum, id_col, F.col("_quota"), seed).drop("_quota", "_have", "_of")
 
 
 def one_per_cluster(df, cluster, id_col, seed=0, where=None):

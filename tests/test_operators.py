@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -250,3 +251,29 @@ def test_selection_by_ranges(spark, ranges, most):
         got, n = S.medians(df, "v", ranges, most).first(), len(values)
         assert (got.n, got.upper_median, got.median) == (n, ordered[n // 2], (ordered[n // 2] + ordered[(n - 1) // 2]) / 2)
     assert tuple(S.medians(df.limit(0), "v").first()) == (0, None, None)
+
+
+@pytest.mark.parametrize("held", [1 << 17, 3])
+def test_strata_without_a_window(spark, held, monkeypatch):
+    monkeypatch.setattr(O, "HELD", held)
+    r = random.Random(5)
+    rows = [(i, r.choice(["hot"] * 8 + ["a", None]), i % 3 == 0) for i in range(400)] + [(7, "hot", True)] * 5
+    df = spark.createDataFrame(rows, "id int, g string, ok boolean").repartition(6)
+    key = lambda i: hashlib.md5(f"9|{i}".encode()).hexdigest()
+    some = O.per_stratum(df, "g", "id", 4, 9)
+    assert "Window" not in some._jdf.queryExecution().executedPlan().toString()
+    want = {g: sorted((key(i), i) for i, g2, _ in rows if g2 == g)[:4] for g in ("hot", "a", None)}
+    assert sorted(((x.g, x.id) for x in some.collect()), key=repr) == sorted(((g, i) for g, x in want.items() for _, i in x), key=repr)
+    one = O.one_per_cluster(df, "g", "id", 9, F.col("ok")).collect()
+    assert {x.g: x.id for x in one} == {g: min((key(i), i) for i, g2, ok in rows if g2 == g and ok)[1] for g in ("hot", "a", None)}
+    assert len(O.quota_sample(df, "g", "id", {"hot": 30, "a": 2}, 9).collect()) == 32
+    with pytest.raises(Exception, match="stratum too small: a"):
+        O.quota_sample(df, "g", "id", {"a": 4000}, 9).collect()
+
+
+def test_two_raters_differ_by_the_noise(spark):
+    df = spark.range(3000).select("id", F.element_at(F.array(F.lit("x"), F.lit("y"), F.lit("z")), (F.col("id") % 3 + 1).cast("int")).alias("label"))
+    exact, noisy = O.two_raters(df, "id", "label", ["x", "y", "z"], 0.0, 1), O.two_raters(df, "id", "label", ["x", "y", "z"], 0.3, 1)
+    assert exact.where("label <> second").count() == 0
+    assert 0.12 < noisy.where("label <> second").count() / 3000 < 0.3 and noisy.where("second NOT IN ('x', 'y', 'z')").count() == 0
+    assert sorted(map(tuple, noisy.collect())) == sorted(map(tuple, O.two_raters(df.repartition(7), "id", "label", ["x", "y", "z"], 0.3, 1).collect()))
