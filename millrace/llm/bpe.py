@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .common import ship
+from .worker import held, lean
 
 #: White space of the Unicode standard, as the pre-split pattern understands it.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -38,6 +39,8 @@ ODD = re.compile("[\x1c-\x1f]")
 SLOTS, IN_STEP = 1 << 20, 48
 #: Bytes of encoded runs that a worker keeps in a generation; it holds two.
 KEPT_BYTES = 12 << 20
+#: Bytes of text whose runs are Python objects at a time.
+SLICE_BYTES = 1 << 19
 
 
 def byte_symbols():
@@ -329,23 +332,16 @@ class Tokenizer:
         return " ".join(map(self.labels.__getitem__, ids))
 
 
-_MADE = {}
-
-
 def tokenizer(text):
-    """The compiled tokenizer of a vocabulary, once per process."""
-    key = hash(text)
-    if key not in _MADE:
-        _MADE.clear()
-        _MADE[key] = Tokenizer(text)
-    return _MADE[key]
+    """The compiled tokenizer of a vocabulary, once per process while no other operator runs there."""
+    return held(("bpe", hash(text)), lambda: Tokenizer(text))
 
 
 def _encode(vocabulary):
     def run(batches):
         made = tokenizer(vocabulary)
         for batch in batches:
-            for part in W.slices(batch, "_text"):
+            for part in W.slices(batch, "_text", SLICE_BYTES):
                 runs = [made.split(t) for t in part.column("_text").to_pylist()]
                 made.learn(itertools.chain.from_iterable(runs))
                 of = [[made.young[r] for r in rs] for rs in runs]
@@ -374,4 +370,4 @@ def encode_texts(docs, vocabulary_path, id_col="doc_id", text_col="text"):
     with open(vocabulary_path, encoding="utf-8") as file:
         vocabulary = file.read()
     base = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return base.mapInArrow(_encode(vocabulary), "doc_id long, ids array<int>, decoded string")
+    return base.mapInArrow(lean(_encode(vocabulary), keep=True), "doc_id long, ids array<int>, decoded string")

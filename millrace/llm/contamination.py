@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .common import row_key, ship
+from .worker import lean
 
 SEED_WORDS, SEED_MIX = 2, 59
 #: Test items held by a worker at a time; more are taken in turns.
@@ -183,7 +184,7 @@ def slices_of(docs, benchmark, text_col, item_id, item_text):
         rows = tests.where(F.pmod(F.xxhash64("i"), F.lit(n_slices)) == k).orderBy("i", "t").collect()
         items = Items([r["i"] for r in rows], [r["t"] for r in rows])
         counts = np.zeros(len(items.grams), np.int64)
-        for row in base.mapInArrow(_count(items.grams), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+        for row in base.mapInArrow(lean(_count(items.grams)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
             counts[row["gram"]] = row["n"]
         yield items, items.seeds(counts)
 
@@ -202,7 +203,7 @@ def contaminated(docs, benchmark, id_col="doc_id", text_col="text", item_id="ite
     ship(spark)
     base = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), *row_key(F.col(id_col).cast("long"), F.col(text_col).cast("string")))
     schema = "doc_id long, k1 long, k2 long, items array<long>, score double"
-    parts = [base.mapInArrow(_match(items, seeds), schema) for items, seeds in slices_of(docs, benchmark, text_col, item_id, item_text)]
+    parts = [base.mapInArrow(lean(_match(items, seeds)), schema) for items, seeds in slices_of(docs, benchmark, text_col, item_id, item_text)]
     out = parts[0]
     if len(parts) > 1:
         # Each slice's finds by row, joined to the rows: few documents copy anything, and rows that repeat an id stay apart.
@@ -233,5 +234,5 @@ def drop_contaminated(docs, benchmark, text_col="text", item_id="item_id", item_
     ship(docs.sparkSession)
     out = docs
     for items, seeds in slices_of(docs, benchmark, text_col, item_id, item_text):
-        out = out.mapInArrow(_drop(text_col, items, seeds), docs.schema)
+        out = out.mapInArrow(lean(_drop(text_col, items, seeds)), docs.schema)
     return out

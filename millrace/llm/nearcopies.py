@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from . import words as W
 from .common import beside, rows_of, ship, sized, stored
 from .components import tied
+from .worker import lean
 
 K, KMER_SEED = 5, 71
 SKETCHES, TAKEN = 20, 3
@@ -168,7 +169,7 @@ def alike(pairs, texts):
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(beside(pairs), "a")
     asked = texts.join(beside(pairs.select(F.col("b").alias("node")), pairs), "node", "left_semi")  # few texts are moved
     both = left.join(asked.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    found = both.mapInArrow(_verify, f"a {NODE_TYPE}, b {NODE_TYPE}, similarity double")
+    found = both.mapInArrow(lean(_verify), f"a {NODE_TYPE}, b {NODE_TYPE}, similarity double")
     return sized(stored(found.where(F.col("similarity") >= SIMILARITY).select("a", "b"), "near-links"))
 
 
@@ -221,7 +222,7 @@ def stars(members, *key, turn=0):
 
 def by_rare_kmers(members, texts):
     """A bucket for every k-mer among the rarest fifth of a member's that another member has too, and how many it shares in all."""
-    held = stored(texts.join(members.select("node"), "node", "left_semi").mapInArrow(_kmers, f"node {NODE_TYPE}, kmers array<long>"), "kmers")
+    held = stored(texts.join(members.select("node"), "node", "left_semi").mapInArrow(lean(_kmers), f"node {NODE_TYPE}, kmers array<long>"), "kmers")
     each = held.select("node", F.explode("kmers").alias("kmer"))
     times = each.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     ranked = each.join(times, "kmer").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "kmer"))).alias("met"))
@@ -238,7 +239,7 @@ def _answers(docs, id_col, text_col):
     spark = docs.sparkSession
     ship(spark)
     base = docs.select(node_of(id_col, text_col).alias("node"), F.col(text_col).cast("string").alias("_text")).where("node.id IS NOT NULL")
-    every = stored(base.mapInArrow(_sketch, f"node {NODE_TYPE}, h1 long, h2 long, size long, sketches array<long>"), "sketches")
+    every = stored(base.mapInArrow(lean(_sketch), f"node {NODE_TYPE}, h1 long, h2 long, size long, sketches array<long>"), "sketches")
     classes = stored(every.groupBy("h1", "h2").agg(F.min(F.struct("node", "sketches", "size")).alias("m")).select("h1", "h2", "m.*"), "word-classes")
     spread = classes.select("node", "size", F.posexplode("sketches").alias("band", "sketch"))
     buckets = spread.groupBy("band", "sketch").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

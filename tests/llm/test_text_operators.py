@@ -5,11 +5,13 @@ import hashlib
 import random
 import re
 import time
+import weakref
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, components, contamination, exact, lines, nearcopies, quality, substrings, suffixes, surrogates, toxicity
+from millrace.llm import bpe, components, contamination, exact, lines, nearcopies, quality, substrings, suffixes, surrogates, toxicity, worker
 from millrace.llm.labelled import with_split
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -367,6 +369,21 @@ def test_bpe_keeps_runs_in_use(monkeypatch):
 LABELLED = ["zonker", "klutzo", "blorfing", "blorfed", "blorfs", "blorfest"]
 
 
+def test_workers_keep_the_tables_of_one_operator():
+    """The next operator of a pipeline does not find its workers full of the last one's tables."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        vocabulary = file.read()
+    made = bpe.tokenizer(vocabulary)
+    assert bpe.tokenizer(vocabulary) is made
+    kept = weakref.ref(made)
+    del made
+    batch = pa.RecordBatch.from_pydict({"node": [1], "_text": ["one two three four five six"]})
+    assert sum(x.num_rows for x in worker.lean(nearcopies._sketch)(iter([batch]))) == 1
+    assert kept() is None
+
+
 def test_toxicity_learns_and_frames(spark):
     r = random.Random(11)
     docs, labels = [], []
