@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import beside, rows_of, ship, sized, stored
+from .common import among, beside, rows_of, ship, sized, stored
 from .components import tied
 from .worker import lean
 
@@ -167,7 +167,7 @@ def alike(pairs, texts):
     """The pairs of nodes whose texts align."""
     pairs = sized(stored(pairs, "pairs"))
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(beside(pairs), "a")
-    asked = texts.join(beside(pairs.select(F.col("b").alias("node")), pairs), "node", "left_semi")  # few texts are moved
+    asked = among(texts, pairs.select(F.col("b").alias("node")), rows_of(pairs))  # few texts are moved
     both = left.join(asked.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
     found = both.mapInArrow(lean(_verify), f"a {NODE_TYPE}, b {NODE_TYPE}, similarity double")
     return sized(stored(found.where(F.col("similarity") >= SIMILARITY).select("a", "b"), "near-links"))
@@ -184,7 +184,7 @@ def divided(members, *key):
     """Members of the buckets that hold several groups, each bucket's largest being named."""
     several = members.groupBy(*key, "group").agg(F.count(F.lit(1)).alias("times")).groupBy(*key)
     several = several.agg(F.max_by("group", F.struct("times", "group")).alias("top"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-    return sized(stored(members.join(beside(several.drop("groups"), members), [*key]), "divided"))
+    return sized(stored(members.join(several.drop("groups"), [*key]), "divided"))
 
 
 def may_link():
@@ -201,15 +201,13 @@ def may_link():
 
 def pairs(members, others, *key):
     other = others.select(*key, *(F.col(c).alias(f"{c}_b") for c in ("node", "size", "shared", "group", "at")))
-    met = members.join(beside(other, members), [*key]).where(may_link())
+    met = members.join(other, [*key]).where(may_link())  # both sides grow with the buckets: dealt out by key at any size
     return met.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
 
 
 def across(members, *key):
     """Pairs of one bucket and different groups; members of its largest group are no first of a pair."""
-    some = members.where(F.col("group") != F.col("top"))
-    some._millrace_rows = rows_of(members)
-    return pairs(some, members, *key)
+    return pairs(members.where(F.col("group") != F.col("top")), members, *key)
 
 
 def stars(members, *key, turn=0):
@@ -222,7 +220,7 @@ def stars(members, *key, turn=0):
 
 def by_rare_kmers(members, texts):
     """A bucket for every k-mer among the rarest fifth of a member's that another member has too, and how many it shares in all."""
-    held = stored(texts.join(members.select("node"), "node", "left_semi").mapInArrow(lean(_kmers), f"node {NODE_TYPE}, kmers array<long>"), "kmers")
+    held = stored(among(texts, members.select("node"), rows_of(members)).mapInArrow(lean(_kmers), f"node {NODE_TYPE}, kmers array<long>"), "kmers")
     each = held.select("node", F.explode("kmers").alias("kmer"))
     times = each.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     ranked = each.join(times, "kmer").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "kmer"))).alias("met"))
@@ -246,7 +244,7 @@ def _answers(docs, id_col, text_col):
     met = sized(stored(spread.join(buckets, ["band", "sketch"]).withColumns({"group": F.col("node"), "shared": F.col("size"), "at": F.lit(0).cast("long")}), "met"))
     # From here on only the texts of classes that met others are moved.
     met_nodes = sized(stored(met.select("node").distinct(), "met-nodes"))
-    texts = stored(base.join(met_nodes, "node", "left_semi").groupBy("node").agg(F.first("_text").alias("text")), "met-texts")
+    texts = stored(among(base, met_nodes, rows_of(met_nodes)).groupBy("node").agg(F.first("_text").alias("text")), "met-texts")
 
     alone = met_nodes.select("node", F.col("node").alias("root"))
     alone._millrace_rows = rows_of(met_nodes)
@@ -255,7 +253,7 @@ def _answers(docs, id_col, text_col):
     without_group._millrace_rows = rows_of(met)
     now = grouped(without_group, groups)
     several = now.groupBy("band", "sketch").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("band", "sketch")
-    rest = now.join(beside(several, now), ["band", "sketch"], "left_semi").select("node", "size").distinct()
+    rest = now.join(several, ["band", "sketch"], "left_semi").select("node", "size").distinct()
     rare = by_rare_kmers(sized(stored(rest, "rest")), texts)
     for turn in (1, 2):  # each draws as many pairs as there are places, and leaves fewer groups
         groups = tied(groups, alike(stars(grouped(rare, groups), "kmer", turn=turn), texts))

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, components, contamination, exact, lines, nearcopies, quality, substrings, suffixes, surrogates, toxicity, worker
+from millrace.llm import bpe, common, components, contamination, exact, lines, nearcopies, quality, substrings, suffixes, surrogates, toxicity, worker
 from millrace.llm.labelled import with_split
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -221,6 +221,24 @@ def test_near_dedup_of_a_large_family(spark):
     assert got == want and 10 < len({want[i] for i in range(120)}) < 120
 
 
+def test_rows_among_many_nodes(spark, monkeypatch):
+    """Beyond the bound for broadcasts a bitmap goes ahead: no row is lost, none is too many, and few others are moved."""
+    rows = [(i, f"text {i}") for i in range(-2000, 2000)]
+    base = spark.createDataFrame(rows, SCHEMA).select(nearcopies.node_of().alias("node"), F.col("text").alias("_text"))
+    asked = common.stored(base.where("node.id % 9 = 0").select("node"), "asked")
+    monkeypatch.setattr(common, "ROWS", 10)
+    want = [i for i, _ in rows if i % 9 == 0]
+    assert sorted(r.node.id for r in common.among(base, asked, len(want)).collect()) == want
+    moved = {r.node.id for r in common.likely(base, asked, len(want)).collect()}
+    assert moved >= set(want) and len(moved) < len(want) + 400
+
+
+def test_near_dedup_with_more_rows_than_are_broadcast(spark, corpus, monkeypatch):
+    monkeypatch.setattr(common, "ROWS", 8)
+    got = {r.doc_id: r.class_id for r in nearcopies.near_groups(frame(spark, corpus)).collect()}
+    assert got == groups_by_brute_force(corpus)
+
+
 def test_order_decides():
     """The same k-mers in another order are no copy."""
     r = random.Random(15)
