@@ -14,6 +14,9 @@ the state behind the prefix before it. The tokens that can end where a reader st
 given by a table of transitions over bytes (a matching automaton of all labels); the one
 arc that leaves its state gives the state behind this place. All new words of a batch are
 read in step, place by place.
+
+Texts are split and joined as Arrow columns, a slice at a time: only its different runs
+become Python objects, and only pieces that the worker does not keep are read.
 """
 
 import itertools
@@ -23,6 +26,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import functions as F
 
@@ -37,10 +41,10 @@ WHITE_RUN = re.compile(f"[{WHITE}]+")
 ODD = re.compile("[\x1c-\x1f]")
 #: Slots of the transition table, and the longest word (in bytes) that is read in step with others.
 SLOTS, IN_STEP = 1 << 20, 48
-#: Bytes of encoded runs that a worker keeps in a generation; it holds two.
+#: Bytes of encoded pieces that a worker keeps in a generation; it holds two.
 KEPT_BYTES = 12 << 20
-#: Bytes of text whose runs are Python objects at a time.
-SLICE_BYTES = 1 << 19
+#: Bytes of text whose different runs are Python objects at a time.
+SLICE_BYTES = 2 << 20
 
 
 def byte_symbols():
@@ -206,10 +210,14 @@ class Automaton:
 
     def encode(self, words):
         """Ids of every word (non-empty bytes)."""
+        return [np.frombuffer(ids, np.int32).tolist() for ids in self.packed(words)]
+
+    def packed(self, words):
+        """Ids of every word, as the bytes of 32-bit integers."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         out = [None] * len(words)
         for i in np.flatnonzero(sizes > IN_STEP).tolist():
-            out[i] = self.read(words[i])
+            out[i] = np.array(self.read(words[i]), np.int32).tobytes()
         some = np.flatnonzero(sizes <= IN_STEP)
         some = some[np.argsort(-sizes[some], kind="stable")]
         if not len(some):
@@ -248,10 +256,10 @@ class Automaton:
         for which, _ in steps:
             counts[which] += 1
         ends = np.cumsum(counts)
-        ids = np.empty(int(ends[-1]), np.int64)
+        ids = np.empty(int(ends[-1]), np.int32)
         for k, (which, t) in enumerate(steps):
             ids[ends[which] - 1 - k] = t
-        ids, ends = ids.tolist(), ends.tolist()
+        ids, ends = ids.tobytes(), (4 * ends).tolist()
         begin = 0
         for i, end in zip(some.tolist(), ends, strict=True):
             out[i] = ids[begin:end]
@@ -272,7 +280,10 @@ class Tokenizer:
         self.find_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}")).findall
-        #: Runs and their ids and labels, in two generations, so that those in use stay.
+        self.label = pa.array([self.labels.get(i, "") for i in range(max(self.labels) + 1)], pa.string())
+        #: Texts that hold any of these are split by `split`.
+        self.unusual = "|".join([ODD.pattern, *map(re.escape, self.special)])
+        #: Pieces (special tokens: their numbers) and their ids, in two generations, so that those in use stay.
         self.young, self.old, self.bytes = {}, {}, 0
 
     def split(self, text):
@@ -298,40 +309,81 @@ class Tokenizer:
         # Lower case goes character by character, without a special form at word ends.
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-    def learn(self, runs):
-        """Encode runs not met before, all at once. No piece crosses white space, so a run's ids are its own."""
+    def runs(self, texts):
+        """The runs of every text, flat, and where each text's begin and end."""
+        texts = pc.fill_null(texts, "")
+        if pc.any(pc.match_substring_regex(texts, self.unusual)).as_py():
+            lists = pa.array([self.split(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+        else:
+            lists = pc.utf8_split_whitespace(texts)
+        words, at = lists.flatten(), np.asarray(lists.offsets)
+        full = np.asarray(pc.binary_length(words)) > 0
+        return words.filter(pa.array(full)), np.append(0, np.cumsum(full))[at - at[0]]
+
+    def cut_runs(self, runs):
+        """The pieces of all runs, and how many each run has. No piece crosses white space."""
+        if self.special.keys().isdisjoint(runs):
+            text = self.normal("\n".join(runs))
+            pieces = self.pieces(text)
+            ends = np.cumsum(np.fromiter(map(len, text.split("\n")), np.int64, len(runs)))
+            stops = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+            if stops[-1:] == ends[-1:]:  # the pattern leaves nothing out
+                return pieces, np.diff(np.searchsorted(stops, ends, side="right"), prepend=0)
+        each = [[self.special[run]] if run in self.special else self.pieces(self.normal(run)) for run in runs]
+        return list(itertools.chain.from_iterable(each)), np.fromiter(map(len, each), np.int64, len(each))
+
+    def learn(self, pieces):
+        """Encode pieces that are not kept, all at once."""
         if self.bytes > KEPT_BYTES:
             self.old, self.young, self.bytes = self.young, {}, 0
-        young, old, fresh, number = self.young, self.old, {}, {}
-        for run in runs:
-            if run in young or run in fresh:
-                continue
-            got = old.get(run)
-            if got is not None:
-                young[run] = got
-            elif run in self.special:
-                fresh[run] = None
-            elif run.isascii() and run.isalpha():
-                fresh[run] = (number.setdefault(run.lower(), len(number)),)
-            else:
-                fresh[run] = [number.setdefault(p, len(number)) for p in self.pieces(self.normal(run))]
-        encoded = self.automaton.encode([p.encode("utf-8") for p in number])
-        label = self.labels.__getitem__
-        for run, pieces in fresh.items():
-            ids = [self.special[run]] if pieces is None else encoded[pieces[0]] if len(pieces) == 1 else [i for p in pieces for i in encoded[p]]
-            young[run] = (ids, " ".join(map(label, ids)))
-            self.bytes += 240 + len(run) + 12 * len(ids) * 2
+        young, old = self.young, self.old
+        missing = set(pieces).difference(young)
+        known = {p: old[p] for p in missing.intersection(old)}
+        fresh = list(missing.difference(known))
+        words = [p for p in fresh if isinstance(p, str)]
+        known.update(zip(words, self.automaton.packed([p.encode("utf-8") for p in words]), strict=True))
+        if len(words) < len(fresh):
+            known.update((p, np.int32(p).tobytes()) for p in fresh if not isinstance(p, str))
+        young.update(known)
+        self.bytes += 200 * len(known) + sum(map(len, words)) + sum(map(len, known.values()))
+
+    def ids(self, runs):
+        """Ids of all runs, flat, and how many each run has."""
+        if not runs:
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        pieces, counts = self.cut_runs(runs)
+        self.learn(pieces)
+        packed = list(map(self.young.__getitem__, pieces))
+        each = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        return np.frombuffer(b"".join(packed), np.int32), np.diff(np.append(0, np.cumsum(each))[np.cumsum(counts)], prepend=0)
+
+    def read(self, texts):
+        """Ids and decoded text of every text, as Arrow columns; different runs are encoded and decoded once."""
+        runs, at = self.runs(texts)
+        coded = runs.dictionary_encode()
+        del runs
+        flat, counts = self.ids(coded.dictionary.to_pylist())
+        ends = np.append(0, np.cumsum(counts))
+        spelt = pc.binary_join(lists_of(ends, self.label.take(pa.array(flat))), " ")
+        decoded = pc.binary_join(lists_of(at, spelt.take(coded.indices)), " ")
+        which = np.asarray(coded.indices)
+        counts = counts[which]
+        stops = np.append(0, np.cumsum(counts))
+        ids = flat[np.repeat(ends[which] - stops[:-1], counts) + np.arange(stops[-1])]
+        return lists_of(stops[at], pa.array(ids)), decoded
 
     def encode(self, text):
-        runs = self.split(text)
-        self.learn(runs)
-        return [i for run in runs for i in self.young[run][0]]
+        return self.read(pa.array([text], pa.string()))[0][0].as_py()
 
     def decode(self, ids):
         """Arc labels joined by a space, as the file names no decoder; special tokens stay."""
         return " ".join(map(self.labels.__getitem__, ids))
 
 
+def lists_of(ends, values):
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+
 def tokenizer(text):
     """The compiled tokenizer of a vocabulary, once per process while no other operator runs there."""
     return held(("bpe", hash(text)), lambda: Tokenizer(text))
@@ -342,18 +394,9 @@ def _encode(vocabulary):
         made = tokenizer(vocabulary)
         for batch in batches:
             for part in W.slices(batch, "_text", SLICE_BYTES):
-                runs = [made.split(t) for t in part.column("_text").to_pylist()]
-                made.learn(itertools.chain.from_iterable(runs))
-                of = [[made.young[r] for r in rs] for rs in runs]
-                each = [list(itertools.chain.from_iterable([x[0] for x in xs])) for xs in of]
-                decoded = [" ".join([x[1] for x in xs]) for xs in of]
-                ends = np.cumsum([0, *map(len, each)])
-                flat = np.fromiter(itertools.chain.from_iterable(each), np.int32, int(ends[-1]))
-                del runs, of, each
-                yield pa.RecordBatch.from_pydict(
-                    {"doc_id": part.column("_id"), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), "decoded": pa.array(decoded, pa.string())}
-                )
-                del decoded, flat
+                ids, decoded = made.read(part.column("_text"))
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("_id"), "ids": ids, "decoded": decoded})
+                del ids, decoded
 
     return run
 

@@ -384,6 +384,28 @@ def test_bpe_keeps_runs_in_use(monkeypatch):
     assert len(made.young) + len(made.old) < 80 and "common" in made.young
 
 
+def test_bpe_reads_columns_as_the_library():
+    """Slices with and without special tokens and odd separators; null, empty and long texts; pieces shared by runs are read once."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as file:
+        made = bpe.Tokenizer(file.read())
+    assert made.encode("alpha, alpha. (Alpha) ALPHA!") == library.encode("alpha, alpha. (Alpha) ALPHA!").ids
+    assert set(made.young) == {"alpha", ",", ".", "(", ")", "!"}
+    r = random.Random(12)
+    odd = "aabeéÉßİΣς'sStTRvDd0½²٣ \t\n\r\x85\xa0\u2028\u3000漢ｶ👍\u200d\u0301\u0345-!<|>ﬁǅ"
+    plain = ["", "   ", None, "\u0301a b\u0301", "ab" * 400 + "漢字" * 30, *("".join(r.choice(odd) for _ in range(40)) for _ in range(400))]
+    special = ["x<|endoftext|>'s a\x1cb\x1f <|EndOfText|> <|startoftext|><|endoftext|>", "<|endoftext|>", "a\x1d b"]
+    for texts in (plain, [None, ""], [], plain[3:] + special + plain, special):
+        ids, decoded = made.read(pa.array(["left out", *texts], pa.string()).slice(1))
+        want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert ids.to_pylist() == want
+        assert decoded.to_pylist() == [library.decode(w, skip_special_tokens=False) for w in want]
+
+
 LABELLED = ["zonker", "klutzo", "blorfing", "blorfed", "blorfs", "blorfest"]
 
 
